@@ -11,14 +11,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from termloom.functions.porter import porter_stem
 from termloom.functions.text import words
 
+ALL_FIELDS = ("title", "content", "filename", "tags")
 STEMMED_FIELDS = ("title", "content")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _stem_words(terms: pd.Series) -> pd.Series:
     return terms.map(porter_stem, na_action="ignore")
 
@@ -28,20 +30,22 @@ def stem_vocabulary(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.select("term").distinct().withColumn("stem", _stem_words("term"))
 
 
-def field_tokens(corpus: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def field_tokens(
+    corpus: DataFrame, carry: tuple[str, ...] = (), fields: tuple[str, ...] = ALL_FIELDS
+) -> DataFrame:
     """One row for each document and field with its token array.
 
     Text fields are split into words; tags are kept whole, as they are written.
     """
-    fields = F.array(
-        F.struct(F.lit("title").alias("field"), words(F.col("title")).alias("tokens")),
-        F.struct(F.lit("content").alias("field"), words(F.col("content")).alias("tokens")),
-        F.struct(F.lit("filename").alias("field"), words(F.col("filename")).alias("tokens")),
-        F.struct(F.lit("tags").alias("field"), F.col("tags").alias("tokens")),
-    )
-    return corpus.select("path", *carry, F.inline(fields)).withColumn(
-        "tokens", F.coalesce("tokens", F.array().cast("array<string>"))
-    )
+    empty = F.array().cast("array<string>")
+    arrays = [
+        F.struct(
+            F.lit(name).alias("field"),
+            F.coalesce(F.col("tags") if name == "tags" else words(F.col(name)), empty).alias("tokens"),
+        )
+        for name in fields
+    ]
+    return corpus.select("path", *carry, F.inline(F.array(*arrays)))
 
 
 def content_tokens(corpus: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -103,9 +107,11 @@ def stem_postings(postings: DataFrame, stems: DataFrame) -> DataFrame:
     )
 
 
-def analyze(corpus: DataFrame, stem: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Postings of all four fields with the stemming or the standard analyzer."""
-    postings = invert(field_tokens(corpus, carry), carry)
+def analyze(
+    corpus: DataFrame, stem: bool = False, carry: tuple[str, ...] = (), fields: tuple[str, ...] = ALL_FIELDS
+) -> DataFrame:
+    """Postings of the fields with the stemming or the standard analyzer."""
+    postings = invert(field_tokens(corpus, carry, fields), carry)
     if not stem:
         return postings
     vocabulary = postings.filter(F.col("field").isin(*STEMMED_FIELDS)).select("term")

@@ -29,12 +29,12 @@ def mean_lengths(field_stats: DataFrame) -> DataFrame:
     return field_stats.select("field", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
 
 
-def index_of(corpus: DataFrame, stem: bool = False) -> Index:
+def index_of(corpus: DataFrame, stem: bool = False, fields: tuple[str, ...] = analysis.ALL_FIELDS) -> Index:
     """An index that is not stored: every table is a plan over the corpus."""
-    postings = analysis.analyze(corpus, stem)
+    postings = analysis.analyze(corpus, stem, fields=fields)
     return Index(
         corpus=corpus,
         postings=postings,
         term_stats=analysis.term_stats(postings),
-        field_stats=mean_lengths(analysis.field_stats(analysis.field_tokens(corpus))),
+        field_stats=mean_lengths(analysis.field_stats(analysis.field_tokens(corpus, fields=fields))),
     )

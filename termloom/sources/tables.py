@@ -52,9 +52,10 @@ def conversations_as_files(conversations: DataFrame) -> DataFrame:
     )
 
 
-def as_corpus(files: DataFrame) -> DataFrame:
+def as_corpus(files: DataFrame, markup: bool = True) -> DataFrame:
     """File rows with text -> the full document record; blank documents are dropped.
 
+    ``markup=False`` says that no row is HTML or Markdown, so the extraction is not even planned.
     Every attribute is an expression over its own row: what a query does not use is not computed.
     """
     spark = files.sparkSession
@@ -64,9 +65,8 @@ def as_corpus(files: DataFrame) -> DataFrame:
     named = files.withColumn("filename", document.filename(F.col("path"))).withColumn(
         "extension", document.extension(F.col("filename"))
     )
-    extracted = named.withColumn("content", extract_text(F.col("extension"), F.col("text"))).filter(
-        ~is_blank(F.col("content"))
-    )
+    text = extract_text(F.col("extension"), F.col("text")) if markup else F.col("text")
+    extracted = named.withColumn("content", text).filter(~is_blank(F.col("content")))
     typed = extracted.join(F.broadcast(document.mime_table(spark)), "extension", "left")  # a fixed table
     content = F.col("content")
     return typed.select(
