@@ -63,10 +63,8 @@ def _code_point(number: Column) -> Column:
 
 def decode_entities(text: Column) -> Column:
     """Named and numeric character references as characters, each decoded once."""
-    names = F.map_from_arrays(
-        F.array(*[F.lit(name) for name in name2codepoint]),
-        F.array(*[F.lit(chr(code)) for code in name2codepoint.values()]),
-    )
+    table = "\n".join(f"{name}\t{chr(code)}" for name, code in name2codepoint.items())
+    names = F.str_to_map(F.lit(table), F.lit("\n"), F.lit("\t"))  # folded to one literal
 
     def decoded(piece: Column) -> Column:
         name = piece.substr(F.lit(2), F.length(piece) - 2)

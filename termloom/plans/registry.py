@@ -196,12 +196,11 @@ def upsert_by_path(spark, folder):
 @query
 def newest_version(spark, folder):
     files = landing_files(spark, folder).select("path", "modified_time", "content")
-    later = files.select(
+    later = files.filter(F.length("content") > 1000).select(
         "path", (F.col("modified_time") + F.expr("INTERVAL 1 HOUR")).alias("modified_time"),
         F.concat("content", F.lit(" changed")).alias("content"),
     )
-    both = files.unionByName(later.filter(F.length("content") > 1000))
-    return ingest.newest(both).select("path", document.content_hash(F.col("content")).alias("content_hash"))
+    return ingest.newest(files.unionByName(later)).select("path", document.content_hash(F.col("content")).alias("content_hash"))
 
 
 @query

@@ -30,8 +30,8 @@ def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
 
     Columns that are not used are not read: without ``raw`` no file is opened, and a filter on
     ``size`` or ``modified_time`` leaves files out before they are opened. A file that vanishes or
-    cannot be read gives no row (see ``read_status``). The file source never lists names that
-    begin with ``_`` or ``.``; on mounted folders ``scan_mounted`` lists them.
+    cannot be read gives no row (see ``read_status``). The file source never lists empty files and
+    names that begin with ``_`` or ``.``; on mounted folders ``list_mounted`` lists them all.
     """
     reader = (
         spark.read.format("binaryFile")

@@ -27,6 +27,20 @@ from termloom.operators.rank import path_bucket
 
 VERSION = "1"
 
+SCHEMAS = {
+    "corpus": (
+        "path string, filename string, extension string, size bigint, modified_time timestamp, content string, "
+        "content_hash string, title string, word_count bigint, language string, tags array<string>, "
+        "metadata struct<file_type:string, created_time:string, accessed_time:string, line_count:bigint, "
+        "char_count:bigint, paragraph_count:bigint, mime_type:string>, batch int, pbucket int"
+    ),
+    "postings": (
+        "path string, field string, term string, tf bigint, doc_len bigint, positions array<int>, batch int, tbucket int"
+    ),
+    "term_stats": "field string, term string, df bigint, cf bigint, batch int",
+    "removed": "path string, old_batch int, batch int",
+}
+
 #: tasks that write one term bucket
 TASKS_PER_BUCKET = 4
 
@@ -97,7 +111,9 @@ class IndexStore:
 
     def _read(self, table: str, batches: list[int]) -> DataFrame:
         paths = [self._path(table, b) for b in batches]
-        return self.spark.read.option("basePath", f"{self.root}/{table}").parquet(*paths)
+        # the schema is given: a batch may be empty, and no footer has to be read for it
+        reader = self.spark.read.schema(SCHEMAS[table]).option("basePath", f"{self.root}/{table}")
+        return reader.parquet(*paths)
 
     def _live(self, table: str) -> DataFrame:
         rows = self._read(table, self.state.batches)
