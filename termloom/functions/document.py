@@ -64,6 +64,13 @@ def mime_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(known.items()), "extension string, mime_type string")
 
 
+def mime_type(suffix: Column) -> Column:
+    """The same table as a literal of the plan: no join stands between a corpus and its columns."""
+    known = MimeTypes(filenames=()).types_map[True]
+    text = "\n".join(f"{ext}\t{kind}" for ext, kind in sorted(known.items()))
+    return F.try_element_at(F.str_to_map(F.lit(text), F.lit("\n"), F.lit("\t")), suffix)
+
+
 def metadata(content: Column, suffix: Column, mime_type: Column) -> Column:
     """Metadata record; file sources give neither creation nor access times, so they are null."""
     return F.struct(

@@ -64,16 +64,24 @@ def doc_stats(token_arrays: DataFrame) -> DataFrame:
     return token_arrays.select("path", "field", F.size("tokens").cast("long").alias("doc_len"))
 
 
-def invert(token_arrays: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Postings (path, field, doc_len, term, tf, positions), one row for each document and term."""
+def invert(
+    token_arrays: DataFrame, carry: tuple[str, ...] = (), terms: tuple[str, ...] | None = None
+) -> DataFrame:
+    """Postings (path, field, doc_len, term, tf, positions), one row for each document and term.
+
+    With ``terms`` only these are inverted; lengths and positions stay those of the whole text.
+    """
     pairs = F.transform("tokens", lambda term, pos: F.struct(term.alias("term"), pos.alias("pos")))
+    if terms is not None:
+        pairs = F.filter(pairs, lambda pair: pair["term"].isin(*terms))
+    # no filter on the size of the run: it would be pushed down and sort every document twice
     ordered = token_arrays.select(
-        "path", "field", *carry, F.size("tokens").alias("n"), F.sort_array(pairs).alias("run")
-    ).filter("n > 0")
+        "path", "field", *carry, F.size("tokens").cast("long").alias("doc_len"), F.sort_array(pairs).alias("run")
+    ).withColumn("n", F.size("run"))
     begins = ordered.withColumn(
         "begin",
         F.filter(
-            F.sequence(F.lit(1), F.col("n")),
+            F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))),
             lambda i: (i == 1) | (F.element_at("run", i)["term"] != F.element_at("run", i - 1)["term"]),
         ),
     )
@@ -84,8 +92,7 @@ def invert(token_arrays: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         return F.struct(F.element_at("run", first)["term"].alias("term"), positions.alias("positions"))
 
     postings = begins.select(
-        "path", "field", *carry, F.col("n").cast("long").alias("doc_len"),
-        F.inline(F.transform("begin", posting)),
+        "path", "field", *carry, "doc_len", F.inline(F.transform("begin", posting))
     )
     return postings.withColumn("tf", F.size("positions").cast("long"))
 
@@ -108,14 +115,19 @@ def stem_postings(postings: DataFrame, stems: DataFrame) -> DataFrame:
 
 
 def analyze(
-    corpus: DataFrame, stem: bool = False, carry: tuple[str, ...] = (), fields: tuple[str, ...] = ALL_FIELDS
+    corpus: DataFrame,
+    stem: bool = False,
+    carry: tuple[str, ...] = (),
+    fields: tuple[str, ...] = ALL_FIELDS,
+    terms: tuple[str, ...] | None = None,
 ) -> DataFrame:
     """Postings of the fields with the stemming or the standard analyzer."""
-    postings = invert(field_tokens(corpus, carry, fields), carry)
+    arrays = field_tokens(corpus, carry, fields)
     if not stem:
-        return postings
-    vocabulary = postings.filter(F.col("field").isin(*STEMMED_FIELDS)).select("term")
-    return stem_postings(postings, stem_vocabulary(vocabulary))
+        return invert(arrays, carry, terms)
+    stemmed = arrays.filter(F.col("field").isin(*STEMMED_FIELDS))
+    vocabulary = stemmed.select(F.explode(F.array_distinct("tokens")).alias("term"))
+    return stem_postings(invert(arrays, carry), stem_vocabulary(vocabulary))
 
 
 def term_stats(postings: DataFrame) -> DataFrame:

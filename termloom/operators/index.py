@@ -29,9 +29,17 @@ def mean_lengths(field_stats: DataFrame) -> DataFrame:
     return field_stats.select("field", "n_docs", (F.col("total_len") / F.col("n_docs")).alias("avg_len"))
 
 
-def index_of(corpus: DataFrame, stem: bool = False, fields: tuple[str, ...] = analysis.ALL_FIELDS) -> Index:
-    """An index that is not stored: every table is a plan over the corpus."""
-    postings = analysis.analyze(corpus, stem, fields=fields)
+def index_of(
+    corpus: DataFrame,
+    stem: bool = False,
+    fields: tuple[str, ...] = analysis.ALL_FIELDS,
+    terms: tuple[str, ...] | None = None,
+) -> Index:
+    """An index that is not stored: every table is a plan over the corpus.
+
+    When the query terms are known, ``terms`` keeps all others out of the inversion.
+    """
+    postings = analysis.analyze(corpus, stem, fields=fields, terms=terms)
     return Index(
         corpus=corpus,
         postings=postings,

@@ -12,7 +12,7 @@ from termloom.functions.extract import decode_text
 from termloom.operators import ingest
 from termloom.operators.index import FIELD_NAMES
 from termloom.options import IngestOptions
-from termloom.sources.files import list_mounted, read_mounted, scan_changed, scan_files
+from termloom.sources.files import list_mounted, read_mounted, scan_changed, scan_files, unreadable_files
 from termloom.sources.store import VERSION, IndexStore
 from termloom.sources.tables import as_corpus
 
@@ -61,7 +61,6 @@ def index_documents(
     else:
         listed = scan_files(spark, path, options.recursive).drop("raw")
     known = store.doc_stats().select("path", "modified_time") if store.exists else None
-    before = known
     if mounted:
         todo = wanted_files(listed, options)
         todo = ingest.changed(todo, known) if known is not None else todo
@@ -74,15 +73,27 @@ def index_documents(
     if delete_missing and known is not None:
         gone = known.join(listed.select("path"), "path", "left_anti")
     batch = store.ingest(file_documents(read, options), delete=gone, unique_paths=True)
-    stored = store._read("corpus", [batch]).select("path", "word_count")
-    status = _status(listed, stored, before, options)
+    stored = store.batch_documents(batch).select("path", "word_count")
+    # a wanted file that gave no document is blank, or it could not be read
+    wanted = wanted_files(listed, options)
+    wanted = ingest.changed(wanted, known) if known is not None else wanted
+    suspects = wanted.join(stored, "path", "left_anti")
+    if mounted:
+        broken = read_mounted(suspects).filter("unreadable").select("path")
+    else:
+        broken = unreadable_files(spark, path, suspects, options.recursive)
+    status = _status(listed, stored, broken, known, options)
     return IngestRun(status, ingest.ingest_report(status), time.monotonic() - started, batch)
 
 
-def _status(listed: DataFrame, stored: DataFrame, before: DataFrame | None, options: IngestOptions) -> DataFrame:
-    """Every listed file with its outcome; a wanted file that is not stored had no usable content."""
+def _status(
+    listed: DataFrame, stored: DataFrame, broken: DataFrame, before: DataFrame | None, options: IngestOptions
+) -> DataFrame:
+    """Every listed file with its outcome."""
     done = stored.select("path", "word_count", F.lit("x").alias("content"))
-    files = listed.join(done, "path", "left")
+    bad = broken.select("path", F.lit(True).alias("unreadable"))
+    files = listed.join(done, "path", "left").join(bad, "path", "left")
+    files = files.withColumn("unreadable", F.coalesce("unreadable", F.lit(False)))
     return ingest.ingest_status(files, options.exclude, options.formats, options.max_file_mb, before)
 
 

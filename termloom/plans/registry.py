@@ -44,16 +44,17 @@ def query(function: Query) -> Query:
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    rows = spark.read.parquet(f"{folder}/{name}.parquet")
+    # long texts are worth one task for each core even where the table is one row group
+    return spread_if_small(rows) if name in ("documents", "pages", "conversations") else rows
 
 
 def documents_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    documents = spread_if_small(table(spark, folder, "documents"))
-    return tables.as_corpus(tables.documents_as_files(documents), markup=False)
+    return tables.as_corpus(tables.documents_as_files(table(spark, folder, "documents")), markup=False)
 
 
 def pages_corpus(spark: SparkSession, folder: str) -> DataFrame:
-    return tables.as_corpus(tables.pages_as_files(spread_if_small(table(spark, folder, "pages"))))
+    return tables.as_corpus(tables.pages_as_files(table(spark, folder, "pages")))
 
 
 def landing_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -113,8 +114,12 @@ def log(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def content_index(spark: SparkSession, folder: str) -> Index:
-    return index_of(documents_corpus(spark, folder), fields=("content",))
+def content_index(spark: SparkSession, folder: str, terms: dict[int, list[str]] | None = None) -> Index:
+    return index_of(documents_corpus(spark, folder), fields=("content",), terms=_flat(terms))
+
+
+def _flat(terms: dict[int, list[str]] | None) -> tuple[str, ...] | None:
+    return None if terms is None else tuple(sorted({t for ts in terms.values() for t in ts}))
 
 
 def terms_in(spark: SparkSession, fields=("content",), terms=None) -> DataFrame:
@@ -122,12 +127,12 @@ def terms_in(spark: SparkSession, fields=("content",), terms=None) -> DataFrame:
 
 
 def matched(spark: SparkSession, folder: str, fields=("content",), terms=None) -> DataFrame:
-    index = index_of(documents_corpus(spark, folder), fields=tuple(fields))
+    index = index_of(documents_corpus(spark, folder), fields=tuple(fields), terms=_flat(terms or TERMS))
     return match.lookup(index.postings, terms_in(spark, fields, terms))
 
 
 def scored(spark: SparkSession, folder: str, scorer: str) -> DataFrame:
-    index = content_index(spark, folder)
+    index = content_index(spark, folder, TERMS)
     weighed = rank.weigh_terms(terms_in(spark), index.term_stats, index.field_stats)
     return rank.score_hits(match.lookup(index.postings, weighed, small=True), scorer)
 
@@ -610,7 +615,7 @@ def suggestions(spark, folder):
 @query
 def flagship_search(spark, folder):
     """that, thtion or queeux in a content: the best 20 documents by BM25 with their attributes."""
-    index = content_index(spark, folder)
+    index = content_index(spark, folder, {1: TERMS[1]})
     weighed = rank.weigh_terms(terms_in(spark, terms={1: TERMS[1]}), index.term_stats, index.field_stats)
     hits = rank.score_hits(match.lookup(index.postings, weighed, small=True))
     rows = rank.attach_attributes(rank.top_k_single(hits, 20), index.corpus, small=True)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
 
     Columns that are not used are not read: without ``raw`` no file is opened, and a filter on
     ``size`` or ``modified_time`` leaves files out before they are opened. A file that vanishes or
-    cannot be read gives no row (see ``read_status``). The file source never lists empty files and
+    cannot be read gives no row (see ``unreadable_files``). The file source never lists empty files and
     names that begin with ``_`` or ``.``; on mounted folders ``list_mounted`` lists them all.
     """
     reader = (
@@ -48,12 +49,25 @@ def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     return with_names(files)
 
 
-def read_status(scanned: DataFrame, read: DataFrame) -> DataFrame:
-    """Scanned files with the read content and a true ``unreadable`` where reading gave no row."""
-    got = read.select("path", "content", "word_count", F.lit(False).alias("unreadable"))
-    return scanned.drop("raw").join(got, "path", "left").withColumn(
-        "unreadable", F.coalesce("unreadable", F.lit(True))
-    )
+def unreadable_files(spark: SparkSession, path: str, suspects: DataFrame, recursive: bool = True) -> DataFrame:
+    """(path) of the suspects whose bytes the file source cannot deliver.
+
+    Few suspects are named to the reader; many are found by a scan of the folder.
+    """
+    suspects = suspects.select("path")
+    files = None
+    if is_small(suspects, LISTED_FILES):
+        paths = [row.path for row in suspects.collect()]  # at most LISTED_FILES
+        if not paths:
+            return suspects
+        try:
+            files = scan_files(spark, paths, recursive=False)
+        except AnalysisException:  # one of them is gone since it was listed
+            files = None
+    if files is None:
+        files = scan_files(spark, path, recursive).join(suspects, "path", "left_semi")
+    readable = files.filter(F.octet_length("raw") >= 0).select("path")
+    return suspects.join(readable, "path", "left_anti")
 
 
 def _entries(folder: str) -> list[os.DirEntry]:

@@ -130,6 +130,10 @@ class IndexStore:
     def postings(self) -> DataFrame:
         return self._live("postings")
 
+    def batch_documents(self, batch: int) -> DataFrame:
+        """The documents one batch has stored."""
+        return self._read("corpus", [batch])
+
     def doc_stats(self) -> DataFrame:
         """(path, modified_time, batch): a narrow read of the corpus."""
         return self.corpus().select("path", "modified_time", "batch")

@@ -58,7 +58,6 @@ def as_corpus(files: DataFrame, markup: bool = True) -> DataFrame:
     ``markup=False`` says that no row is HTML or Markdown, so the extraction is not even planned.
     Every attribute is an expression over its own row: what a query does not use is not computed.
     """
-    spark = files.sparkSession
     for name, default in (("language", F.lit("en")), ("tags", F.array().cast("array<string>"))):
         if name not in files.columns:
             files = files.withColumn(name, default)
@@ -67,9 +66,8 @@ def as_corpus(files: DataFrame, markup: bool = True) -> DataFrame:
     )
     text = extract_text(F.col("extension"), F.col("text")) if markup else F.col("text")
     extracted = named.withColumn("content", text).filter(~is_blank(F.col("content")))
-    typed = extracted.join(F.broadcast(document.mime_table(spark)), "extension", "left")  # a fixed table
     content = F.col("content")
-    return typed.select(
+    return extracted.select(
         "path",
         "filename",
         "extension",
@@ -81,5 +79,5 @@ def as_corpus(files: DataFrame, markup: bool = True) -> DataFrame:
         document.word_count(content).alias("word_count"),
         "language",
         "tags",
-        document.metadata(content, F.col("extension"), F.col("mime_type")).alias("metadata"),
+        document.metadata(content, F.col("extension"), document.mime_type(F.col("extension"))).alias("metadata"),
     )
