@@ -23,6 +23,8 @@ class Index:
     term_stats: DataFrame  # field, term, df
     field_stats: DataFrame  # field, n_docs, avg_len
     buckets: int | None = None
+    #: stored changes of term_stats, not added up; for lookups of single terms
+    term_changes: DataFrame | None = None
 
 
 def mean_lengths(field_stats: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.operators.match import term_bucket
 from termloom.operators.sizing import sized
 
 #: Scores are rounded, so that copies of a document tie and a rank does not depend on sum order.
@@ -23,15 +24,25 @@ def path_bucket(path, buckets: int):
 
 
 def weigh_terms(
-    terms: DataFrame, term_stats: DataFrame, field_stats: DataFrame, small: bool | None = None
+    terms: DataFrame,
+    term_stats: DataFrame,
+    field_stats: DataFrame,
+    small: bool | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Query terms with df, number of documents and mean field length.
 
-    The statistics join the few query terms and not the many hits. Terms no document holds drop out.
+    The statistics join the few query terms and not the many hits. ``term_stats`` may hold several
+    changes of one term: those of the query terms alone are added up. Stored statistics lie in term
+    buckets, which the join prunes. Terms no document holds drop out.
     """
-    return term_stats.join(sized(terms, small), ["field", "term"]).join(
-        F.broadcast(field_stats), "field"  # one row for each of the four fields
-    )
+    keys = ["field", "term"]
+    if buckets is not None and "tbucket" in term_stats.columns:
+        terms = terms.withColumn("tbucket", term_bucket(F.col("term"), buckets))
+        keys.append("tbucket")
+    found = term_stats.join(sized(terms, small), keys)
+    totals = found.groupBy("query_id", "field", "term").agg(F.sum("df").alias("df")).filter("df > 0")
+    return totals.join(F.broadcast(field_stats), "field")  # one row for each of the four fields
 
 
 def term_score(scorer: str = "bm25"):

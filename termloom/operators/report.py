@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from termloom.functions.document import parent
 from termloom.functions.render import CLOSINGS, header, item
-from termloom.operators.sizing import sized
 
 JSON_FIELDS = (
     "title", "filename", "path", "score", "rank", "content_snippet", "extension", "size",
@@ -33,9 +32,7 @@ def result_stats(results: DataFrame) -> DataFrame:
     )
 
 
-def summary_lines(
-    queries: DataFrame, results: DataFrame, search_time: float = 0.0, small: bool | None = None
-) -> DataFrame:
+def summary_lines(queries: DataFrame, results: DataFrame, search_time: float = 0.0) -> DataFrame:
     """(query_id, summary) with the three most frequent file types, the first seen first among equals."""
     counts = file_type_counts(results)
     order = Window.partitionBy("query_id").orderBy(F.desc("n"), "first_rank")
@@ -49,7 +46,7 @@ def summary_lines(
         F.lit("s. Top file types: "), F.array_join("types", ", "),
     )
     none = F.concat(F.lit("No results found for '"), F.col("query"), F.lit("' in "), time, F.lit("s"))
-    return queries.join(sized(lines, small), "query_id", "left").select(
+    return queries.join(lines, "query_id", "left").select(
         "query_id", F.when(F.col("n").isNull(), none).otherwise(some).alias("summary")
     )
 
@@ -62,18 +59,16 @@ def related_directories(results: DataFrame, n: int = 3) -> DataFrame:
     )
 
 
-def render(
-    queries: DataFrame, results: DataFrame, style: str = "markdown", details: bool = True, small: bool | None = None
-) -> DataFrame:
+def render(queries: DataFrame, results: DataFrame, style: str = "markdown", details: bool = True) -> DataFrame:
     """(query_id, response): header and results in rank order for each query, those without any too."""
     if style == "json":
-        return render_json(queries, results, small)
+        return render_json(queries, results)
     items = results.select("query_id", F.struct("rank", item(style, details).alias("text")).alias("item"))
     lists = items.groupBy("query_id").agg(F.sort_array(F.collect_list("item"))["text"].alias("texts"))
     count = F.when(F.col("texts").isNull(), 0).otherwise(F.size("texts"))
     lines = F.concat(F.array(header(style, F.col("query"), count)), F.coalesce("texts", F.array().cast("array<string>")))
     response = F.concat(F.array_join(lines, "\n"), F.lit(CLOSINGS[style]))
-    return queries.join(sized(lists, small), "query_id", "left").select("query_id", response.alias("response"))
+    return queries.join(lists, "query_id", "left").select("query_id", response.alias("response"))
 
 
 def json_record():
@@ -85,7 +80,7 @@ def json_record():
     return F.struct(*[special.get(name, F.col(name)).alias(name) for name in JSON_FIELDS])
 
 
-def render_json(queries: DataFrame, results: DataFrame, small: bool | None = None) -> DataFrame:
+def render_json(queries: DataFrame, results: DataFrame) -> DataFrame:
     """(query_id, response): one JSON text for each query, never cut."""
     ordered = F.sort_array(F.collect_list(F.struct("rank", "record")))["record"]
     lists = (
@@ -95,7 +90,7 @@ def render_json(queries: DataFrame, results: DataFrame, small: bool | None = Non
     )
     found = F.coalesce("results", F.array().cast(lists.schema["results"].dataType))
     answer = F.struct("query", F.size(found).alias("total_results"), found.alias("results"))
-    return queries.join(sized(lists, small), "query_id", "left").select(
+    return queries.join(lists, "query_id", "left").select(
         "query_id", F.to_json(answer).alias("response")
     )
 

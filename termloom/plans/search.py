@@ -205,7 +205,8 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     few_terms = small
     if expansions:  # how many there are depends on the vocabulary
         terms, few_terms = pin_if_small(terms, SMALL_ROWS)
-    weighed = rank.weigh_terms(terms, index.term_stats, index.field_stats, few_terms)
+    stats = index.term_stats if index.term_changes is None else index.term_changes
+    weighed = rank.weigh_terms(terms, stats, index.field_stats, few_terms, index.buckets)
     matched = [match.lookup(index.postings, weighed, index.buckets, few_terms)]
     columns = ["query_id", "path", "field", "term", "tf", "doc_len", "df", "n_docs", "avg_len"]
     if "phrase" in types:
@@ -216,7 +217,7 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
             phrases.drop("query_id"), small,
         ).select(F.col("phrase_id.query_id").alias("query_id"), "path").distinct()
         rows = phrases.select("query_id", F.lit("content").alias("field"), "term").distinct()
-        scored_terms = rank.weigh_terms(rows, index.term_stats, index.field_stats, small)
+        scored_terms = rank.weigh_terms(rows, stats, index.field_stats, small, index.buckets)
         hits = match.lookup(index.postings, scored_terms, index.buckets, small)
         matched.append(hits.join(found, match.HIT, "left_semi"))
     scored = rank.score_hits(match.union_all([m.select(*columns) for m in matched]), options.scorer)

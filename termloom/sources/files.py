@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from itertools import islice
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -102,11 +103,12 @@ def list_mounted(spark: SparkSession, root: str, recursive: bool = True) -> Data
         for batch in batches:
             for path, is_folder, deep in batch.itertuples(index=False):
                 if is_folder:
-                    rows = list(_list_folder(path, deep))
+                    rows = _list_folder(path, deep)
                 else:
                     stat = os.stat(path)
-                    rows = [(path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc))]
-                yield pd.DataFrame(rows, columns=["path", "size", "modified_time"])
+                    rows = iter([(path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc))])
+                while part := list(islice(rows, 10_000)):  # a folder of any size passes in parts
+                    yield pd.DataFrame(part, columns=["path", "size", "modified_time"])
 
     folders = spark.createDataFrame(starts, "path string, is_folder boolean, deep boolean")
     return with_names(

@@ -3,7 +3,7 @@
     <root>/_state.json                    committed batches and field lengths; the last step of every write
     <root>/corpus/batch=N/pbucket=K/      document records, sorted by path
     <root>/postings/batch=N/tbucket=K/    postings, sorted by term, field and path
-    <root>/term_stats/batch=N/            changes of df and cf, sorted by field and term
+    <root>/term_stats/batch=N/tbucket=K/  changes of df and cf, sorted by term and field
     <root>/removed/batch=N/               (path, old_batch) that the batch replaces or deletes
 
 A batch costs what it adds: older files are neither rewritten nor read in full, a replaced document
@@ -37,7 +37,7 @@ SCHEMAS = {
     "postings": (
         "path string, field string, term string, tf bigint, doc_len bigint, positions array<int>, batch int, tbucket int"
     ),
-    "term_stats": "field string, term string, df bigint, cf bigint, batch int",
+    "term_stats": "field string, term string, df bigint, cf bigint, batch int, tbucket int",
     "removed": "path string, old_batch int, batch int",
 }
 
@@ -138,11 +138,15 @@ class IndexStore:
         """(path, modified_time, batch): a narrow read of the corpus."""
         return self.corpus().select("path", "modified_time", "batch")
 
+    def term_changes(self) -> DataFrame:
+        return self._read("term_stats", self.state.batches).select("tbucket", "field", "term", "df", "cf")
+
     def term_stats(self) -> DataFrame:
-        rows = self._read("term_stats", self.state.batches).select("field", "term", "df", "cf")
+        rows = self.term_changes()
         if len(self.state.batches) == 1:
             return rows
-        return rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).filter("df > 0")
+        totals = rows.groupBy("tbucket", "field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        return totals.filter("df > 0")
 
     def field_stats(self) -> DataFrame:
         """One row for each field that has tokens."""
@@ -156,6 +160,7 @@ class IndexStore:
             term_stats=self.term_stats(),
             field_stats=mean_lengths(self.field_stats()),
             buckets=self.state.buckets,
+            term_changes=self.term_changes(),
         )
 
     # --- writes ------------------------------------------------------------------------------------
@@ -168,7 +173,7 @@ class IndexStore:
         placed = corpus.withColumn("pbucket", path_bucket(F.col("path"), self.state.buckets))
         (
             placed.repartitionById(self.state.buckets, "pbucket")
-            .sortWithinPartitions("path")
+            .sortWithinPartitions("pbucket", "path")
             .write.mode("overwrite")
             .partitionBy("pbucket")
             .parquet(self._path("corpus", batch))
@@ -280,10 +285,12 @@ class IndexStore:
         return batch
 
     def _write_term_stats(self, terms: DataFrame, batch: int) -> None:
+        placed = terms.withColumn("tbucket", term_bucket(F.col("term"), self.state.buckets))
         (
-            terms.repartitionByRange("field", "term")  # samples the counted terms, not the postings
-            .sortWithinPartitions("field", "term")
+            placed.repartitionById(self.state.buckets, "tbucket")
+            .sortWithinPartitions("tbucket", "term", "field")
             .write.mode("overwrite")
+            .partitionBy("tbucket")
             .parquet(self._path("term_stats", batch))
         )
 
