@@ -70,7 +70,7 @@ def test_empty_folder(spark, tmp_path):
 
 
 def test_mounted_lists_all_names(spark, write, tmp_path):
-    docs = write({"__init__.py": "import search_engine", "_x/y.txt": "below an underscore", ".h.txt": "hidden", "a.txt": "plain", "empty.txt": ""})
+    docs = write({"__init__.py": "import numbers", "_x/y.txt": "below an underscore", ".h.txt": "hidden", "a.txt": "plain", "empty.txt": ""})
     assert {r.filename for r in list_mounted(spark, docs).collect()} == {"__init__.py", "y.txt", ".h.txt", "a.txt", "empty.txt"}
     run = index_documents(spark, docs, str(tmp_path / "index"), OPTIONS, mounted=True)
     assert {r.path.rsplit("/", 1)[1]: r.reason for r in run.status.collect()} == {
