@@ -3,8 +3,10 @@
 Documents with equal n-gram sets are one row of the matrix (a class). A pair of classes of sizes m <= n
 reaches similarity t only if m >= t n and if the pair meets in a column among the first
 n - ceil(t n) + 1 of each row, under any one order of the columns. So only those entries are shuffled.
-The order puts columns with many entries last; ties go by hash. Each column's block of the product gives
-the pairs that meet; their whole overlap is then counted, and pairs below the bound are dropped.
+The order puts columns with many entries last; ties go by hash. Each column gives the pairs that meet. The
+columns also form ``BLOCKS`` blocks: two rows can't share more of a block than the smaller of their counts
+in it, so the sum of these bounds the overlap, and most pairs that meet by chance are dropped without
+their sets. The whole overlap of the others is counted, and pairs below the bound are dropped.
 
 A column with more than ``WIDE`` rows isn't multiplied out. Its rows are first tried against a few pivots;
 components of these links are found, and only rows of the column that lie in different components are tried
@@ -34,6 +36,8 @@ FREQUENT = 64
 #: Columns with more rows than this are tried against pivots first.
 WIDE = 128
 PIVOTS = 4
+#: Blocks of columns whose sizes bound the overlap of two rows.
+BLOCKS = 256
 #: N-grams that a task holds before it counts and drops them.
 HELD = 4_000_000
 
@@ -55,8 +59,11 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, n, key) for every document; (gram, count) rows of n-grams that a task meets again."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("gram", pa.int64()), ("count", pa.int64())])
+    """A row (doc_id, n, key) for every document, with the sizes of its blocks once for each class in a task;
+    (gram, count) rows of n-grams that a task meets again."""
+    schema = pa.schema(
+        [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("blocks", pa.binary()), ("gram", pa.int64()), ("count", pa.int64())]
+    )
     seen: set[int] = set()
     held: list[np.ndarray] = []
     size = 0
@@ -68,11 +75,13 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         keep = counts > 1
         empty = pa.nulls(int(keep.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [empty, empty, empty, pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])], schema=schema
+            [empty, empty, empty, empty.cast(pa.binary()), pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])],
+            schema=schema,
         )
 
     for batch in batches:
         sizes, keys = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
+        blocks: list[bytes | None] = [None] * len(batch)
         for row, grams in _sets(batch, width):
             sizes[row] = len(grams)
             if len(grams) == 0:
@@ -80,6 +89,8 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
             keys[row] = key = _class_key(grams)
             if key not in seen:
                 seen.add(key)
+                counts = np.bincount((grams >> _U(56)).astype(np.int64), minlength=BLOCKS)
+                blocks[row] = np.minimum(counts, 255).astype(np.uint8).tobytes()
                 held.append(grams)
                 size += len(grams)
                 if size > HELD:
@@ -87,7 +98,9 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                     held, size = [], 0
         none = pa.nulls(len(batch), pa.int64())
         ids = batch.column("doc_id").cast(pa.int64())
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sizes), pa.array(keys), none, none], schema=schema)
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(sizes), pa.array(keys), pa.array(blocks, pa.binary()), none, none], schema=schema
+        )
     yield again()
 
 
@@ -208,10 +221,31 @@ def _linked(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator
         yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
-    """Pairs (a, b) of classes -> those that link. Sets are shipped for classes that are in a pair only."""
+def _possible(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs with sizes and block sizes of both -> the pairs whose blocks leave room for the bound."""
+    for batch in batches:
+        counts = [
+            np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BLOCKS).astype(np.int64)
+            for c in ("blocks_a", "blocks_b")
+        ]
+        # 255 stands for that many or more
+        counts = [np.where(c == 255, 1 << 40, c) for c in counts]
+        most = np.minimum(*counts).sum(axis=1)
+        together = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
+        keep = most * (1 + similarity) >= similarity * together - 1e-6
+        yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int, similarity: Fraction) -> DataFrame:
+    """Pairs (a, b) of classes -> those that link. Sets are shipped for classes in a possible pair only."""
     spark = pairs.sparkSession
-    pairs = stored(pairs.distinct(), "pairs")
+    sized = (
+        pairs.distinct()
+        .join(classes.toDF("a", "n_a", "blocks_a"), "a")
+        .join(classes.toDF("b", "n_b", "blocks_b"), "b")
+        .mapInArrow(partial(_possible, similarity=float(similarity)), "a long, b long")
+    )
+    pairs = stored(sized, "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("key"))
     wanted = spark.sparkContext.broadcast(bit_filter(ends, F.col("key")))
     sets = texts.mapInArrow(partial(_whole_sets, width=width, wanted=wanted), "key long, grams binary")
@@ -241,8 +275,12 @@ def ngram_join(
     bound = Fraction(similarity)
     texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     surveyed = stored(
-        texts.mapInArrow(partial(_survey, width=width), "doc_id long, n long, key long, gram long, count long"), "survey"
+        texts.mapInArrow(
+            partial(_survey, width=width), "doc_id long, n long, key long, blocks binary, gram long, count long"
+        ),
+        "survey",
     )
+    classes = surveyed.filter("blocks IS NOT NULL").select("key", "n", "blocks").dropDuplicates(["key"])
     members = surveyed.filter("key IS NOT NULL").select("doc_id", "n", "key")
     common = surveyed.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count"))
     frequent = spark.sparkContext.broadcast(bit_filter(common.filter(F.col("count") >= FREQUENT), F.col("gram")))
@@ -255,7 +293,7 @@ def ngram_join(
         .mapInArrow(partial(_meet, similarity=float(bound)), "a long, b long, gram long, key long, n long"),
         "met",
     )
-    links = _verified(met.filter("a IS NOT NULL").select("a", "b"), texts, width, bound)
+    links = _verified(met.filter("a IS NOT NULL").select("a", "b"), classes, texts, width, bound)
     wide = met.filter("gram IS NOT NULL").select("gram", "key", "n").distinct()
     if not wide.isEmpty():
         labels = components(links)
@@ -266,7 +304,7 @@ def ngram_join(
             .sortWithinPartitions("gram", "n", "key")
             .mapInArrow(partial(_meet_across, similarity=float(bound)), "a long, b long, gram long, key long, n long")
         )
-        links = links.union(_verified(across.select("a", "b"), texts, width, bound))
+        links = links.union(_verified(across.select("a", "b"), classes, texts, width, bound))
     return members, links
 
 
