@@ -75,7 +75,7 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         keep = counts > 1
         empty = pa.nulls(int(keep.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [empty, empty, empty, empty.cast(pa.binary()), pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])],
+            [empty, empty, empty, pa.nulls(len(empty), pa.binary()), pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])],
             schema=schema,
         )
 

@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.llm.decontaminate import contaminated
 from termloom.llm.ngram_join import near_duplicates
+from termloom.llm.secrets import digest_columns, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -25,3 +27,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op7_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(documents(spark, folder))
+
+
+@query
+def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+@query
+def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return digest_columns(secrets(documents(spark, folder)))
