@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from termloom.llm import bpe
 from termloom.llm.decontaminate import contaminated
+from termloom.llm.language import identify_held_out
 from termloom.llm.ngram_join import near_duplicates
+from termloom.llm.scratch import shared_folder
 from termloom.llm.secrets import digest_columns, secrets
+from termloom.llm.sharding import shard
+from termloom.llm.token_counts import squeezed, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,3 +45,30 @@ def op1_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return digest_columns(secrets(documents(spark, folder)))
+
+
+@query
+def op8_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return identify_held_out(documents(spark, folder))
+
+
+@query
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard(documents(spark, folder), 40).select(
+        "*", F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+@query
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    # a cache of its own, so that the query encodes every distinct text
+    cache = f"{shared_folder(spark)}/token-counts-{uuid.uuid4().hex}"
+    counts = token_counts(
+        documents(spark, folder), public_tokenizers.path("word_bpe_49k.json"), cache, normalise=squeezed
+    )
+    return counts.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(bpe.encode(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")))
