@@ -13,6 +13,7 @@ from termloom.llm import bpe
 from termloom.llm.decontaminate import contaminated
 from termloom.llm.language import identify_held_out
 from termloom.llm.ngram_join import near_duplicates
+from termloom.llm.order_minhash import edited_fingerprints
 from termloom.llm.scratch import shared_folder
 from termloom.llm.secrets import digest_columns, secrets
 from termloom.llm.sharding import shard
@@ -72,3 +73,8 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(bpe.encode(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query
+def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, folder))

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.llm.scratch import stored
+
 #: Ordered units: a fixed number, some hundred for each shard.
 UNITS = 1 << 14
 #: Parts of each shard that are numbered side by side.
@@ -77,17 +79,19 @@ def shard(documents: DataFrame, shards: int, text: str = "text", doc_id: str = "
     Other columns are ignored; no documents give no rows.
     """
     content = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(
+    # short rows, stored so that the texts are read once
+    short = documents.select(
         F.col(doc_id).alias("doc_id"),
         (F.octet_length(content).cast("long") + OVERHEAD).alias("size"),
         F.crc32(content).alias("text_crc32"),
         F.pmod(F.xxhash64(content), F.lit(UNITS)).cast("int").alias("unit"),
+        F.pmod(F.xxhash64(F.col(doc_id), content), F.lit(CELLS)).cast("int").alias("cell"),
     )
+    rows = stored(short, "sizes")
     cuts = partition(rows.groupBy("unit").agg(F.sum("size").alias("size")), shards).first()["cuts"]
     number = F.size(F.filter(F.lit(cuts).cast("array<int>"), lambda c: c <= F.col("unit")))
     # documents are numbered within cells of a shard, so that no shard is one task and copies are spread
-    cell = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(CELLS)).cast("int")
-    placed = rows.withColumn("shard", number.cast("int")).withColumn("cell", cell)
+    placed = rows.withColumn("shard", number.cast("int"))
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
         placed.groupBy("shard", "cell")
