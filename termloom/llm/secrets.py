@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termloom.llm.scratch import stored
+
 #: Most characters between two parts of one credential.
 SCOPE = 200
 REDACTED = "[redacted]"
@@ -78,7 +80,8 @@ def parts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> t
         .agg(F.count("*").alias("copies"))
     )
     so_far = Window.partitionBy("doc_id", "row", "kind").orderBy("place")
-    placed = matches.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("long"))
+    # short rows, stored so that the texts are read once
+    placed = stored(matches.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far).cast("long")), "parts")
     rows = placed.filter("kind = ''").select("doc_id", "row", "copies")
     spans = placed.filter("kind <> '' AND kept").select("row", "kind", (F.col("end") - F.col("size")).alias("start"), "end")
     return rows, spans
