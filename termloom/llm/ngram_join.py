@@ -183,17 +183,25 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
 
 
 def _meet_across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, key, n, label) of wide columns -> pairs of different labels, sizes not too far apart."""
-    for grams, keys, sizes, labels in _runs(batches):
+    """Rows (gram, key, n, label, blocks) of wide columns -> pairs of different labels whose blocks leave room."""
+    for grams, keys, sizes, labels, blocks in _runs(batches):
         first = np.flatnonzero(np.diff(grams, prepend=grams[0] - 1))
         for at, n in zip(first, np.diff(first, append=len(grams)), strict=True):
             k, s, l = keys[at : at + n], sizes[at : at + n], labels[at : at + n]
-            values, counts = np.unique(l, return_counts=True)
+            counts = np.frombuffer(b"".join(blocks[at : at + n]), np.uint8).reshape(-1, BLOCKS)
+            # 255 stands for that many or more, and bounds nothing
+            open_ended = (counts == 255).any(axis=1)
+            values, often = np.unique(l, return_counts=True)
+            a, b = [], []
             # every pair of different labels holds a row that is not of the commonest label
-            for i in np.flatnonzero(l != values[counts.argmax()]):
-                near = (l != l[i]) & (np.minimum(s, s[i]) >= similarity * np.maximum(s, s[i]) - 1e-6)
-                if near.any():
-                    yield _pair_rows([np.full(int(near.sum()), k[i])], [k[near]])
+            for i in np.flatnonzero(l != values[often.argmax()]):
+                near = np.flatnonzero((l != l[i]) & (np.minimum(s, s[i]) >= similarity * np.maximum(s, s[i]) - 1e-6))
+                most = np.minimum(counts[near], counts[i]).sum(axis=1, dtype=np.int64)
+                room = most * (1 + similarity) >= similarity * (s[near] + s[i]) - 1e-6
+                near = near[room | open_ended[near] | open_ended[i]]
+                a.append(np.full(len(near), k[i]))
+                b.append(k[near])
+            yield _pair_rows(a, b)
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], width: int, wanted) -> Iterator[pa.RecordBatch]:
@@ -299,7 +307,8 @@ def ngram_join(
         labels = components(links)
         across = (
             wide.join(labels.withColumnRenamed("node", "key"), "key", "left")
-            .select("gram", "key", "n", F.coalesce("label", "key").alias("label"))
+            .join(classes.select("key", "blocks"), "key")
+            .select("gram", "key", "n", F.coalesce("label", "key").alias("label"), "blocks")
             .repartition("gram")
             .sortWithinPartitions("gram", "n", "key")
             .mapInArrow(partial(_meet_across, similarity=float(bound)), "a long, b long, gram long, key long, n long")
