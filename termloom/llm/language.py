@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.llm.hashes import SortedHashes
 from termloom.llm.words import mix, slices
 
 ORDER = 4
@@ -74,32 +75,6 @@ def _hashes(characters: np.ndarray, size: int) -> np.ndarray:
     return mix(total)
 
 
-class _Sorted:
-    """Sorted hashes with a row of numbers each; their leading bits tell where to look."""
-
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        bits = max(4, int(len(keys)).bit_length() + 2)
-        self.shift = _U(64 - bits)
-        self.keys = np.concatenate([keys[order], np.zeros(1, _U)])
-        self.values = values[order]
-        self.first = np.searchsorted(keys[order] >> self.shift, np.arange((1 << bits) + 1, dtype=_U))
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Row of each key, or -1."""
-        bucket = (keys >> self.shift).astype(np.int64)
-        at, end = self.first[bucket], self.first[bucket + 1]
-        out = np.where((self.keys[at] == keys) & (at < end), at, -1)
-        todo = np.flatnonzero((out < 0) & (at + 1 < end))
-        while len(todo):
-            at[todo] += 1
-            hit = self.keys[at[todo]] == keys[todo]
-            out[todo[hit]] = at[todo[hit]]
-            todo = todo[~hit]
-            todo = todo[at[todo] + 1 < end[todo]]
-        return out
-
-
 class Model:
     """Models of several languages, learned from counts of their n-grams of order ORDER."""
 
@@ -141,8 +116,8 @@ class Model:
                 table[:, k] = values
                 weights[:, k] = [weight.get(c, 1.0) for c in contexts]
                 below[k] = dict(zip(grams, values, strict=True))
-            self.levels.append(_Sorted(self._keys(grams, size), np.log(table)))
-            self.contexts.append(_Sorted(self._keys(contexts, size - 1), np.log(weights)))
+            self.levels.append(SortedHashes(self._keys(grams, size), np.log(table)))
+            self.contexts.append(SortedHashes(self._keys(contexts, size - 1), np.log(weights)))
 
     @staticmethod
     def _keys(grams: list[tuple], size: int) -> np.ndarray:

@@ -17,6 +17,7 @@ from termloom.llm.order_minhash import edited_fingerprints
 from termloom.llm.scratch import shared_folder
 from termloom.llm.secrets import digest_columns, secrets
 from termloom.llm.sharding import shard
+from termloom.llm.suffix_tree import score_held_out
 from termloom.llm.token_counts import squeezed, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,3 +79,8 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return edited_fingerprints(documents(spark, folder))
+
+
+@query
+def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return score_held_out(documents(spark, folder))
