@@ -14,6 +14,7 @@ from termloom.llm.decontaminate import contaminated
 from termloom.llm.language import identify_held_out
 from termloom.llm.ngram_join import near_duplicates
 from termloom.llm.order_minhash import edited_fingerprints
+from termloom.llm.repeats import remove_repeats
 from termloom.llm.scratch import shared_folder
 from termloom.llm.secrets import digest_columns, secrets
 from termloom.llm.sharding import shard
@@ -84,3 +85,8 @@ def op4_order_minhash(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return score_held_out(documents(spark, folder))
+
+
+@query
+def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder)).drop("kept")
