@@ -286,6 +286,18 @@ def identify(documents: DataFrame, model: Model, text: str = "text", keep: tuple
     )
 
 
+def _accepted(batches: Iterator[pa.RecordBatch], model, text: str) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rejected = [r[3] for _, _, data, offsets in slices(batch.column(text)) for r in model.value.decide(data, offsets)]
+        yield batch.filter(pa.array([not r for r in rejected], pa.bool_()))
+
+
+def accepted(documents: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The documents that :func:`identify` doesn't reject, with all their columns."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    return documents.mapInArrow(partial(_accepted, model=shared, text=text), documents.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Documents that are never learned from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

@@ -24,7 +24,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import components
@@ -59,10 +59,10 @@ def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[int, np.ndarray]]
 
 
 def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """A row (doc_id, n, key) for every document, with the sizes of its blocks once for each class in a task;
+    """A row (doc_id, row, n, key) for every document, with the sizes of its blocks once for each class in a task;
     (gram, count) rows of n-grams that a task meets again."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("blocks", pa.binary()), ("gram", pa.int64()), ("count", pa.int64())]
+        [(c, pa.int64()) for c in ("doc_id", "row", "n", "key")] + [("blocks", pa.binary()), ("gram", pa.int64()), ("count", pa.int64())]
     )
     seen: set[int] = set()
     held: list[np.ndarray] = []
@@ -75,7 +75,7 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         keep = counts > 1
         empty = pa.nulls(int(keep.sum()), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [empty, empty, empty, pa.nulls(len(empty), pa.binary()), pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])],
+            [empty, empty, empty, empty, pa.nulls(len(empty), pa.binary()), pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])],
             schema=schema,
         )
 
@@ -99,7 +99,7 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         none = pa.nulls(len(batch), pa.int64())
         ids = batch.column("doc_id").cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [ids, pa.array(sizes), pa.array(keys), pa.array(blocks, pa.binary()), none, none], schema=schema
+            [ids, batch.column("row"), pa.array(sizes), pa.array(keys), pa.array(blocks, pa.binary()), none, none], schema=schema
         )
     yield again()
 
@@ -266,13 +266,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
     return stored(both.mapInArrow(partial(_linked, similarity=similarity), "a long, b long"), "links")
 
 
+def _row(text: str, doc_id: str) -> Column:
+    return F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit("")))
+
+
 def ngram_join(
     documents: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = 5, similarity: str = "0.8"
 ) -> tuple[DataFrame, DataFrame]:
     """Self-join of documents by the Jaccard similarity of their n-gram sets.
 
-    Returns ``members`` (doc_id, n, key): one row for each document with the size of its set and the key of
-    its class, and ``links`` (a, b) between classes: enough of the links to give all components, and every
+    Returns ``members`` (doc_id, row, n, key): one row for each document with a hash of its id and text, the size
+    of its set and the key of its class, and ``links`` (a, b) between classes: enough of the links to give all components, and every
     link of classes that meet in a column with at most ``WIDE`` rows.
 
     A null or empty text, or one without words, has an empty set, class 0, and links with nothing. A text
@@ -281,15 +285,17 @@ def ngram_join(
     """
     spark = documents.sparkSession
     bound = Fraction(similarity)
-    texts = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    texts = documents.select(
+        F.col(doc_id).cast("long").alias("doc_id"), _row(text, doc_id).alias("row"), F.col(text).alias("text")
+    )
     surveyed = stored(
         texts.mapInArrow(
-            partial(_survey, width=width), "doc_id long, n long, key long, blocks binary, gram long, count long"
+            partial(_survey, width=width), "doc_id long, row long, n long, key long, blocks binary, gram long, count long"
         ),
         "survey",
     )
     classes = surveyed.filter("blocks IS NOT NULL").select("key", "n", "blocks").dropDuplicates(["key"])
-    members = surveyed.filter("key IS NOT NULL").select("doc_id", "n", "key")
+    members = surveyed.filter("key IS NOT NULL").select("doc_id", "row", "n", "key")
     common = surveyed.filter("gram IS NOT NULL").groupBy("gram").agg(F.sum("count").alias("count"))
     frequent = spark.sparkContext.broadcast(bit_filter(common.filter(F.col("count") >= FREQUENT), F.col("gram")))
     entries = texts.select("text").mapInArrow(
@@ -317,6 +323,14 @@ def ngram_join(
     return members, links
 
 
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """The members with words, with the label of their component."""
+    labels = components(links).withColumnRenamed("node", "key")
+    return members.filter("n > 0").join(labels, "key", "left").select(
+        "doc_id", "row", "n", F.coalesce("label", "key").alias("label")
+    )
+
+
 def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document: the smallest doc_id that links lead to.
 
@@ -324,11 +338,39 @@ def near_duplicates(documents: DataFrame, **options) -> DataFrame:
     included only. Null ids stay null and are never the smallest; a component without an id has none.
     """
     members, links = ngram_join(documents, **options)
-    labels = components(links)
-    labelled = members.filter("n > 0").join(labels.withColumnRenamed("node", "key"), "key", "left").select(
-        "doc_id", "n", F.coalesce("label", "key").alias("label")
-    )
+    labelled = _labelled(members, links)
     smallest = labelled.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     with_words = labelled.join(smallest, "label").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     without = members.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return with_words.union(without)
+
+
+def _picked(batches: Iterator[pa.RecordBatch], wanted, inside: bool) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash is in the filter, or those whose isn't."""
+    for batch in batches:
+        keep = in_filter(wanted.value, batch.column("row").to_numpy()) == inside
+        yield batch.filter(pa.array(keep))
+
+
+def distinct_documents(documents: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """One document of each component with all its columns: the one with the smallest id, ids before nulls.
+
+    Of repeated rows one stays. Documents without words all stay. Only the texts of documents that may go are
+    shuffled: the others pass a bit filter.
+    """
+    members, links = ngram_join(documents, text, doc_id, **options)
+    labelled = stored(_labelled(members, links), "labelled")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    first = labelled.groupBy("label").agg(F.min_by("row", order).alias("first"))
+    tagged = labelled.join(first, "label")
+    losers = tagged.filter("row <> first").select("row").distinct()
+    repeated = labelled.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").select("row")
+    goes = documents.sparkSession.sparkContext.broadcast(bit_filter(losers.union(repeated), F.col("row")))
+    # the columns stay in a struct of their own, whatever their names
+    rows = documents.select(F.struct(*documents.columns).alias("document"), _row(text, doc_id).alias("row"))
+    stay = rows.mapInArrow(partial(_picked, wanted=goes, inside=False), rows.schema)
+    maybe = rows.mapInArrow(partial(_picked, wanted=goes, inside=True), rows.schema).join(losers, "row", "left_anti")
+    once = maybe.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+    other = maybe.join(repeated, "row", "left_anti")
+    columns = ("document", "row")
+    return stay.select(*columns).union(once.select(*columns)).union(other.select(*columns)).select("document.*")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,3 +91,12 @@ def op2_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(documents(spark, folder)).drop("kept")
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
+
+
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -136,10 +136,10 @@ def redact(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
 
     Overlapping spans become one. Null texts stay null.
     """
-    found = secrets(documents, text, doc_id).filter("size(spans) > 0").select(F.col("row").alias("_row"), F.col("spans").alias("_spans"))
+    found = secrets(documents, text, doc_id).filter("size(spans) > 0").select("row", "spans").dropDuplicates(["row"])
     # spans that begin before an earlier one ends are merged into it
     merged = F.aggregate(
-        "_spans",
+        "spans",
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (s["start"] < F.element_at(done, -1)["end"]),
@@ -149,19 +149,20 @@ def redact(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
             ),
         ).otherwise(F.concat(done, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))),
     )
-    content = F.col(text)
-    before = lambda i: F.coalesce(F.get("_cuts", i - 1)["end"], F.lit(0))
+    content = F.col("document")[text]
+    before = lambda i: F.coalesce(F.get("cuts", i - 1)["end"], F.lit(0))
     pieces = F.transform(
-        "_cuts", lambda s, i: content.substr((before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int"))
+        "cuts", lambda s, i: content.substr((before(i) + 1).cast("int"), (s["start"] - before(i)).cast("int"))
     )
-    rest = content.substr((F.element_at("_cuts", -1)["end"] + 1).cast("int"), F.length(content))
+    rest = content.substr((F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length(content))
     cleaned = F.concat(F.concat_ws(REDACTED, pieces), F.lit(REDACTED), rest)
-    keyed = documents.withColumn("_row", F.xxhash64(F.col(doc_id), F.coalesce(content, F.lit(""))))
-    return (
-        keyed.join(found.withColumn("_cuts", merged).drop("_spans"), "_row", "left")
-        .withColumn(text, F.when(F.col("_cuts").isNull(), content).otherwise(cleaned))
-        .select(*documents.columns)
+    # the columns stay in a struct of their own, whatever their names
+    keyed = documents.select(
+        F.struct(*documents.columns).alias("document"), F.xxhash64(F.col(doc_id), F.coalesce(F.col(text), F.lit(""))).alias("row")
     )
+    joined = keyed.join(found.select("row", merged.alias("cuts")), "row", "left")
+    new = F.when(F.col("cuts").isNull(), content).otherwise(cleaned)
+    return joined.select(*(new.alias(c) if c == text else F.col("document")[c].alias(c) for c in documents.columns))
 
 
 def digest_columns(found: DataFrame) -> DataFrame:
