@@ -106,11 +106,12 @@ class _Size:
         self.window = (smallest + largest) // 2
         self.step = max(1, self.window // 16)
         self.prints = [int(next(fingerprints(grams, [(len(grams), 1)]))[0]) for _, grams in items]
-        self.tables = np.zeros((BLOCKS, 1 << 16), _U)
+        self.values = np.array(self.prints, _U)
+        self.tables = np.zeros((BLOCKS, 1 << 16), np.uint32)
         masks = _near(RADIUS // BLOCKS)
         for i, value in enumerate(self.prints):
             for block in range(BLOCKS):
-                self.tables[block][(value >> (16 * block) & 0xFFFF) ^ masks] |= _U(1 << i)
+                self.tables[block][(value >> (16 * block) & 0xFFFF) ^ masks] |= np.uint32(1 << i)
 
     def candidates(self, prints: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(place of an item, places of the fingerprints within the radius of it)."""
@@ -118,13 +119,22 @@ class _Size:
         found = self.tables[0][blocks[:, 0]]
         for block in range(1, BLOCKS):
             found |= self.tables[block][blocks[:, block]]
-        some = np.flatnonzero(found)
-        found = found[some]
-        for i, value in enumerate(self.prints):
-            at = some[found & _U(1 << i) != 0]
-            at = at[np.bitwise_count(prints[at] ^ _U(value)) <= RADIUS]
-            if len(at):
-                yield i, at
+        at = np.flatnonzero(found)
+        found, near = found[at], prints[at]
+        items, places = [], []
+        # one item of each entry at a time, the lowest bit first
+        while len(at):
+            rest = found & (found - np.uint32(1))
+            item = np.bitwise_count((found ^ rest) - np.uint32(1))
+            hit = np.flatnonzero(np.bitwise_count(near ^ self.values[item]) <= RADIUS)
+            items.append(item[hit])
+            places.append(at[hit])
+            more = np.flatnonzero(rest)
+            at, found, near = at[more], rest[more], near[more]
+        if items:
+            item, place = np.concatenate(items), np.concatenate(places)
+            for i in np.unique(item):
+                yield int(i), np.sort(place[item == i])
 
 
 class _Index:
@@ -145,8 +155,8 @@ class _Index:
     def _sizes(items: list) -> list[_Size]:
         out, start = [], 0
         for i in range(1, len(items) + 1):
-            # at most 64 items, one for each bit of a table's entry
-            if i == len(items) or len(items[i][1]) * 10 > len(items[start][1]) * 11 or i - start == 64:
+            # at most 32 items, one for each bit of a table's entry
+            if i == len(items) or len(items[i][1]) * 10 > len(items[start][1]) * 11 or i - start == 32:
                 out.append(_Size(items[start:i]))
                 start = i
         return out
@@ -180,36 +190,43 @@ def _matches(texts: pa.Array, index: _Index, similarity: float) -> Iterator[tupl
         for width, sizes in index.widths.items():
             parts = [window_hashes(words[a:b], width) for a, b in zip(of[:-1], of[1:], strict=True)]
             ends = np.cumsum([len(p) for p in parts])
+            begins = ends - [len(p) for p in parts]
             grams = np.concatenate(parts) if parts else words
             found: dict[tuple[int, int, int], list[np.ndarray]] = {}
-            longest = max(s.window for s in sizes)
-            for at in range(0, len(grams), CHUNK):
-                piece = grams[at : at + CHUNK + longest - 1]
-                for s, prints in zip(sizes, _each(piece, sizes), strict=True):
-                    prints = prints[: -(-CHUNK // s.step)]
-                    for i, places in s.candidates(prints):
-                        places = at + places * s.step
-                        row = np.searchsorted(ends, places, side="right")
-                        inside = places + s.window <= ends[row]
-                        for r in np.unique(row[inside]):
-                            found.setdefault((int(r), id(s), i), []).append(places[inside & (row == r)])
+            for s, (prints, starts) in zip(sizes, _all_prints(grams, sizes), strict=True):
+                for i, at in s.candidates(prints):
+                    places = starts[at]
+                    # a window may reach over the ends of its document by less than a step
+                    row = np.searchsorted(ends, places + s.window // 2, side="right")
+                    inside = (places > begins[row] - s.step) & (places + s.window < ends[row] + s.step)
+                    for r in np.unique(row[inside]):
+                        found.setdefault((int(r), id(s), i), []).append(places[inside & (row == r)])
             by_id = {id(s): s for s in sizes}
             for r, part in enumerate(parts):
                 for s in sizes:
                     # a document shorter than the window is one window
                     if 0 < len(part) < s.window and len(part) >= similarity * s.smallest:
                         for i, _ in s.candidates(next(fingerprints(part, [(len(part), 1)]))):
-                            found.setdefault((r, id(s), i), []).append(np.array([ends[r] - len(part)]))
+                            found.setdefault((r, id(s), i), []).append(begins[r : r + 1])
             for (r, s, i), places in sorted(found.items(), key=lambda x: x[0][0]):
                 item, item_grams = by_id[s].items[i]
                 slack = by_id[s].step + abs(len(item_grams) - by_id[s].window) + 1
-                local = np.concatenate(places) - (ends[r] - len(parts[r]))
+                local = np.concatenate(places) - begins[r]
                 if best := _best(parts[r], item_grams, local, slack, similarity):
                     yield first + r, item, best[0], best[1], min(len(item_grams), len(parts[r])) + width - 1
 
 
-def _each(piece: np.ndarray, sizes: list[_Size]) -> Iterator[np.ndarray]:
-    return fingerprints(piece, [(s.window, s.step) for s in sizes])
+def _all_prints(grams: np.ndarray, sizes: list[_Size]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Fingerprints and starts of the windows of each size; the windows are made chunk by chunk."""
+    longest = max(s.window for s in sizes)
+    prints, starts = [[grams[:0]] for _ in sizes], [[np.zeros(0, np.int64)] for _ in sizes]
+    for at in range(0, len(grams), CHUNK):
+        piece = grams[at : at + CHUNK + longest - 1]
+        for k, part in enumerate(fingerprints(piece, [(s.window, s.step) for s in sizes])):
+            part = part[: -(-CHUNK // sizes[k].step)]
+            prints[k].append(part)
+            starts[k].append(at + sizes[k].step * np.arange(len(part)))
+    return [(np.concatenate(p), np.concatenate(s)) for p, s in zip(prints, starts, strict=True)]
 
 
 _INDEXES: dict[str, _Index] = {}
