@@ -93,3 +93,32 @@ def patterns(query: Column, **limits) -> Column:
 def processed(query: Column, query_terms: Column) -> Column:
     """The terms joined by blanks; without any term the stripped residual text."""
     return F.when(F.size(query_terms) > 0, F.array_join(query_terms, " ")).otherwise(strip(residual(query)))
+
+
+def has_operators(query: Column) -> Column:
+    """Whether the text is boolean with an operator in capitals; ``and`` in prose is a word."""
+    return residual(query).rlike(r"(^|[\s(])(AND|OR|NOT)([\s(]|$)")
+
+
+def clauses(query: Column, **limits) -> Column:
+    """Clauses of a boolean text, all of which hold: (negated, terms), any of the terms each.
+
+    Words without an operator between them are clauses of their own, ``OR`` joins the words beside it, ``NOT``
+    negates what follows it: a word, words joined by ``OR``, or every word of brackets. Brackets otherwise
+    only group: an ``AND`` inside brackets that ``OR`` joins to something isn't kept together. Clauses
+    without a fitting term drop out.
+    """
+    text = F.regexp_replace(residual(query), r"[^\p{L}\p{N}_()\s]+", " ")
+    text = F.regexp_replace(text, r"(^|[\s(])NOT\s*\(\s*", "$1NOT (")
+    text = F.regexp_replace(text, r"(?<=NOT \([^()]{0,500})\s+(?:(?:AND|OR)\s+)?(?=[^()\s][^()]*\))", "|")
+    text = F.regexp_replace(text, r"[()]", " ")
+    text = F.regexp_replace(text, r"\s+OR\s+", "|")
+    text = F.regexp_replace(text, r"(^|\s)(AND|OR)(?=\s|$)", " ")
+    text = F.regexp_replace(text, r"(^|\s)NOT\s+", " -")
+    pieces = F.regexp_extract_all(text, F.lit(r"-?[\p{L}\p{N}_|]+"), F.lit(0))
+
+    def clause(piece: Column) -> Column:
+        found = F.split(F.lower(F.regexp_replace(piece, "^-", "")), "[|]")
+        return F.struct(piece.startswith("-").alias("negated"), keep_terms(found, **limits).alias("terms"))
+
+    return F.filter(F.transform(pieces, clause), lambda c: F.size(c["terms"]) > 0)

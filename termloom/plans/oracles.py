@@ -106,16 +106,22 @@ lens AS (SELECT path, field, len(toks) AS doc_len FROM arrays),
 postings AS (SELECT path, field, term, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM tok GROUP BY ALL),
 dfs AS (SELECT field, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM postings GROUP BY ALL),
 fs AS (SELECT field, count(*) AS n_docs, avg(doc_len) AS avg_len FROM lens GROUP BY ALL),
-batch_q AS (SELECT item_id AS query_id, split_part(text, '.', 1) AS query FROM benchmark),
+batch_q AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+all_words AS (
+  SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM benchmark),
+six AS (
+  SELECT item_id * 100000 + start AS id, w[start + 1:start + 6] AS w FROM (
+    SELECT item_id, w, unnest(list_distinct(list_append(range(0, len(w) - 5, 6), len(w) - 6))) AS start
+    FROM all_words WHERE len(w) >= 6)),
 mixed_q AS (
-  SELECT item_id * 6 + unnest(range(6)) AS query_id, unnest([
+  SELECT id * 6 + unnest(range(6)) AS query_id, unnest([
     concat('"', w[1], ' ', w[2], '" filename:', w[3]), concat(w[2], '* ', w[3]),
     concat(w[1], ' AND ', w[2], ' title:', w[4], ' title:', w[5]), w[4],
     concat(' ', w[3], '  of ', w[5], ' ', w[6], '! '), concat(' ', chr(10), ' ')]) AS query
-  FROM (SELECT item_id, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM benchmark)),
+  FROM six),
 any_q AS (
   SELECT * FROM mixed_q
-  UNION ALL SELECT conv_id * 1000 + turn + 1000000, text FROM conversations),
+  UNION ALL SELECT conv_id * 1000 + turn + 1000000000000, text FROM conversations),
 texts AS (SELECT * FROM any_q UNION ALL SELECT -1 - query_id, query FROM batch_q),
 parts AS (
   SELECT *, NOT regexp_matches(query, '\S') AS blank,
@@ -148,7 +154,7 @@ bm_top AS (
   FROM bm QUALIFY rank <= 20),
 batch_terms AS (
   SELECT DISTINCT -1 - query_id AS query_id, field, term FROM (
-    SELECT query_id, unnest(terms) AS term FROM analysed WHERE query_id < 0 AND length(original) <= 500),
+    SELECT query_id, unnest(terms) AS term FROM analysed WHERE query_id < 0),
     (SELECT unnest(['title', 'content', 'filename', 'tags']) AS field)),
 batch_hits AS (
   SELECT query_id, path, tf, doc_len, df, n_docs, avg_len FROM batch_terms JOIN postings USING (field, term)
@@ -211,7 +217,7 @@ SELECT path, CASE WHEN reason IS NULL THEN 'indexed' ELSE 'skipped' END AS statu
 
 _DIFFERENT = "list_filter(range(1, length(a) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1))"
 # the byte distance is a cheap bound: it lets most pairs skip the exact test on characters
-_ONE_EDIT = f"""CASE WHEN abs(length(a) - length(b)) > 1 OR damerau_levenshtein(a, b) > 4 THEN false ELSE (a = b
+_ONE_EDIT = f"""CASE WHEN abs(length(a) - length(b)) > 1 OR damerau_levenshtein(a, b) > 8 THEN false ELSE (a = b
   OR (length(b) = length(a) + 1 AND len(list_filter(range(1, length(b) + 1),
       lambda i: left(b, i - 1) || substr(b, i + 1) = a)) > 0)
   OR (length(a) = length(b) + 1 AND len(list_filter(range(1, length(a) + 1),
@@ -223,9 +229,9 @@ _ONE_EDIT = f"""CASE WHEN abs(length(a) - length(b)) > 1 OR damerau_levenshtein(
 
 
 def _fuzzy(words: str, condition: str = "true") -> str:
-    """(word, term) pairs over the ASCII content vocabulary."""
+    """(word, term) pairs over the content vocabulary."""
     return f"""SELECT a AS word, b AS term FROM {words},
-      (SELECT DISTINCT term AS b FROM dfs WHERE field = 'content' AND regexp_matches(term, '^[a-z]+$'))
+      (SELECT DISTINCT term AS b FROM dfs WHERE field = 'content')
       WHERE {condition} AND {_ONE_EDIT}"""
 
 
@@ -250,7 +256,7 @@ _PHRASE_SQL = " UNION ALL ".join(
 )
 
 _MIXED = f"""
-, mixed AS (SELECT * FROM analysed WHERE query_id >= 0 AND query_id < 1000000 AND NOT blank
+, mixed AS (SELECT * FROM analysed WHERE query_id >= 0 AND query_id < 1000000000000 AND NOT blank
     AND (len(terms) > 0 OR len(phrases) > 0 OR len(names) > 0)),
 all_fields AS (SELECT unnest(['title', 'content', 'filename', 'tags']) AS field),
 wild AS (
@@ -276,13 +282,44 @@ mixed_hits AS (
   SELECT query_id, path, field, term FROM plain_terms JOIN postings USING (field, term)
   UNION ALL SELECT query_id, path, field, term FROM phrase_terms JOIN postings USING (field, term)
     SEMI JOIN phrase_docs USING (query_id, path)),
+-- the third kind of text asks for both words that AND joins, those that are no stop words
+asked AS (
+  SELECT DISTINCT id * 6 + 2 AS query_id, term FROM (SELECT id, unnest(w[1:2]) AS term FROM six)
+  WHERE length(term) BETWEEN 3 AND 50 AND NOT list_contains({STOP}, term)),
+held AS (SELECT query_id, path, count(DISTINCT term) AS n FROM asked JOIN postings USING (term) GROUP BY ALL),
+allowed AS (
+  SELECT query_id, path FROM held JOIN (SELECT query_id, count(*) AS n FROM asked GROUP BY ALL) USING (query_id, n)),
 mixed_scored AS (
-  SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM mixed_hits JOIN postings USING (path, field, term)
+  SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM
+    (SELECT * FROM mixed_hits WHERE query_id % 6 <> 2 UNION ALL SELECT * FROM mixed_hits SEMI JOIN allowed USING (query_id, path)) JOIN postings USING (path, field, term)
   JOIN dfs USING (field, term) JOIN fs USING (field) JOIN lens USING (path, field) GROUP BY ALL)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, path,
   round(score, 6) AS score FROM mixed_scored WHERE score >= 0.1 QUALIFY rank <= 20
 """
 
+_BOOLEAN = f"""
+, clause(query_id, clause, negated, term) AS (
+  SELECT id * 5, unnest([0, 1, 2]), false, unnest(w[1:3]) FROM six
+  UNION ALL SELECT id * 5 + 1, unnest([0, 0, 1]), false, unnest(w[1:3]) FROM six
+  UNION ALL SELECT id * 5 + 2, unnest([0, 1]), unnest([true, false]), unnest(w[4:5]) FROM six
+  UNION ALL SELECT id * 5 + 3, unnest([0, 1, 1]), false, unnest(w[4:6]) FROM six
+  UNION ALL SELECT id * 5 + 4, unnest([0, 1, 2]), unnest([false, false, true]), unnest([w[6], w[5], w[1]]) FROM six),
+asked AS (SELECT * FROM clause WHERE length(term) BETWEEN 3 AND 50 AND NOT list_contains({STOP}, term)),
+met AS (SELECT DISTINCT query_id, clause, negated, field, term, path FROM asked JOIN postings USING (term)),
+held AS (SELECT query_id, path, count(DISTINCT clause) AS n FROM met WHERE NOT negated GROUP BY ALL),
+wanted AS (SELECT query_id, count(DISTINCT clause) AS n FROM asked WHERE NOT negated GROUP BY ALL),
+good AS (
+  SELECT query_id, path FROM held JOIN wanted USING (query_id, n)
+  ANTI JOIN (SELECT query_id, path FROM met WHERE negated) USING (query_id, path)),
+summed AS (
+  SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM
+    (SELECT DISTINCT query_id, path, field, term FROM met WHERE NOT negated) SEMI JOIN good USING (query_id, path)
+  JOIN postings USING (path, field, term) JOIN dfs USING (field, term) JOIN fs USING (field) JOIN lens USING (path, field)
+  GROUP BY ALL)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, path,
+  round(score, 6) AS score FROM summed WHERE score >= 0.1 QUALIFY rank <= 20
+"""
+
 _FILTER = (
     f"extension IN {FILTERS['file_types']} AND size <= {FILTERS['max_size']} "
     f"AND modified_time >= TIMESTAMP '{FILTERS['modified_after']}'"
@@ -390,8 +427,9 @@ ORACLES: dict[str, str] = {
       'char_count': char_count, 'paragraph_count': paragraph_count, 'mime_type': 'text/plain'}) AS VARCHAR) AS metadata
       FROM corpus""",
     "entity_tags": r"""
-      , named AS (SELECT DISTINCT regexp_extract(text, '^(\p{L}+ \p{L}+)', 1) AS entity FROM benchmark
-        WHERE length(text) <= 300 AND regexp_matches(text, '^\p{L}+ \p{L}+')),
+      , sentences AS (SELECT unnest(string_split_regex(text, '[.\n]\s*')) AS sentence FROM benchmark),
+      named AS (SELECT DISTINCT regexp_extract(sentence, '^(\p{L}+ \p{L}+)', 1) AS entity FROM sentences
+        WHERE length(sentence) <= 60 AND regexp_matches(sentence, '^\p{L}+ \p{L}+')),
       spaced AS (SELECT path, ' ' || array_to_string(toks, ' ') || ' ' AS line FROM arrays WHERE field = 'content')
       SELECT path, string_agg(entity, '|' ORDER BY entity) AS tags FROM spaced, named
       WHERE contains(line, ' ' || lower(entity) || ' ') GROUP BY path""",
@@ -464,17 +502,18 @@ ORACLES: dict[str, str] = {
       (SELECT query_id, path, round(sum({_TFIDF}), 9) AS score FROM batch_hits GROUP BY ALL)
       WHERE score >= 0.1 QUALIFY rank <= 20""",
     "batch_search_all_kinds": _MIXED,
+    "batch_search_boolean": _BOOLEAN,
     "query_phrases": "SELECT query_id, array_to_string(phrases, '|') AS phrases FROM parts "
-    "WHERE query_id >= 0 AND query_id < 1000000",
+    "WHERE query_id >= 0 AND query_id < 1000000000000",
     "query_filters": """SELECT query_id, coalesce(f, '') AS filters FROM mixed_q LEFT JOIN (SELECT query_id,
       string_agg(name || '=' || val, '|' ORDER BY name) AS f FROM filters GROUP BY query_id) USING (query_id)""",
-    "query_residuals": "SELECT query_id, residual FROM parts WHERE query_id >= 0 AND query_id < 1000000",
+    "query_residuals": "SELECT query_id, residual FROM parts WHERE query_id >= 0 AND query_id < 1000000000000",
     "query_types": "SELECT query_id, search_type FROM analysed WHERE query_id >= 0",
     "query_terms": "SELECT query_id, array_to_string(terms, '|') AS terms FROM analysed WHERE query_id >= 0",
     "analyzed_queries": rf"""SELECT query_id, CASE WHEN blank THEN '' ELSE original END AS original,
       CASE WHEN len(terms) > 0 THEN array_to_string(terms, ' ') ELSE regexp_replace(residual, {STRIP}) END AS processed,
       search_type, CAST(len(terms) AS INTEGER) AS n_terms, CAST(len(phrases) AS INTEGER) AS n_phrases
-      FROM analysed WHERE query_id >= 0 AND query_id < 1000000""",
+      FROM analysed WHERE query_id >= 0 AND query_id < 1000000000000""",
     "log_retention": """SELECT event_id AS query_id, event_type AS query,
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_results FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000""",
     "log_statistics": """SELECT count(*) AS total_searches, round(avg(value), 6) AS average_search_time,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions import document, extract, querytext, text
@@ -30,6 +30,8 @@ PATTERNS = ["thtion*", "th?t", "que*x", "?n", "*ement", "zz*"]
 MISSPELT = ["taht", "thtion", "queuex", "heed"]
 PREFIX = "tha"
 SIZE_CAP_MB = 0.004
+#: whole benchmark texts are queries, however long they are
+MAX_QUERY = 1_000_000
 EXCLUDES = DEFAULT_EXCLUDES + ("*/src5/*",)
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -79,15 +81,29 @@ def landing_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def batch_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """The first sentence of each benchmark item as a query."""
-    return table(spark, folder, "benchmark").select(
-        F.col("item_id").alias("query_id"), F.split_part("text", F.lit("."), F.lit(1)).alias("query")
+    """The text of each benchmark item as a query."""
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def _windows(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, w): six words in a row, until all words of each benchmark item are covered; the last six may overlap."""
+    letters = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
+    items = table(spark, folder, "benchmark").select("item_id", letters.alias("all")).filter(F.size("all") >= 6)
+    last = F.size("all") - 6
+    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(6)), F.array(last)))
+    return items.select("item_id", "all", F.explode(starts).alias("start")).select(
+        (F.col("item_id") * 100_000 + F.col("start")).alias("id"), F.slice("all", F.col("start") + 1, F.lit(6)).alias("w")
+    )
+
+
+def _texts(windows: DataFrame, kinds: Column, n: int) -> DataFrame:
+    return windows.select(F.posexplode(kinds).alias("k", "query"), "id").select(
+        (F.col("id") * n + F.col("k")).alias("query_id"), "query"
     )
 
 
 def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Six query texts of different kinds from the words of each benchmark item."""
-    benchmark = table(spark, folder, "benchmark").select("item_id", F.split(F.lower("text"), r"[^\p{L}]+").alias("w"))
+    """Six query texts of different kinds from every six words of each benchmark item."""
     w = [F.get("w", F.lit(i)) for i in range(6)]
     sp, quote = F.lit(" "), F.lit('"')
     kinds = F.array(
@@ -98,9 +114,20 @@ def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(sp, w[2], F.lit("  of "), w[4], sp, w[5], F.lit("! ")),
         F.lit(" \n "),
     )
-    return benchmark.select(F.posexplode(kinds).alias("k", "query"), "item_id").select(
-        (F.col("item_id") * 6 + F.col("k")).alias("query_id"), "query"
+    return _texts(_windows(spark, folder), kinds, 6)
+
+
+def boolean_queries(spark: SparkSession, folder: str) -> DataFrame:
+    """Five boolean texts from every six words of each benchmark item."""
+    w = [F.get("w", F.lit(i)) for i in range(6)]
+    kinds = F.array(
+        F.concat(w[0], F.lit(" AND "), w[1], F.lit(" "), w[2]),
+        F.concat(w[0], F.lit(" OR "), w[1], F.lit(" "), w[2]),
+        F.concat(F.lit("NOT "), w[3], F.lit(" "), w[4]),
+        F.concat(w[3], F.lit(" AND ("), w[4], F.lit(" OR "), w[5], F.lit(")")),
+        F.concat(w[5], F.lit(" "), w[4], F.lit(" NOT "), w[0]),
     )
+    return _texts(_windows(spark, folder), kinds, 5)
 
 
 def log(spark: SparkSession, folder: str) -> DataFrame:
@@ -330,10 +357,11 @@ def entity_tags(spark, folder):
 
 
 def _entities(spark, folder):
-    """A dictionary from the first two words of each benchmark sentence; a long one is a date, which is no tag."""
-    first = F.regexp_extract("text", r"^(\p{L}+ \p{L}+)", 1)
-    label = F.when(F.length("text") > 300, "DATE").when(F.length(first) > 12, "ORG").otherwise("PERSON")
-    return table(spark, folder, "benchmark").select(first.alias("text"), label.alias("label")).filter("text != ''")
+    """A dictionary from the first two words of each sentence of the benchmark; a long one is a date, which is no tag."""
+    sentences = table(spark, folder, "benchmark").select(F.explode(F.split("text", r"[.\n]\s*")).alias("sentence"))
+    first = F.regexp_extract("sentence", r"^(\p{L}+ \p{L}+)", 1)
+    label = F.when(F.length("sentence") > 60, "DATE").when(F.length(first) > 12, "ORG").otherwise("PERSON")
+    return sentences.select(first.alias("text"), label.alias("label")).filter("text != ''").distinct()
 
 
 # --- analysis ----------------------------------------------------------------------------------------
@@ -468,8 +496,7 @@ def wildcard_match(spark, folder):
 
 def _fuzzy(spark, folder, prefix_length):
     words = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
-    vocabulary = content_index(spark, folder).term_stats.filter(F.col("term").rlike("^[a-z]+$"))
-    return match.expand_fuzzy(vocabulary, words, prefix_length)
+    return match.expand_fuzzy(content_index(spark, folder).term_stats, words, prefix_length)
 
 
 @query
@@ -527,7 +554,7 @@ def top_k_single(spark, folder):
 
 
 def _results(spark, folder, **changes):
-    options = SearchOptions(fuzzy=False, **changes)
+    options = SearchOptions(fuzzy=False, max_query_length=MAX_QUERY, **changes)
     index = index_of(documents_corpus(spark, folder))
     return search.batch_search(index, batch_queries(spark, folder), options)
 
@@ -641,10 +668,17 @@ def batch_search_all_kinds(spark, folder):
     return rows.select("query_id", "rank", "path", shown_score())
 
 
+@query
+def batch_search_boolean(spark, folder):
+    index = index_of(documents_corpus(spark, folder))
+    rows = search.batch_search(index, boolean_queries(spark, folder), SearchOptions(highlight=False))
+    return rows.select("query_id", "rank", "path", shown_score())
+
+
 @query
 def batch_search_stemmed(spark, folder):
     index = index_of(documents_corpus(spark, folder), stem=True)
-    options = SearchOptions(stem=True, highlight=False, fuzzy=False)
+    options = SearchOptions(stem=True, highlight=False, fuzzy=False, max_query_length=MAX_QUERY)
     rows = search.batch_search(index, batch_queries(spark, folder), options)
     return rows.select("query_id", "rank", "path", shown_score())
 
@@ -655,7 +689,7 @@ def batch_search_stemmed(spark, folder):
 def _any_queries(spark, folder):
     """The mixed queries and every conversation turn as a query text."""
     turns = table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn") + 1_000_000).alias("query_id"), F.col("text").alias("query")
+        (F.col("conv_id") * 1000 + F.col("turn") + 1_000_000_000_000).alias("query_id"), F.col("text").alias("query")
     )
     return mixed_queries(spark, folder).unionByName(turns)
 
@@ -737,7 +771,7 @@ def log_records(spark, folder):
 
 def _few_results(spark, folder):
     index = index_of(documents_corpus(spark, folder))
-    return search.batch_search(index, batch_queries(spark, folder), SearchOptions(fuzzy=False, limit=5))
+    return search.batch_search(index, batch_queries(spark, folder), SearchOptions(fuzzy=False, limit=5, max_query_length=MAX_QUERY))
 
 
 def _typed_results(spark, folder):

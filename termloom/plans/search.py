@@ -107,6 +107,29 @@ def _filter_terms(valid: DataFrame, options: SearchOptions) -> DataFrame:
     return _stemmed(rows.filter(text), "term").select("query_id", "field", "term").unionByName(rows.filter(~text))
 
 
+def _clause_terms(ruled: DataFrame, options: SearchOptions) -> DataFrame:
+    """(query_id, clause, negated, field, term) of queries with operators."""
+    clauses = ruled.select("query_id", F.posexplode(querytext.clauses(F.col("query"), **_limits(options))).alias("clause", "c"))
+    rows = clauses.select(
+        F.struct("query_id", "clause", F.col("c.negated").alias("negated")).alias("query_id"), F.explode("c.terms").alias("term")
+    )
+    return _field_terms(rows, options).select("query_id.*", "field", "term").distinct()
+
+
+def _allowed(index: Index, clause_terms: DataFrame, small: bool) -> DataFrame:
+    """(query_id, path) with a term of every positive clause and none of a negated one.
+
+    A query with negated clauses alone allows nothing: it ranks no document.
+    """
+    wanted = clause_terms.filter("NOT negated").groupBy("query_id").agg(F.count_distinct("clause").alias("wanted"))
+    met = match.lookup(index.postings, clause_terms, index.buckets, small)
+    # the set of a (query, document) pair is bounded by the length of the query
+    held = met.groupBy(*match.HIT).agg(
+        F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause")))).alias("held"), F.bool_or("negated").alias("barred")
+    )
+    return held.join(sized(wanted, small), "query_id").filter("held = wanted AND NOT barred").select(*match.HIT)
+
+
 def _phrase_terms(valid: DataFrame, options: SearchOptions) -> DataFrame:
     """(phrase_id, query_id, i, term, n_terms): phrase words go through the analyzer of the content."""
     rows = (
@@ -189,17 +212,22 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     # the analysed queries are used in several places; what they hold decides what is planned
     valid, pinned = pin_if_small(valid, SMALL_QUERIES)
     n_terms = F.size("terms") * len(options.fields) + F.size(words(F.col("original")))
+    operators = (F.col("search_type") == "boolean") & querytext.has_operators(F.col("query"))
     kinds = valid.groupBy("search_type").agg(
-        F.count(F.lit(1)).alias("n_queries"), F.sum(n_terms).alias("n_terms")
+        F.count(F.lit(1)).alias("n_queries"), F.sum(n_terms).alias("n_terms"), F.bool_or(operators).alias("operators")
     ).collect()  # five rows at most
     types = {row["search_type"] for row in kinds}
     n_queries = sum(row["n_queries"] for row in kinds)
     small = pinned and sum(row["n_terms"] for row in kinds) <= SMALL_ROWS
 
-    exact = valid.filter(~F.col("search_type").isin("phrase", "wildcard")).select(
+    exact = valid.filter(~F.col("search_type").isin("phrase", "wildcard") & ~operators).select(
         "query_id", F.explode("terms").alias("term")
     )
     parts = [_field_terms(exact, options), _filter_terms(valid, options)]
+    ruled = valid.filter(operators) if any(row["operators"] for row in kinds) else None
+    if ruled is not None:
+        clause_terms = _clause_terms(ruled, options)
+        parts.append(clause_terms.filter("NOT negated"))
     expansions = _expansions(valid, index, types, options, small) if types & {"wildcard", "fuzzy"} else []
     terms = match.union_all([p.select("query_id", "field", "term") for p in parts + expansions]).distinct()
     few_terms = small
@@ -222,6 +250,16 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
         matched.append(hits.join(found, match.HIT, "left_semi"))
     scored = rank.score_hits(match.union_all([m.select(*columns) for m in matched]), options.scorer)
 
+    if ruled is not None:
+        by_rule = ruled.select("query_id", F.lit(True).alias("ruled"))
+        allowed = _allowed(index, clause_terms, small).withColumn("allowed", F.lit(True))
+        scored = (
+            scored.join(sized(by_rule, small), "query_id", "left")
+            .join(allowed, match.HIT, "left")
+            .filter("ruled IS NULL OR allowed")
+            .select("query_id", "path", "score")
+        )
+
     attributes = dict(
         file_types=options.file_types, max_size=options.max_size, modified_after=options.modified_after
     )
