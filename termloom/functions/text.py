@@ -88,10 +88,16 @@ def file_size(size: Column) -> Column:
     return out.otherwise(F.concat(_one_decimal(size, 1024**4), F.lit(" TB")))
 
 
+_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.]\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+
+
 def date_display(value: Column) -> Column:
     """``YYYY-MM-DD HH:MM``; ``Unknown`` for a blank, the raw text when it is not a timestamp."""
     text = value.cast("string")
-    shown = F.coalesce(F.date_format(F.try_to_timestamp(text), "yyyy-MM-dd HH:mm"), text)
+    # the time as it is written: an offset is cut, not applied
+    local = F.when(text.rlike(_ISO), F.regexp_replace(text, r"(Z|[+-]\d{2}:?\d{2})$", ""))
+    local = F.when(F.length(local) == 10, local).otherwise(F.regexp_replace(local, "T", " "))
+    shown = F.coalesce(F.date_format(F.try_to_timestamp(local), "yyyy-MM-dd HH:mm"), text)
     return F.when(text.isNull() | (text == ""), F.lit("Unknown")).otherwise(shown)
 
 

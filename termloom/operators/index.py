@@ -25,6 +25,8 @@ class Index:
     buckets: int | None = None
     #: stored changes of term_stats, not added up; for lookups of single terms
     term_changes: DataFrame | None = None
+    #: titles and contents are stemmed; searches stem their terms accordingly
+    stem: bool = False
 
 
 def mean_lengths(field_stats: DataFrame) -> DataFrame:
@@ -47,4 +49,5 @@ def index_of(
         postings=postings,
         term_stats=analysis.term_stats(postings),
         field_stats=mean_lengths(analysis.field_stats(analysis.field_tokens(corpus, fields=fields))),
+        stem=stem,
     )

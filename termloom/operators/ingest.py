@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import is_blank, matches_any
@@ -50,13 +50,11 @@ def changed(files: DataFrame, indexed: DataFrame) -> DataFrame:
     )
 
 
-def newest(documents: DataFrame, key: str = "path", by: str = "modified_time") -> DataFrame:
-    """One whole row for each key: the newest."""
-    columns = documents.columns
-    row = F.struct(*[F.col(c) for c in columns])
-    return documents.groupBy(key).agg(F.max_by(row, F.col(by)).alias("row")).select(
-        *[F.col("row")[c].alias(c) for c in columns]
-    )
+def newest(documents: DataFrame, key: str = "path", by: str = "modified_time", tie: str = "content_hash") -> DataFrame:
+    """One whole row for each key: the newest, rows without a time last, equal times by ``tie`` where there is one."""
+    order = [F.col(by).desc_nulls_last(), *([F.col(tie)] if tie in documents.columns else [])]
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    return documents.withColumn("_place", place).filter("_place = 1").drop("_place")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
@@ -70,6 +68,7 @@ def ingest_status(
     formats: tuple[str, ...],
     max_file_mb: float,
     indexed: DataFrame | None = None,
+    ignore_hidden: bool = True,
 ) -> DataFrame:
     """(path, status, reason, word_count): what becomes of each scanned file.
 
@@ -82,7 +81,7 @@ def ingest_status(
         files = files.withColumn("indexed_time", F.lit(None).cast("timestamp"))
     unreadable = F.col("unreadable") if "unreadable" in files.columns else F.lit(False)
     reason = (
-        F.when(F.col("filename").startswith("."), "hidden")
+        F.when(F.col("filename").startswith(".") & F.lit(ignore_hidden), "hidden")
         .when(is_excluded(exclude), "excluded")
         .when(~F.col("extension").isin(*formats), "unsupported")
         .when(F.col("modified_time") <= F.col("indexed_time"), "up_to_date")

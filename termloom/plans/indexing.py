@@ -94,11 +94,11 @@ def _status(
     bad = broken.select("path", F.lit(True).alias("unreadable"))
     files = listed.join(done, "path", "left").join(bad, "path", "left")
     files = files.withColumn("unreadable", F.coalesce("unreadable", F.lit(False)))
-    return ingest.ingest_status(files, options.exclude, options.formats, options.max_file_mb, before)
+    return ingest.ingest_status(files, options.exclude, options.formats, options.max_file_mb, before, options.ignore_hidden)
 
 
 def index_table(
-    documents: DataFrame, index_dir: str, buckets: int = 16, stem: bool = False, unique_paths: bool = False
+    documents: DataFrame, index_dir: str, buckets: int | None = None, stem: bool | None = None, unique_paths: bool = False
 ) -> int | None:
     """Index document records that come from tables."""
     store = IndexStore(documents.sparkSession, index_dir, buckets=buckets, stem=stem)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -208,6 +210,8 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     frequencies and scores take part up to the top-k; contents are read for the results alone.
     """
     options = options or SearchOptions()
+    if options.stem != index.stem:  # terms go through the analyzer of the index
+        options = replace(options, stem=index.stem)
     valid = valid_queries(analyze_queries(queries, options), options.max_query_length)
     # the analysed queries are used in several places; what they hold decides what is planned
     valid, pinned = pin_if_small(valid, SMALL_QUERIES)

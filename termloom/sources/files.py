@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from itertools import islice
@@ -50,6 +51,11 @@ def scan_files(spark: SparkSession, path: str | list[str], recursive: bool = Tru
     return with_names(files)
 
 
+def _escaped(paths: list[str]) -> list[str]:
+    """Paths for the reader, which takes names as patterns."""
+    return [re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in paths]
+
+
 def unreadable_files(spark: SparkSession, path: str, suspects: DataFrame, recursive: bool = True) -> DataFrame:
     """(path) of the suspects whose bytes the file source cannot deliver.
 
@@ -62,7 +68,7 @@ def unreadable_files(spark: SparkSession, path: str, suspects: DataFrame, recurs
         if not paths:
             return suspects
         try:
-            files = scan_files(spark, paths, recursive=False)
+            files = scan_files(spark, _escaped(paths), recursive=False)
         except AnalysisException:  # one of them is gone since it was listed
             files = None
     if files is None:
@@ -145,9 +151,12 @@ def scan_changed(spark: SparkSession, path: str, indexed: DataFrame, recursive:
     """
     listed = scan_files(spark, path, recursive).drop("raw")
     todo = changed(listed, indexed).select("path")
-    if not is_small(todo, LISTED_FILES):
-        return scan_files(spark, path, recursive).join(todo, "path", "left_semi")
-    paths = [row.path for row in todo.collect()]  # at most LISTED_FILES
+    paths = [row.path for row in todo.limit(LISTED_FILES + 1).collect()]
     if not paths:
         return scan_files(spark, path, recursive).filter(F.lit(False))
-    return scan_files(spark, paths, recursive=False)
+    if len(paths) <= LISTED_FILES:
+        try:
+            return scan_files(spark, _escaped(paths), recursive=False)
+        except AnalysisException:  # one of them is gone since it was listed
+            pass
+    return scan_files(spark, path, recursive).join(todo, "path", "left_semi")

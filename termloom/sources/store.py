@@ -66,11 +66,15 @@ class State:
 class IndexStore:
     """Reads and writes of one stored index; one writer at a time."""
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = 16, stem: bool = False):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None, stem: bool | None = None):
+        """``buckets`` and ``stem`` (16 and False) hold for a new index; a stored one that differs is an error."""
         self.spark = spark
         self.root = root.rstrip("/")
         state = self._read_state()
-        self.state = state or State(buckets=buckets, stem=stem)
+        for name, asked in (("buckets", buckets), ("stem", stem)):
+            if state is not None and asked is not None and asked != getattr(state, name):
+                raise ValueError(f"the index at {self.root} has {name}={getattr(state, name)}, not {asked}")
+        self.state = state or State(buckets=buckets or 16, stem=bool(stem))
         self.exists = state is not None
 
     # --- state file, through the file system of the root ---------------------------------------
@@ -110,6 +114,8 @@ class IndexStore:
         return f"{self.root}/{table}/batch={batch}"
 
     def _read(self, table: str, batches: list[int]) -> DataFrame:
+        if not batches:  # nothing is stored yet
+            return self.spark.createDataFrame([], SCHEMAS[table])
         paths = [self._path(table, b) for b in batches]
         # the schema is given: a batch may be empty, and no footer has to be read for it
         reader = self.spark.read.schema(SCHEMAS[table]).option("basePath", f"{self.root}/{table}")
@@ -161,6 +167,7 @@ class IndexStore:
             field_stats=mean_lengths(self.field_stats()),
             buckets=self.state.buckets,
             term_changes=self.term_changes(),
+            stem=self.state.stem,
         )
 
     # --- writes ------------------------------------------------------------------------------------

@@ -81,6 +81,9 @@ def test_dates(spark):
     assert one(spark, text.date_display, "2024-03-01T10:11:12", "2024-03-01", "", None, "soon") == [
         "2024-03-01 10:11", "2024-03-01 00:00", "Unknown", "Unknown", "soon",
     ]
+    assert one(spark, text.date_display, "2024", "12:30", "2024-03-01T10:00:00+02:00", "2024-03-01 09:08:07.5Z", "2024-13-01") == [
+        "2024", "12:30", "2024-03-01 10:00", "2024-03-01 09:08", "2024-13-01",
+    ]
 
 
 def test_preview(spark):

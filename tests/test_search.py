@@ -209,3 +209,24 @@ def test_query_log(spark, tmp_path, index):
     assert (stats.total_searches, stats.average_search_time, stats.average_results_per_search) == (2, 0.5, 2.0)
     assert querylog.recent_queries(log).first().recent_queries == ["python", "python"]
     assert querylog.search_stats(log.limit(0)).collect() == []
+
+
+def test_boolean_texts(spark, index):
+    texts = [
+        "python AND machine learning", "web OR mobile development", "NOT deprecated features",
+        "python AND (web OR data)", "machine learning NOT neural networks",
+    ]
+    assert [sorted(found) for found in batch(spark, index, texts)] == [
+        [], ["b/web_dev.txt"], [], ["b/web_dev.txt"], [],
+    ]
+    more = ["python NOT web", "learning NOT (machine OR steps)", "learning AND python", "tutorial OR statistics", "python and web"]
+    assert [sorted(found) for found in batch(spark, index, more)] == [
+        ["a/python_basics.txt"], ["b/data_science.txt"], [], ["a/python_basics.txt", "b/data_science.txt"],
+        ["a/python_basics.txt", "b/web_dev.txt"],
+    ]
+    assert batch(spark, index, ["NOT python", "a OR b", "NOT"]) == [[]] * 3
+
+
+def test_stem_comes_from_the_index(index):
+    stemmed = index_of(index.corpus, stem=True)
+    assert paths(stemmed, "machines mixing", fuzzy=False) == paths(stemmed, "machines mixing", fuzzy=False, stem=True) != []

@@ -174,3 +174,46 @@ def test_stream(spark, write, tmp_path):
     store = IndexStore(spark, root)
     assert store.state.n_docs == 4 and store.state.epochs == {checkpoint: 2}
     assert store.ingest(store.corpus().drop("batch", "pbucket"), epoch=(checkpoint, 2)) is None  # a repeated epoch
+
+
+def test_odd_names_and_vanished_files(spark, write, tmp_path, monkeypatch):
+    from termloom.sources import files as source
+
+    docs, root = write({"one.txt": "first words here"}), str(tmp_path / "index")
+    index_documents(spark, docs, root, OPTIONS)
+    write({"b[1].txt": "bracket name words", "c{x}.txt": "brace name words", "d*e.txt": "star name words"})
+    run = index_documents(spark, docs, root, OPTIONS)
+    assert run.report.first().indexed_files == 3
+    known = IndexStore(spark, root).doc_stats().filter("path NOT LIKE '%name%'").limit(0)
+    named = {r.filename for r in source.scan_changed(spark, docs, known).collect()}
+    monkeypatch.setattr(source, "LISTED_FILES", 1)
+    assert {r.filename for r in source.scan_changed(spark, docs, known).collect()} == named and len(named) == 4
+    # a file that is gone when it is read gives no row
+    monkeypatch.setattr(source, "LISTED_FILES", 100)
+    monkeypatch.setattr(source, "_escaped", lambda paths: [*paths, docs + "/gone.txt"])
+    assert {r.filename for r in source.scan_changed(spark, docs, known).collect()} == named
+
+
+def test_newest_has_one_winner(spark):
+    from termloom.operators.ingest import newest
+
+    rows = [("p", None, "x"), ("p", "2024-01-02", "b"), ("p", "2024-01-02", "a"), ("q", None, "z"), ("q", None, "y")]
+    frame = spark.createDataFrame(rows, "path string, t string, content_hash string").withColumn("modified_time", F.to_timestamp("t"))
+    assert sorted((r.path, r.content_hash) for r in newest(frame).collect()) == [("p", "a"), ("q", "y")]
+
+
+def test_new_store_is_empty_and_arguments_must_fit(spark, write, tmp_path):
+    root = str(tmp_path / "index")
+    assert search(IndexStore(spark, root).index(), "words").count() == 0
+    assert index_stats(spark, root).first().document_count == 0
+    index_documents(spark, write({"a.txt": "machines learn"}), root, IngestOptions(buckets=2, stem=True))
+    assert IndexStore(spark, root).index().stem and found(spark, root, "machine learning") == ["a.txt"]
+    for wrong in (dict(stem=False), dict(buckets=3)):
+        with pytest.raises(ValueError):
+            IndexStore(spark, root, **wrong)
+
+
+def test_hidden_files_that_are_wanted(spark, write, tmp_path):
+    docs = write({".h.txt": "hidden words", "a.txt": "plain words"})
+    run = index_documents(spark, docs, str(tmp_path / "index"), IngestOptions(ignore_hidden=False), mounted=True)
+    assert {(r.status, r.reason) for r in run.status.collect()} == {("indexed", None)}
