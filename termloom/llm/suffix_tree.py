@@ -151,7 +151,7 @@ class Tree:
             gain = np.bincount(of, n * np.log(n / contexts[of] / lower), size)
             with np.errstate(divide="ignore", invalid="ignore"):
                 left = rest * np.log(rest / contexts / np.maximum(1.0 - spent, 1e-300))
-            gain += np.where(rest > 0, left, 0.0)
+            gain = gain + np.where(rest > 0, left, 0.0)
             self.retained.append((kinds > 0) & (gain > kinds * np.log(contexts) / 2))
             self.passed.append((rest + DISCOUNT * kinds) / contexts)
             own = np.where(self.retained[-1][of], (n - DISCOUNT) / contexts[of], 0.0)

@@ -26,7 +26,7 @@ def rows(passages):
     texts += [prose(rng, 40) + " " + p + " " + prose(rng, 30) for p in passages for _ in range(2)]
     texts += [p.capitalize() for p in passages]
     texts += [None, "", " \n\t ", "one", "one two three four", "One  two\tthree four", "é" * 700, "x" * 3000, "日本語 " * 150, "123 456 --- 789"]
-    texts += [prose(rng, 4000), ("lorem ipsum dolor " * 60), "ab" * 900, None]
+    texts += [prose(rng, 4000), ("lorem ipsum dolor " * 60), "ag" * 900, None]
     out = [(i, t, ["en", "de", None][i % 3] if t else None) for i, t in enumerate(texts)]
     out += [out[0], out[0], (None, base, "en"), (None, None, None), (-7, "one", "en"), (-7, "other text", "de")]
     return out
