@@ -27,6 +27,14 @@ class Index:
     term_changes: DataFrame | None = None
     #: titles and contents are stemmed; searches stem their terms accordingly
     stem: bool = False
+    #: of a stored index with replaced documents: all rows, and the (path, batch) of those that are replaced
+    all_postings: DataFrame | None = None
+    all_corpus: DataFrame | None = None
+    removed: DataFrame | None = None
+
+    def live(self, rows: DataFrame) -> DataFrame:
+        """Rows of ``all_postings`` or ``all_corpus`` without those of replaced documents."""
+        return rows if self.removed is None else rows.join(self.removed, ["path", "batch"], "left_anti")
 
 
 def mean_lengths(field_stats: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +17,20 @@ def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def pin_if_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+def pinned_table(df: DataFrame, rows: int) -> tuple[DataFrame, pa.Table | None]:
     """A table of at most ``rows`` rows as a literal of the plan, so that nothing above it runs twice.
 
-    Larger tables stay as they are. For query-side tables of short rows only.
+    Also returns the rows themselves. Larger tables stay as they are. For query-side tables of short rows only.
     """
     table = df.limit(rows + 1).toArrow()
     if table.num_rows > rows:
-        return df, False
-    return df.sparkSession.createDataFrame(table, df.schema), True
+        return df, None
+    return df.sparkSession.createDataFrame(table, df.schema), table
+
+
+def pin_if_small(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    df, table = pinned_table(df, rows)
+    return df, table is not None
 
 
 def sized(df: DataFrame, small: bool | None = None) -> DataFrame:

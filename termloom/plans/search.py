@@ -13,9 +13,11 @@ from termloom.functions.text import words
 from termloom.operators import match, rank
 from termloom.operators.analysis import stem_vocabulary
 from termloom.operators.index import Index
-from termloom.operators.sizing import SMALL_QUERIES, SMALL_ROWS, pin_if_small, sized
+from termloom.operators.sizing import SMALL_QUERIES, SMALL_ROWS, pinned_table, sized
 from termloom.options import SEARCH_FIELDS, SearchOptions
 
+#: so many terms at most are named to the scan of a stored index
+NAMED_TERMS = 1_000
 QUERY_TYPES = ("phrase", "wildcard", "boolean", "fuzzy", "standard")
 
 
@@ -118,13 +120,24 @@ def _clause_terms(ruled: DataFrame, options: SearchOptions) -> DataFrame:
     return _field_terms(rows, options).select("query_id.*", "field", "term").distinct()
 
 
+def _find(index: Index, terms: DataFrame, small: bool, values: list[str] | None = None) -> DataFrame:
+    """Postings of the terms. Old rows of a stored index go after the lookup, which leaves few rows.
+
+    ``values`` are the terms where they are known: sorted row groups without any of them aren't read.
+    """
+    postings = index.postings if index.all_postings is None else index.all_postings
+    if values and index.buckets is not None:
+        postings = postings.filter(F.col("term").isin(values))
+    return index.live(match.lookup(postings, terms, index.buckets, small))
+
+
 def _allowed(index: Index, clause_terms: DataFrame, small: bool) -> DataFrame:
     """(query_id, path) with a term of every positive clause and none of a negated one.
 
     A query with negated clauses alone allows nothing: it ranks no document.
     """
     wanted = clause_terms.filter("NOT negated").groupBy("query_id").agg(F.count_distinct("clause").alias("wanted"))
-    met = match.lookup(index.postings, clause_terms, index.buckets, small)
+    met = _find(index, clause_terms, small)
     # the set of a (query, document) pair is bounded by the length of the query
     held = met.groupBy(*match.HIT).agg(
         F.size(F.collect_set(F.when(~F.col("negated"), F.col("clause")))).alias("held"), F.bool_or("negated").alias("barred")
@@ -213,16 +226,22 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     if options.stem != index.stem:  # terms go through the analyzer of the index
         options = replace(options, stem=index.stem)
     valid = valid_queries(analyze_queries(queries, options), options.max_query_length)
-    # the analysed queries are used in several places; what they hold decides what is planned
-    valid, pinned = pin_if_small(valid, SMALL_QUERIES)
     n_terms = F.size("terms") * len(options.fields) + F.size(words(F.col("original")))
     operators = (F.col("search_type") == "boolean") & querytext.has_operators(F.col("query"))
-    kinds = valid.groupBy("search_type").agg(
-        F.count(F.lit(1)).alias("n_queries"), F.sum(n_terms).alias("n_terms"), F.bool_or(operators).alias("operators")
-    ).collect()  # five rows at most
+    # the analysed queries are used in several places; what they hold decides what is planned
+    valid = valid.withColumns({"n_terms": n_terms, "operators": operators})
+    valid, rows = pinned_table(valid, SMALL_QUERIES)
+    if rows is None:
+        kinds = valid.groupBy("search_type").agg(
+            F.count(F.lit(1)).alias("n_queries"), F.sum("n_terms").alias("n_terms"), F.bool_or("operators").alias("operators")
+        ).collect()  # five rows at most
+    else:
+        counted = rows.group_by("search_type").aggregate([("query_id", "count"), ("n_terms", "sum"), ("operators", "any")])
+        kinds = counted.rename_columns({"query_id_count": "n_queries", "n_terms_sum": "n_terms", "operators_any": "operators"}).to_pylist()
     types = {row["search_type"] for row in kinds}
     n_queries = sum(row["n_queries"] for row in kinds)
-    small = pinned and sum(row["n_terms"] for row in kinds) <= SMALL_ROWS
+    small = rows is not None and sum(row["n_terms"] for row in kinds) <= SMALL_ROWS
+    operators = F.col("operators")
 
     exact = valid.filter(~F.col("search_type").isin("phrase", "wildcard") & ~operators).select(
         "query_id", F.explode("terms").alias("term")
@@ -234,23 +253,27 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
         parts.append(clause_terms.filter("NOT negated"))
     expansions = _expansions(valid, index, types, options, small) if types & {"wildcard", "fuzzy"} else []
     terms = match.union_all([p.select("query_id", "field", "term") for p in parts + expansions]).distinct()
-    few_terms = small
-    if expansions:  # how many there are depends on the vocabulary
-        terms, few_terms = pin_if_small(terms, SMALL_ROWS)
+    few_terms, values = small, None
+    if expansions or small and index.buckets is not None:  # how many there are depends on the vocabulary
+        terms, found = pinned_table(terms, SMALL_ROWS)
+        few_terms = found is not None
+        values = found["term"].unique().to_pylist() if few_terms and found.num_rows <= NAMED_TERMS else None
     stats = index.term_stats if index.term_changes is None else index.term_changes
+    if values and index.buckets is not None:
+        stats = stats.filter(F.col("term").isin(values))
     weighed = rank.weigh_terms(terms, stats, index.field_stats, few_terms, index.buckets)
-    matched = [match.lookup(index.postings, weighed, index.buckets, few_terms)]
+    matched = [_find(index, weighed, few_terms, values)]
     columns = ["query_id", "path", "field", "term", "tf", "doc_len", "df", "n_docs", "avg_len"]
     if "phrase" in types:
         phrases = _phrase_terms(valid, options)
         found = match.phrase_hits(
-            match.occurrences(match.lookup(index.postings, phrases.select(
-                "term", F.lit("content").alias("field")).distinct(), index.buckets, small)),
+            match.occurrences(_find(index, phrases.select("term", F.lit("content").alias("field")).distinct(), small)),
             phrases.drop("query_id"), small,
         ).select(F.col("phrase_id.query_id").alias("query_id"), "path").distinct()
         rows = phrases.select("query_id", F.lit("content").alias("field"), "term").distinct()
-        scored_terms = rank.weigh_terms(rows, stats, index.field_stats, small, index.buckets)
-        hits = match.lookup(index.postings, scored_terms, index.buckets, small)
+        every = index.term_stats if index.term_changes is None else index.term_changes
+        scored_terms = rank.weigh_terms(rows, every, index.field_stats, small, index.buckets)
+        hits = _find(index, scored_terms, small)
         matched.append(hits.join(found, match.HIT, "left_semi"))
     scored = rank.score_hits(match.union_all([m.select(*columns) for m in matched]), options.scorer)
 
@@ -274,7 +297,8 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     # the order is by score, so a minimum before the top-k keeps the same rows as one after it
     best = rank.top_k(rank.at_least(scored, options.min_score), options.limit)
     few = n_queries * options.limit <= SMALL_ROWS
-    results = rank.attach_attributes(best, index.corpus, index.buckets, few)
+    corpus = index.corpus if index.all_corpus is None else index.all_corpus
+    results = index.live(rank.attach_attributes(best, corpus, index.buckets, few))
     if filtered and options.filter_stage == "after_topk":
         results = rank.filter_attributes(results, **attributes)
     results = rank.sort_results(results, options.sort_by, options.descending)

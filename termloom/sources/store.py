@@ -121,14 +121,14 @@ class IndexStore:
         reader = self.spark.read.schema(SCHEMAS[table]).option("basePath", f"{self.root}/{table}")
         return reader.parquet(*paths)
 
-    def _live(self, table: str) -> DataFrame:
-        rows = self._read(table, self.state.batches)
+    def _removed(self) -> DataFrame | None:
         if not self.state.removed_batches:
-            return rows
-        removed = self._read("removed", self.state.removed_batches).select(
-            "path", F.col("old_batch").alias("batch")
-        )
-        return rows.join(removed, ["path", "batch"], "left_anti")
+            return None
+        return self._read("removed", self.state.removed_batches).select("path", F.col("old_batch").alias("batch"))
+
+    def _live(self, table: str) -> DataFrame:
+        rows, removed = self._read(table, self.state.batches), self._removed()
+        return rows if removed is None else rows.join(removed, ["path", "batch"], "left_anti")
 
     def corpus(self) -> DataFrame:
         return self._live("corpus")
@@ -168,6 +168,9 @@ class IndexStore:
             buckets=self.state.buckets,
             term_changes=self.term_changes(),
             stem=self.state.stem,
+            all_postings=self._read("postings", self.state.batches),
+            all_corpus=self._read("corpus", self.state.batches),
+            removed=self._removed(),
         )
 
     # --- writes ------------------------------------------------------------------------------------

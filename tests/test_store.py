@@ -217,3 +217,19 @@ def test_hidden_files_that_are_wanted(spark, write, tmp_path):
     docs = write({".h.txt": "hidden words", "a.txt": "plain words"})
     run = index_documents(spark, docs, str(tmp_path / "index"), IngestOptions(ignore_hidden=False), mounted=True)
     assert {(r.status, r.reason) for r in run.status.collect()} == {("indexed", None)}
+
+
+def test_plan_of_a_lookup(spark, write, tmp_path):
+    root = str(tmp_path / "index")
+    docs = write({"a.txt": "first words", "b.txt": "second words"})
+    index_documents(spark, docs, root, OPTIONS)
+    os.utime(docs + "/a.txt", (2_000_000_000, 2_000_000_000))
+    index_documents(spark, docs, root, OPTIONS)
+    store = IndexStore(spark, root)
+    assert store.state.removed_batches
+    plan = search(store.index(), "words")._jdf.queryExecution().optimizedPlan().toString()
+    # terms reach the scans, and replaced rows are removed from hits and results only
+    assert "term#" in plan and ("IN (" in plan or "= words" in plan)
+    for block in plan.split("LeftAnti")[1:]:
+        assert block.lstrip(", (")[:4] == "path" and "Join Inner" in block
+    assert set(found(spark, root, "words")) == {"a.txt", "b.txt"}
