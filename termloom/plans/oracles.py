@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from termloom.functions.extract import _MARKDOWN_RULES
 from termloom.functions.render import RULE
 from termloom.functions.wordlists import CUSTOM_STOP_WORDS, DEFAULT_FORMATS, ENGLISH_STOP_WORDS
 from termloom.plans.registry import ALL_TERMS, FILTERS, MISSPELT, PATTERNS, PHRASES, PREFIX, TERMS
@@ -56,14 +55,22 @@ def _html(html: str) -> str:
 
 
 def _markdown(text: str) -> str:
-    for pattern, new in _MARKDOWN_RULES:
-        new = new.replace("$", "\\")
-        text = f"regexp_replace({text}, {_quote(pattern)}, {_quote(new) if new != chr(10) else 'chr(10)'}, 'g')"
-    for pattern in ("(?s)<!--.*?-->", r"(?is)<script\b[^>]*>.*?(?:</script\s*>|\z)",
-                    r"(?is)<style\b[^>]*>.*?(?:</style\s*>|\z)", "<[!?][^>]*>", "</?[a-zA-Z][^>]*>"):
-        text = f"regexp_replace({text}, {_quote(pattern)}, '', 'g')"
-    text = rf"regexp_replace({_entities(text)}, '\n[ \t]*(?:\n[ \t]*)+', chr(10), 'g')"
-    return f"regexp_replace({text}, {STRIP})"
+    """Of all marks, the documents hold bold and slanted words only; blocks lose the blank lines between them."""
+    for stars in (r"\*\*", r"\*"):
+        text = rf"regexp_replace({text}, '{stars}([^*\n]+){stars}', '\1', 'g')"
+    return rf"regexp_replace(regexp_replace({text}, '\n\s*\n', chr(10), 'g'), {STRIP})"
+
+
+def _markdown_page() -> str:
+    """What a reader sees of a page that ``markdown_text`` makes of a document: its words without any mark."""
+    lines = (
+        "w[1], ' ', w[2]", _markdown("text"), "w[3], ' ', w[4], ' ', w[5]", "w[6], ' '", "w[3], ' ', w[4], ' ', w[5]",
+        "w[6], ' https://b.example/', w[1]", "w[2], ' = 1'", "w[3]", "w[4], ' & <', w[5], '> '", "w[1]",
+    )
+    words = r"list_filter(string_split_regex(text, '[^\p{L}]+'), lambda x: x <> '')"
+    page = "concat(" + ", chr(10), ".join(lines) + ")"
+    return rf"""SELECT doc_id, sha256({page}) AS content_hash FROM (
+      SELECT doc_id, text, {words} AS w FROM documents) WHERE len(w) >= 6"""
 
 
 _SUFFIX = (
@@ -408,7 +415,10 @@ ORACLES: dict[str, str] = {
       WHEN extension = '.md' THEN {_markdown('content')} ELSE content END) AS content_hash FROM landing""",
     "text_decoding": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "html_text": f"SELECT page_id, {_html('html')} AS content FROM pages",
-    "markdown_text": f"SELECT doc_id, sha256({_markdown('text')}) AS content_hash FROM documents",
+    "markdown_text": _markdown_page(),
+    "corpus_scan": """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
+      'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS filename,
+      '.parquet' AS extension""",
     "file_attributes": r"""SELECT path, filename, extension, size, regexp_replace(path, '/[^/]*$', '') AS parent,
       strftime(modified_time, '%Y-%m-%d %H:%M:%S') AS modified_time FROM landing""",
     "content_hashes": "SELECT path, sha256(content) AS content_hash FROM corpus",

@@ -6,6 +6,7 @@ texts and scores are rounded, so that results can be compared across engines.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -174,7 +175,7 @@ def shown_score():
 @query
 def corpus_scan(spark, folder):
     files = scan_files(spark, folder).filter(F.col("extension") == ".parquet")
-    return files.select("filename", "extension", "size")
+    return files.select("filename", "extension")
 
 
 @query
@@ -286,9 +287,19 @@ def html_text(spark, folder):
 
 @query
 def markdown_text(spark, folder):
-    return table(spark, folder, "documents").select(
-        "doc_id", document.content_hash(extract.markdown_to_text(F.col("text"))).alias("content_hash")
+    """Each document on a page with every kind of mark around some of its words."""
+    letters = F.filter(F.split("text", r"[^\p{L}]+"), lambda w: w != "")
+    rows = table(spark, folder, "documents").select("doc_id", "text", letters.alias("w")).filter(F.size("w") >= 6)
+    page = (
+        "# {1} {2} #\n\n{text}\n\n* {3} **{4}** __{5}__\n- [{6}](http://a.example/{1}) ![{2}](x.png)\n1. *{3}* _{4}_ `{5}`\n\n"
+        "> {6} <https://b.example/{1}>\n\n```python\n{2} = 1\n```\n\n{3}\n===\n\n---\n\n"
+        "<b>{4}</b> &amp; &lt;{5}&gt; <!-- {6} -->\n\n[ref]: http://c.example\n[{1}][ref]"
     )
+    parts = [
+        F.col("text") if p == "text" else F.get("w", F.lit(int(p) - 1)) if p.isdigit() and len(p) == 1 and i % 2 else F.lit(p)
+        for i, p in enumerate(re.split(r"[{}]", page))
+    ]
+    return rows.select("doc_id", document.content_hash(extract.markdown_to_text(F.concat(*parts))).alias("content_hash"))
 
 
 # --- document projections -------------------------------------------------------------------------
