@@ -47,8 +47,21 @@ _MARKDOWN_RULES = (
 )
 
 
-def decode_text(raw: Column) -> Column:
-    """Bytes as UTF-8 text without the bytes that cannot be decoded."""
+def decode_text(raw: Column, encoding: str = "utf-8") -> Column:
+    """Bytes as text without the bytes that cannot be decoded.
+
+    Other encodings than UTF-8 are those of Spark's ``decode`` in which every text of whole characters can be
+    decoded: US-ASCII (its bytes beyond 127 go), ISO-8859-1, UTF-16, UTF-16LE, UTF-16BE and UTF-32.
+    """
+    name = encoding.upper().replace("_", "-")
+    if name in ("US-ASCII", "ASCII"):
+        return F.regexp_replace(F.decode(raw, "ISO-8859-1"), r"[^\x00-\x7F]", "")
+    if name in ("ISO-8859-1", "LATIN-1"):
+        return F.decode(raw, "ISO-8859-1")
+    if name not in ("UTF-8", "UTF8"):
+        width = 4 if name.startswith("UTF-32") else 2
+        whole = F.substring(raw, F.lit(1), F.octet_length(raw) - F.octet_length(raw) % width)
+        return F.regexp_replace(F.decode(whole, name), "\uFEFF|\uFFFD", "")
     return F.replace(F.make_valid_utf8(raw.cast("string")), F.lit("\uFFFD"), F.lit(""))
 
 

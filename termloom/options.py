@@ -17,6 +17,7 @@ class IngestOptions:
     exclude: tuple[str, ...] = DEFAULT_EXCLUDES
     formats: tuple[str, ...] = DEFAULT_FORMATS
     max_file_mb: int = 50
+    encoding: str = "utf-8"
     stem: bool | None = None  # that of a stored index, False for a new one
     #: number of hash buckets of the stored corpus and postings, fixed when an index is created;
     #: aim at about 1 GB of stored data for each bucket

@@ -36,8 +36,9 @@ def wanted_files(files: DataFrame, options: IngestOptions) -> DataFrame:
 
 def file_documents(files: DataFrame, options: IngestOptions | None = None) -> DataFrame:
     """File rows with bytes -> document records."""
-    files = wanted_files(files, options or IngestOptions())
-    return as_corpus(files.withColumn("text", decode_text(F.col("raw"))).drop("raw", "filename", "extension"))
+    options = options or IngestOptions()
+    files = wanted_files(files, options)
+    return as_corpus(files.withColumn("text", decode_text(F.col("raw"), options.encoding)).drop("raw", "filename", "extension"))
 
 
 def index_documents(

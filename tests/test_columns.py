@@ -53,6 +53,10 @@ def test_markdown(spark):
 def test_decode_drops_bad_bytes(spark):
     rows = spark.createDataFrame([(bytearray(b"ab\xffc \xe4\xbd\xa0\xf0\x9f\x8c"),)], "raw binary")
     assert rows.select(extract.decode_text(F.col("raw"))).first()[0] == "abc 你"
+    for encoding, text, left in (("latin-1", "café", ""), ("utf-16-le", "a你", "61"), ("ascii", "abc", "E9"), ("UTF-32", "x🌟", "")):
+        raw = spark.sql(f"SELECT unhex('{text.encode(encoding).hex()}{left}') AS raw")
+        name = {"utf-16-le": "UTF-16LE"}.get(encoding, encoding)
+        assert raw.select(extract.decode_text(F.col("raw"), name)).first()[0] == text
 
 
 @pytest.mark.parametrize("pattern", ["*.pyc", "node_modules", "a?c", "[ab]*.log", "[!a]x", "*/tmp/*", "a.b", "x[1", "a+(b)"])
