@@ -30,7 +30,7 @@ PIECES = regex.compile(
 #: Pieces of more bytes than this have a tree of their own.
 SHORT = 64
 #: Pieces that a worker remembers; it forgets them all when there are more.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _NONE = 1 << 62
 _PLACES = (1 << 32) - 1
 
@@ -175,10 +175,14 @@ class ByteBpe:
             i = after[i]
         return np.array(out, np.uint32)
 
+    def forget(self) -> None:
+        """Drop all merged pieces."""
+        self.known = {t: np.array([n], np.uint32) for t, n in self.special.items()}
+
     def _learn(self, pieces: set[str]) -> None:
         """Merge pieces that aren't known yet."""
         if len(self.known) + len(pieces) > REMEMBERED:
-            self.known = {t: np.array([n], np.uint32) for t, n in self.special.items()}
+            self.forget()
         short: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8")
@@ -232,6 +236,8 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                 ],
                 names=[*rest, "n_tokens", "ids", "decoded"],
             )
+    # the worker lives on, and other steps need its memory
+    bpe.forget()
 
 
 def encode(documents: DataFrame, tokenizer: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

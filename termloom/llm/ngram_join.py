@@ -69,8 +69,10 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
     size = 0
 
     def again() -> pa.RecordBatch:
-        grams = np.sort(np.concatenate(held)) if held else np.zeros(0, _U)
-        first = np.flatnonzero(np.diff(grams, prepend=grams[:1] ^ _U(1)))
+        grams = np.concatenate([*held, np.zeros(0, _U)])
+        held.clear()
+        grams.sort()
+        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
         counts = np.diff(first, append=len(grams))
         keep = counts > 1
         empty = pa.nulls(int(keep.sum()), pa.int64())
@@ -95,7 +97,7 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
                 size += len(grams)
                 if size > HELD:
                     yield again()
-                    held, size = [], 0
+                    size = 0
         none = pa.nulls(len(batch), pa.int64())
         ids = batch.column("doc_id").cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
