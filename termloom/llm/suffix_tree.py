@@ -1,23 +1,24 @@
 """Language model scoring with a probabilistic suffix tree over words.
 
-Contexts are the last one to ``DEPTH`` words. A string of words is counted only if it makes up at least ``SHARE``
-of the training tokens, so each level of the tree has at most 1 / ``SHARE`` strings whatever the corpus holds, and
-a longer string is a candidate only if both its ends are. The counts cover the whole corpus: each level is one
-pass whose tasks add up what they see before it is shuffled.
+Contexts are the last one to ``DEPTH`` words. Every string of words that training texts hold at least ``LEAST`` times
+is counted, whatever the size of the corpus: strings and states are stored tables that grow with it.
 
 A context is retained if its next words diverge from those of its longest retained suffix by more than their
 number explains (a description length test). A retained state gives a discounted share to the next words counted
 in it and the rest to its suffix, down to the root, which knows every training word. A token is scored by the
 longest retained suffix of what stands before it.
 
-Words that are too rare for the tree meet their counts in a join; they only add the root's logarithm.
+The logarithm of a token's probability is a sum over the strings that end at it or before it, so the score of a text
+is the sum of the weights of all its strings. The weights of the most frequent strings, ``MOST`` at most, are broadcast;
+this bounds the broadcast, not the model, and keeps hot keys out of the join. All other strings meet their weights in
+a join.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
-from functools import partial
+from dataclasses import dataclass
+from functools import cached_property, partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -25,21 +26,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.hashes import SortedHashes
-from termloom.llm.scratch import stored
+from termloom.llm.scratch import bit_filter, dropped, in_filter, stored
 from termloom.llm.words import hashed_words, mix, slices
 
 DEPTH = 2
-#: Least share of the training tokens of a string in the tree, and the least count.
-SHARE = 1e-6
+#: Least count of a string in the tree.
 LEAST = 2
+#: Most strings whose weights are broadcast.
+MOST = 1_000_000
 DISCOUNT = 0.75
 #: Distinct strings that a task holds before it passes their counts on.
 HELD = 2_000_000
+#: By length of the longer string: how far the key of its first part is rotated.
+_TURNS = (0, 7, 1)
 
 _U = np.uint64
 #: The token that ends every text: no word has this hash but by chance of 2**-64.
 END = mix(np.array([0x454E44], _U))[0]
-_WORDS = np.int64(1 << 21)
 
 
 def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -49,153 +52,170 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         yield first, np.insert(words, of[1:], END), of + np.arange(last - first + 1)
 
 
-def _added(parts: Iterator[np.ndarray], kind: str) -> Iterator[pa.RecordBatch]:
-    """Counts (key, n) of the values of all arrays, passed on whenever ``HELD`` are at hand."""
-    keys, counts = np.zeros(0, kind), np.zeros(0, np.int64)
+def _joined(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
+    """Keys of strings of ``level`` + 1 words from those of the strings without their last and their first word."""
+    turn = _U(_TURNS[level])
+    return ((left << turn) | (left >> (_U(64) - turn))) ^ right
+
+
+def _joined_column(level: int) -> Column:
+    turn = _TURNS[level]
+    left = F.col("left")
+    return F.shiftleft(left, turn).bitwiseOR(F.shiftrightunsigned(left, 64 - turn)).bitwiseXOR(F.col("right"))
+
+
+def _strings(tokens: np.ndarray, begins: np.ndarray, levels: int = DEPTH + 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """By length, the keys of all strings and the tokens where they end. None reaches back over the begin of a text."""
+    out = [(tokens, np.arange(len(tokens)))]
+    place = np.arange(len(tokens)) - np.repeat(begins[:-1], np.diff(begins))
+    whole = tokens
+    for level in range(1, levels):
+        whole = _joined(whole[:-1], whole[1:], level)
+        at = np.flatnonzero(place[level:] >= level)
+        out.append((whole[at], at + level))
+    return out
+
+
+def _added(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Counts n of the keys of all parts, passed on whenever ``HELD`` are at hand. Further arrays go with the keys."""
+    kept, counts = [np.zeros(0, _U) for _ in names], np.zeros(0, np.int64)
     fresh, size = [], 0
 
     def fold():
-        values, n = np.unique(np.concatenate(fresh), return_counts=True)
-        both = np.concatenate([keys, values])
-        merged, at = np.unique(both, return_inverse=True)
-        return merged, np.bincount(at, np.concatenate([counts, n]), len(merged)).astype(np.int64)
+        both = [np.concatenate([k, *x]) for k, x in zip(kept, zip(*fresh))]
+        n = np.concatenate([counts, np.ones(size, np.int64)])
+        order = np.argsort(both[0])
+        keys = both[0][order]
+        new = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]))
+        return [x[order[new]] for x in both], np.add.reduceat(n[order], new)
 
     def batch():
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts)], names=["key", "n"])
+        return pa.RecordBatch.from_arrays([*(pa.array(k.view(np.int64)) for k in kept), pa.array(counts)], names=[*names, "n"])
 
     for part in parts:
+        if len(part[0]) == 0:
+            continue
         fresh.append(part)
-        size += len(part)
+        size += len(part[0])
         if size > HELD:
-            keys, counts = fold()
+            kept, counts = fold()
             fresh, size = [], 0
-            if len(keys) > HELD:
+            if len(counts) > HELD:
                 yield batch()
-                keys, counts = keys[:0], counts[:0]
+                kept, counts = [k[:0] for k in kept], counts[:0]
     if fresh:
-        keys, counts = fold()
+        kept, counts = fold()
     yield batch()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _added((tokens for b in batches for _, tokens, _ in _tokens(b.column("text"))), "uint64")
+    return _added(((tokens,) for b in batches for _, tokens, _ in _tokens(b.column("text"))), ["key"])
+
+
+def _count_strings(batches: Iterator[pa.RecordBatch], level: int, seen) -> Iterator[pa.RecordBatch]:
+    """Counts (left, right, n) of the strings one word longer than ``level`` whose ends may be in the tree."""
+
+    def parts():
+        for batch in batches:
+            for _, tokens, begins in _tokens(batch.column("text")):
+                shorter, ends = _strings(tokens, begins, level)[-1]
+                known = in_filter(seen.value, shorter)
+                at = np.flatnonzero((np.diff(ends) == 1) & (known[:-1] & known[1:]))
+                # ends that follow each other across the begin of a text
+                if level == 1:
+                    inner = np.ones(len(tokens), bool)
+                    inner[begins[:-1]] = False
+                    at = at[inner[ends[at + 1]]]
+                left, right = shorter[at], shorter[at + 1]
+                yield _joined(left, right, level), left, right
+
+    for batch in _added(parts(), ["key", "left", "right"]):
+        yield batch.select(["left", "right", "n"])
 
 
 @dataclass
 class Tree:
-    """Frequent words and strings, and the weights of the states."""
+    """Stored tables of a tree.
+
+    ``weights`` are (key, n, last, after) of all strings of the tree that weigh anything, and of all its words:
+    logarithms that a string adds to its own last word and to the word that follows.
+    """
 
     total: int
     distinct: int
-    least: int
-    #: by level: lookup of strings; string k of level d + 1 ends with word ``last`` after string ``context`` of level d
-    found: list[SortedHashes] = field(default_factory=list)
-    counts: list[np.ndarray] = field(default_factory=list)
-    context: list[np.ndarray] = field(default_factory=list)
-    last: list[np.ndarray] = field(default_factory=list)
-    #: by level: whether a string is a retained context, what it passes to its suffix, and what a string's own last
-    #: word gets in its context
-    retained: list[np.ndarray] = field(default_factory=list)
-    passed: list[np.ndarray] = field(default_factory=list)
-    own: list[np.ndarray] = field(default_factory=list)
+    weights: DataFrame
+    #: least count of the strings whose weights are broadcast
+    least: int = LEAST
 
     def root(self, counts: np.ndarray) -> np.ndarray:
         return (counts + 0.5) / (self.total + 0.5 * (self.distinct + 1))
 
-    def add_level(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        """Strings by key: the hash of a word, or context and last word."""
-        hashes = keys if not self.found else mix(keys.view(_U))
-        order = np.argsort(hashes)
-        keys, counts = keys[order], counts[order]
-        self.found.append(SortedHashes(hashes[order], np.arange(len(keys))))
-        self.counts.append(counts)
-        words = keys.view(np.int64) if len(self.found) > 1 else np.zeros(len(keys), np.int64)
-        self.context.append(words // _WORDS)
-        self.last.append(words % _WORDS if len(self.found) > 1 else np.arange(len(keys)))
-
-    def strings(self, tokens: np.ndarray, begins: np.ndarray, levels: int) -> list[np.ndarray]:
-        """By level, the string that ends at each token, or -1. No string reaches back over the begin of a text."""
-        out = [self.found[0].find(tokens)]
-        inner = np.ones(len(tokens), bool)
-        inner[begins[:-1]] = False
-        for level in range(1, levels):
-            out.append(np.full(len(tokens), -1, np.int64))
-            keys, at = self.extended(out, inner, level)
-            out[level][at] = self.found[level].find(mix(keys.view(_U)))
-        return out
-
-    @staticmethod
-    def extended(strings: list[np.ndarray], inner: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of the strings one word longer than ``level``, and where they end."""
-        shorter = strings[level - 1]
-        at = np.flatnonzero(inner[1:] & (shorter[:-1] >= 0) & (shorter[1:] >= 0)) + 1
-        return shorter[at - 1] * _WORDS + strings[0][at], at
-
-    def settle(self) -> None:
-        """Retain contexts and weigh them, from short to long."""
-        below = self.root(self.counts[0])
-        for level in range(1, len(self.found)):
-            contexts = self.counts[level - 1].astype(np.float64)
-            of, n = self.context[level], self.counts[level].astype(np.float64)
-            if level == 1:
-                lower = below[self.last[1]]
-            else:
-                # the same last word after the context without its first word
-                suffix = self._suffix(level - 1)[of]
-                shorter = self.found[level - 1].find(mix((suffix * _WORDS + self.last[level]).view(_U)))
-                lower = below[shorter]
-            size = len(contexts)
-            kinds, mass = np.bincount(of, minlength=size), np.bincount(of, n, size)
-            spent = np.bincount(of, lower, size)
-            rest = np.maximum(contexts - mass, 0.0)
-            gain = np.bincount(of, n * np.log(n / contexts[of] / lower), size)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                left = rest * np.log(rest / contexts / np.maximum(1.0 - spent, 1e-300))
-            gain = gain + np.where(rest > 0, left, 0.0)
-            self.retained.append((kinds > 0) & (gain > kinds * np.log(contexts) / 2))
-            self.passed.append((rest + DISCOUNT * kinds) / contexts)
-            own = np.where(self.retained[-1][of], (n - DISCOUNT) / contexts[of], 0.0)
-            self.own.append(own)
-            below = own + np.where(self.retained[-1][of], self.passed[-1][of], 1.0) * lower
-
-    def _suffix(self, level: int) -> np.ndarray:
-        """For strings of a level: the string of the level below without the first word."""
-        if level == 1:
-            return self.last[1]
-        first = self._suffix(level - 1)[self.context[level]]
-        return self.found[level - 1].find(mix((first * _WORDS + self.last[level]).view(_U)))
+    def root_log(self, n: Column) -> Column:
+        return F.log10((n + 0.5) / F.lit(self.total + 0.5 * (self.distinct + 1)))
+
+    def frequent(self, least: int) -> tuple[SortedHashes, np.ndarray, np.ndarray]:
+        """Lookup of the strings with so many counts, and their weights."""
+        rows = self.weights.filter(F.col("n") >= least).select("key", "last", "after").toArrow()
+        keys = rows["key"].to_numpy().view(_U)
+        order = np.argsort(keys)
+        return SortedHashes(keys[order], np.arange(len(keys))), rows["last"].to_numpy()[order], rows["after"].to_numpy()[order]
+
+    @cached_property
+    def _all(self) -> tuple[SortedHashes, np.ndarray, np.ndarray]:
+        return self.frequent(0)
 
     def probabilities(self, tokens: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word of the tree of each token or -1, and its probability; for rare words, the factor of the root's."""
-        levels = len(self.found)
-        strings = self.strings(tokens, begins, levels)
-        known = strings[0] >= 0
-        out = np.ones(len(tokens))
-        out[known] = self.root(self.counts[0])[strings[0][known]]
-        inner = np.ones(len(tokens), bool)
-        inner[begins[:-1]] = False
-        for level in range(1, levels):
-            state = np.full(len(tokens), -1, np.int64)
-            state[1:] = np.where(inner[1:], strings[level - 1][:-1], -1)
-            at = np.flatnonzero(state >= 0)
-            at = at[self.retained[level - 1][state[at]]]
-            out[at] *= self.passed[level - 1][state[at]]
-            hit = at[strings[level][at] >= 0]
-            out[hit] += self.own[level - 1][strings[level][hit]]
-        return strings[0], out
-
-
-def _count_strings(batches: Iterator[pa.RecordBatch], tree, level: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the candidates one word longer than ``level``."""
+        """Word of the tree of each token or -1, and its probability; for rare words, the factor of the root's.
+
+        Gathers the whole tree: for looking at a small one. :func:`score` doesn't.
+        """
+        found, last, after = self._all
+        logs, first = np.zeros(len(tokens)), None
+        for keys, ends in _strings(tokens, begins):
+            at = found.find(keys)
+            first = at if first is None else first
+            hit = np.flatnonzero(at >= 0)
+            logs[ends[hit]] += last[at[hit]]
+            follow = hit[(ends[hit] + 1 < len(tokens)) & ~np.isin(ends[hit] + 1, begins)]
+            logs[ends[follow] + 1] += after[at[follow]]
+        return first, 10**logs
+
+
+def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Retained states (key, after) among ``contexts`` (key, n), and the strings (key, n, p, last) of the next length.
+
+    ``lower`` are (right, lower): probabilities of the last words after the contexts without their first words.
+    """
+    n, c, low = F.col("n"), F.col("c"), F.col("lower")
+    known = stored(
+        strings.join(lower, "right").join(contexts.select(F.col("key").alias("left"), F.col("n").alias("c")), "left"),
+        f"strings{level}",
+    )
+    sums = known.groupBy("left", "c").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("mass"), F.sum("lower").alias("spent"), F.sum(n * F.log(n / c / low)).alias("gain")
+    )
+    rest = F.greatest(c - F.col("mass"), F.lit(0))
+    left = F.when(rest > 0, rest * F.log(rest / c / F.greatest(1.0 - F.col("spent"), F.lit(1e-300)))).otherwise(0.0)
+    retained = sums.filter(F.col("gain") + left > F.col("kinds") * F.log("c") / 2).select(
+        "left", ((rest + DISCOUNT * F.col("kinds")) / c).alias("passed")
+    )
+    states = stored(retained, f"states{level}")
+    passed = F.coalesce("passed", F.lit(1.0))
+    p = F.when(F.col("passed").isNull(), low).otherwise((n - DISCOUNT) / c + passed * low)
+    weighed = known.join(states, "left", "left").select(
+        _joined_column(level).alias("key"), "n", p.alias("p"), (F.log10(p) - F.log10(passed * low)).alias("last")
+    )
+    weighed = stored(weighed, f"weighed{level}")
+    dropped(known)
+    return states, weighed
 
-    def parts():
-        for batch in batches:
-            for _, tokens, begins in _tokens(batch.column("text")):
-                inner = np.ones(len(tokens), bool)
-                inner[begins[:-1]] = False
-                yield tree.value.extended(tree.value.strings(tokens, begins, level), inner, level)[0]
 
-    return _added(parts(), "int64")
+def _least(weights: DataFrame) -> int:
+    """The least count that at most ``MOST`` strings reach."""
+    above = weights.groupBy("n").agg(F.count("*").alias("strings")).orderBy(F.desc("n")).toArrow()
+    n, strings = (above[c].to_numpy().astype(np.int64) for c in ("n", "strings"))
+    fits = n[np.cumsum(strings) <= MOST]
+    return max(LEAST, int(fits[-1]) if len(fits) else int(n[0]) + 1 if len(n) else LEAST)
 
 
 def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
@@ -205,56 +225,85 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
     """
     spark = documents.sparkSession
     texts = documents.select(F.col(text).alias("text"))
-    count = "key long, n long"
-    vocabulary = stored(texts.mapInArrow(_count_words, count).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    vocabulary = stored(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    tree = Tree(sums["total"], sums["distinct"], max(LEAST, int(np.ceil(SHARE * sums["total"]))))
-
-    def grow(counted: DataFrame, kind: type) -> None:
-        rows = counted.filter(F.col("n") >= tree.least).toArrow()
-        keys, counts = (rows[c].to_numpy().astype(np.int64) for c in ("key", "n"))
-        tree.add_level(keys.view(kind), counts)
-
-    grow(vocabulary, _U)
+    tree = Tree(sums["total"], sums["distinct"], None)
+    root = F.pow(F.lit(10.0), tree.root_log(F.col("n")))
+    # by length: strings (key, n, p, last) in the tree
+    shorter = vocabulary.filter(F.col("n") >= LEAST).select("key", "n", root.alias("p"), tree.root_log(F.col("n")).alias("last"))
+    weights, done = [], []
     for level in range(1, DEPTH + 1):
-        shared = spark.sparkContext.broadcast(tree)
-        strings = texts.mapInArrow(partial(_count_strings, tree=shared, level=level), count)
-        grow(strings.groupBy("key").agg(F.sum("n").alias("n")), np.int64)
-    tree.settle()
+        seen = spark.sparkContext.broadcast(bit_filter(shorter, F.col("key")))
+        counted = texts.mapInArrow(partial(_count_strings, level=level, seen=seen), "left long, right long, n long")
+        strings = stored(counted.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), f"counted{level}")
+        states, longer = _settled(strings, shorter, shorter.select(F.col("key").alias("right"), F.col("p").alias("lower")), level)
+        after = F.coalesce(F.log10("passed"), F.lit(0.0))
+        keyed = states.withColumnRenamed("left", "key")
+        part = shorter.join(keyed, "key", "left").select("key", "n", "last", after.alias("after"))
+        # words of the tree are kept whatever they weigh
+        weights.append(stored(part if level == 1 else part.filter("last <> 0 OR after <> 0"), "weights"))
+        dropped(strings, states, *done)
+        shorter, done = longer, [longer]
+    weights.append(stored(shorter.select("key", "n", "last", F.lit(0.0).alias("after")).filter("last <> 0"), "weights"))
+    dropped(*done)
+    tree.weights = reduce(DataFrame.union, weights)
+    tree.least = _least(tree.weights)
     return tree, vocabulary
 
 
+@dataclass
+class _Frequent:
+    """What tasks hold of a tree: the frequent words and strings, and a filter of the others."""
+
+    words: tuple[SortedHashes, np.ndarray]
+    strings: SortedHashes
+    sums: np.ndarray
+    others: np.ndarray
+
+
 def _score(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
-    """(row, doc_id, text) -> a row for each text with its sums, and one for each of its rare words."""
-    schema = pa.schema(
-        [("row", pa.int64()), ("doc_id", pa.int64()), ("key", pa.int64()), ("times", pa.int64()), ("known", pa.int64()), ("score", pa.float64()), ("base", pa.float64())]
-    )
+    """(row, doc_id, text) -> a row for each text with the sums over its frequent strings."""
+    names = ["row", "doc_id", "times", "known", "score", "base"]
     model = tree.value
-    roots = np.log10(model.root(model.counts[0]))
+    words, roots = model.words
     for batch in batches:
-        rows, ids = batch.column("row").to_numpy(), batch.column("doc_id")
+        rows, ids = batch.column("row"), batch.column("doc_id")
         for first, tokens, begins in _tokens(batch.column("text")):
             n = len(begins) - 1
-            word, p = model.probabilities(tokens, begins)
+            word = words.find(tokens)
             known = word >= 0
-            base = np.zeros(len(tokens))
-            base[known] = roots[word[known]]
-            sums = [np.add.reduceat(x, begins[:-1]) for x in (known.astype(np.int64), np.log10(p), base)]
-            none = pa.nulls(n, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[first : first + n]), ids.slice(first, n), none, pa.array(np.diff(begins)), *map(pa.array, sums)], schema=schema
-            )
-            at = np.flatnonzero(~known)
-            text = np.searchsorted(begins, at, side="right") - 1
-            order = np.lexsort((tokens[at], text))
-            at, text = at[order], text[order]
-            new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(tokens[at], prepend=_U(0)) != 0))
-            times = np.diff(new, append=len(at))
-            none = [pa.nulls(len(new), t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[first + text[new]]), none[0], pa.array(tokens[at[new]].view(np.int64)), pa.array(times), *none[1:]],
-                schema=schema,
-            )
+            base = np.where(known, roots[word] if len(roots) else 0.0, 0.0)
+            total = np.zeros(len(tokens))
+            for keys, ends in _strings(tokens, begins):
+                at = model.strings.find(keys)
+                hit = np.flatnonzero(at >= 0)
+                total[ends[hit]] += model.sums[at[hit]]
+            sums = [np.add.reduceat(x, begins[:-1]) for x in (known.astype(np.int64), total, base)]
+            yield pa.RecordBatch.from_arrays([rows.slice(first, n), ids.slice(first, n), pa.array(np.diff(begins)), *map(pa.array, sums)], names=names)
+
+
+def _others(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
+    """(row, text) -> (row, key, word, times) of the words and strings that aren't frequent and may weigh something."""
+    model = tree.value
+    for batch in batches:
+        rows = batch.column("row").to_numpy()
+        for first, tokens, begins in _tokens(batch.column("text")):
+            for level, (keys, ends) in enumerate(_strings(tokens, begins)):
+                rare = (model.words[0] if level == 0 else model.strings).find(keys) < 0
+                if level:
+                    rare &= in_filter(model.others, keys)
+                at = np.flatnonzero(rare)
+                keys, text = keys[at], np.searchsorted(begins, ends[at], side="right") - 1
+                order = np.lexsort((keys, text))
+                keys, text = keys[order], text[order]
+                new = np.flatnonzero((np.diff(text, prepend=-1) != 0) | (np.diff(keys, prepend=_U(0)) != 0))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(rows[first + text[new]]), pa.array(keys[new].view(np.int64)), pa.array(np.full(len(new), level == 0)),
+                        pa.array(np.diff(new, append=len(keys)).astype(np.int32)),
+                    ],
+                    names=["row", "key", "word", "times"],
+                )
 
 
 def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -267,28 +316,38 @@ def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame, text: str = "
     texts = documents.select(
         F.xxhash64(F.col(doc_id), content).alias("row"), F.col(doc_id).cast("long").alias("doc_id"), content.alias("text")
     )
-    shared = documents.sparkSession.sparkContext.broadcast(tree)
-    pieces = texts.mapInArrow(
-        partial(_score, tree=shared), "row long, doc_id long, key long, times long, known long, score double, base double"
+    found, last, after = tree.frequent(tree.least)
+    # a frequent word is also in the vocabulary, which says what its root's logarithm is
+    words = vocabulary.filter(F.col("n") >= tree.least).toArrow()
+    keys = words["key"].to_numpy().view(_U)
+    order = np.argsort(keys)
+    roots = np.log10(tree.root(words["n"].to_numpy()[order]))
+    few = tree.weights.filter(F.col("n") < tree.least)
+    model = _Frequent((SortedHashes(keys[order], np.arange(len(keys))), roots), found, last + after, bit_filter(few, F.col("key")))
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    pieces = texts.mapInArrow(partial(_score, tree=shared), "row long, doc_id long, times long, known long, score double, base double")
+    # equal rows have equal sums, and other strings that count as often as there are rows
+    heads = pieces.groupBy("row", "doc_id").agg(
+        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("times", "known", "score", "base"))
     )
-    # one pass gives both kinds of rows: a text's own, and its rare words
-    pieces = stored(pieces, "scores")
-    n = F.coalesce(F.col("n"), F.lit(0))
-    log = F.log10((n + 0.5) / F.lit(tree.total + 0.5 * (tree.distinct + 1)))
+    others = texts.select("row", "text").mapInArrow(partial(_others, tree=shared), "row long, key long, word boolean, times int")
+    # a word that is counted once has its root's logarithm and no more
+    once = vocabulary.filter(F.col("n") < LEAST).select("key", "n", tree.root_log(F.col("n")).alias("weight"))
+    weights = few.select("key", "n", (F.col("last") + F.col("after")).alias("weight")).union(once)
+    n, times = F.coalesce("n", F.lit(0)), F.col("times")
+    log = F.when(F.col("word"), tree.root_log(n)).otherwise(0.0)
     rare = (
-        pieces.filter("key IS NOT NULL").select("row", "key", "times")
-        .join(vocabulary.filter(F.col("n") < tree.least), "key", "left")
+        others.join(weights, "key", "left")
         .groupBy("row")
-        .agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("more"), F.sum(log * F.col("times")).alias("logs"))
+        .agg(
+            F.sum(F.when(F.col("word") & (n > 0), times).otherwise(0)).alias("more"), F.sum(log * times).alias("logs"),
+            F.sum(F.coalesce(F.col("weight"), log) * times).alias("weights"),
+        )
     )
-    # equal rows have equal sums, and rare words that count as often as there are rows
-    heads = pieces.filter("key IS NULL").groupBy("row", "doc_id").agg(
-        F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("times", "known", "score", "base"))
-    )
-    more, logs = F.coalesce(F.col("more"), F.lit(0)), F.coalesce(F.col("logs"), F.lit(0.0))
+    more, logs, weighed = F.coalesce(F.col("more"), F.lit(0)), F.coalesce(F.col("logs"), F.lit(0.0)), F.coalesce(F.col("weights"), F.lit(0.0))
     return heads.join(rare, "row", "left").select(
         "doc_id", F.col("times").alias("n_tokens"), (F.col("known") + (more / F.col("copies")).cast("long")).alias("n_known"),
-        (F.col("base") + logs / F.col("copies")).alias("base_score"), (F.col("score") + logs / F.col("copies")).alias("score"),
+        (F.col("base") + logs / F.col("copies")).alias("base_score"), (F.col("score") + weighed / F.col("copies")).alias("score"),
         F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"),
     ).drop("copy")
 

@@ -212,6 +212,22 @@ def test_scores_and_base_scores(rows, messy, empty):
     assert {r["base_score"] for r in suffix_tree.score(messy, root, none).collect()} == {0.0}
 
 
+def test_rare_strings_are_contexts_in_a_large_corpus(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "MOST", 8)
+    passage = " ".join(f"rare{i}" for i in range(40))
+    few = spark.createDataFrame([(1, passage), (2, passage)], "doc_id long, text string")
+    filler = spark.range(30).select((F.col("id") + 10).alias("doc_id"), F.repeat(F.lit("lorem ipsum dolor "), 50_000).alias("text"))
+    gains = []
+    for docs in (few, few.union(filler)):
+        tree, vocabulary = suffix_tree.train(docs)
+        row = suffix_tree.score(few.filter("doc_id = 1"), tree, vocabulary).first()
+        assert row["n_known"] == 41
+        gains.append((tree.least, row["score"] - row["base_score"]))
+    # words seen twice aren't broadcast, but say what follows in a corpus of any size
+    assert gains[0][0] > 2 and gains[1][0] > 2
+    assert gains[1][1] > gains[0][1] > 40
+
+
 def test_states_are_distributions(messy):
     tree, vocabulary = suffix_tree.train(messy)
     words = vocabulary.toArrow()
