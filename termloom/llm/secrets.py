@@ -2,7 +2,8 @@
 
 Some matches are secrets by themselves (``assign``, ``access``, ``hex``). Others are weak: a login, a long
 mixed token, an endpoint. A weak part counts only when complementary parts lie in its scope, at most
-``SCOPE`` characters away: an identifier needs a secret, a secret needs an identifier, an endpoint needs both.
+``SCOPE`` characters away or overlapping it (a URL holds its parameters): an identifier needs a secret, a secret
+needs an identifier, an endpoint needs both. A passcode ends where ``&name=`` begins another parameter.
 
 Positions are code points. They come from the lengths of the matches and of the gaps between them, added up
 over the matches of a text. Everything is a DataFrame operation.
@@ -25,7 +26,7 @@ BASE = {"assign": _ASSIGN, "access": r"AKIA[A-Z0-9]+", "hex": r"[0-9a-f]{32,}"}
 #: Kinds that need a complement.
 WEAK = {
     "login": r"""(?i)\b(user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@+/_.-]+)""",
-    "passcode": r"""(?i)\b(pwd|passphrase|passcode|pin|secret_?key|private_?key)["']?\x20*[:=]\x20*["']?([^\s"',;]+)""",
+    "passcode": r"""(?i)\b(pwd|passphrase|passcode|pin|secret_?key|private_?key)["']?\x20*[:=]\x20*["']?((?:[^\s"',;&]++|&(?!\w+=))++)""",
     "mixed": r"[A-Za-z0-9+/]{32,}={0,2}",
     "endpoint": r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]+|\b\d{1,3}(?:\.\d{1,3}){3}(?::\d{1,5})?\b",
 }
@@ -88,22 +89,19 @@ def parts(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> t
 
 
 def _beside(left: DataFrame, right: DataFrame) -> DataFrame:
-    """The rows of ``left`` with a row of ``right`` before or after them in the same text, within the scope.
+    """The rows of ``left`` with a row of ``right`` in the same text that overlaps them or lies within the scope.
 
-    The later part is keyed by the stretch of the text where it starts, the earlier one by the stretch where it
-    ends and the next: an equi-join that meets only parts that lie near each other.
+    Both are keyed by the stretches of the text that they cover, the left ones also by those on either side: an
+    equi-join that meets only parts that lie near each other. No kind is on both sides, so no part meets itself.
     """
     stretch = lambda c: F.floor(F.col(c) / SCOPE)
-    two = lambda c: F.explode(F.array(stretch(c), stretch(c) + 1))
-    other = right.select("row", F.col("start").alias("start2"), F.col("end").alias("end2"))
-    out = []
-    for l, r, gap in (
-        (left.withColumn("s", two("end")), other.withColumn("s", stretch("start2")), F.col("start2") - F.col("end")),
-        (left.withColumn("s", stretch("start")), other.withColumn("s", two("end2")), F.col("start") - F.col("end2")),
-    ):
-        met = l.alias("l").join(r.alias("r"), (F.col("l.row") == F.col("r.row")) & (F.col("l.s") == F.col("r.s")) & gap.between(0, SCOPE), "left_semi")
-        out.append(met.select("row", "kind", "start", "end"))
-    return out[0].union(out[1]).distinct()
+    l = left.withColumn("s", F.explode(F.sequence(stretch("start") - 1, stretch("end") + 1))).alias("l")
+    r = right.select(
+        "row", F.col("start").alias("start2"), F.col("end").alias("end2"), F.explode(F.sequence(stretch("start"), stretch("end"))).alias("s")
+    ).alias("r")
+    near = (F.col("start2") <= F.col("end") + SCOPE) & (F.col("end2") >= F.col("start") - SCOPE)
+    met = l.join(r, (F.col("l.row") == F.col("r.row")) & (F.col("l.s") == F.col("r.s")) & near, "left_semi")
+    return met.select("row", "kind", "start", "end").distinct()
 
 
 def secrets(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
