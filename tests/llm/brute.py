@@ -1,7 +1,9 @@
 """Plain versions of the operators, for small tables."""
 
+import hashlib
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -74,3 +76,58 @@ def without_repeats(texts, length=400):
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out.append((len(b), sum(gone), runs, bytes(x for x, g in zip(b, gone) if not g)))
     return out
+
+
+def line_key(line):
+    return line.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+
+
+def without_repeated_lines(docs, least=3, length=20):
+    """(id, lines, dropped, digest of what is kept) of each (id, text); rows of an id are one document."""
+    name = lambda i, t: (i is not None, i or 0, "" if i is not None else t or "")
+    held = defaultdict(set)
+    for i, t in docs:
+        for line in (t or "").split("\n"):
+            held[line_key(line)].add(name(i, t))
+    out = []
+    for i, t in docs:
+        lines = (t or "").split("\n")
+        gone = lambda k: len(k) >= length and len(held[k]) >= least and max(held[k]) != name(i, t)  # noqa: B023, E731
+        kept = [line for line in lines if not gone(line_key(line))]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+def word_counts(docs):
+    """{word: n} of letter runs, some of them damaged."""
+    total = Counter()
+    for i, t in docs:
+        for run in re.findall("[A-Za-z\u00c0-\u00ff]+", t or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 97 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            if len(run) >= 5:
+                total[run] += 1
+    return {w: n for w, n in total.items() if n >= 3}
+
+
+def one_edit(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(words):
+    """(word, form, root, n, n_near, form_n) by comparing all words."""
+    form, out = {}, []
+    for w, n in words.items():
+        near = [(-m, v) for v, m in words.items() if one_edit(w, v)]
+        best = min(near, default=(0, None))
+        form[w] = best[1] if -best[0] >= 2 * n else None
+        out.append([w, form[w], w, n, len(near), -best[0] if form[w] else None])
+    for row in out:
+        while form[row[2]]:
+            row[2] = form[row[2]]
+    return [tuple(row) for row in out]
