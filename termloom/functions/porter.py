@@ -1,109 +1,118 @@
-"""Suffix stripping after M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980.
+"""Suffix stripping after M. F. Porter, "An algorithm for suffix stripping", Program 14(3), 1980, as columns.
 
-A small helper for the distinct vocabulary; it never runs for each token.
+Each step takes the word and its shape, a text with ``v`` for a vowel and ``c`` for a consonant at the place of each
+character. A suffix is cut from both, so the measure of what is left is a pattern on a prefix of the shape: the
+number of places where a consonant follows a vowel. The steps are texts of SQL, which become one expression at once.
 """
 
 from __future__ import annotations
 
-import re
-from functools import lru_cache
-
-_VOWELS = "aeiou"
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 # Suffix pairs of steps 2 and 3 and suffixes of step 4 in the published paper.
-_STEP_2 = dict(
+STEP_2 = dict(
     ational="ate", tional="tion", enci="ence", anci="ance", izer="ize", abli="able", alli="al",
     entli="ent", eli="e", ousli="ous", ization="ize", ation="ate", ator="ate", alism="al",
     iveness="ive", fulness="ful", ousness="ous", aliti="al", iviti="ive", biliti="ble",
-)
-_STEP_3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
-_STEP_4 = tuple(
-    "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
-)
-
-
-def _shape(word: str) -> str:
-    """One letter for each character: ``v`` vowel or ``c`` consonant (``y`` after a consonant: v)."""
-    shape = ""
-    for i, char in enumerate(word):
-        vowel = char in _VOWELS or (char == "y" and i > 0 and shape[i - 1] == "c")
-        shape += "v" if vowel else "c"
-    return shape
-
-
-def _measure(stem: str) -> int:
-    return len(re.findall("v+c+", _shape(stem)))
-
-
-def _ends_double(word: str) -> bool:
-    return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
-
-
-def _ends_cvc(word: str) -> bool:
-    return len(word) > 2 and _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
-
-
-def _plural(word: str) -> str:
-    for suffix, new in (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")):
-        if word.endswith(suffix):
-            return word[: len(word) - len(suffix)] + new
-    return word
-
-
-def _past_and_gerund(word: str) -> str:
-    if word.endswith("eed"):
-        return word[:-1] if _measure(word[:-3]) > 0 else word
-    suffix = "ed" if word.endswith("ed") else "ing" if word.endswith("ing") else ""
-    stem = word[: len(word) - len(suffix)]
-    if not suffix or "v" not in _shape(stem):
-        return word
-    if stem.endswith(("at", "bl", "iz")):
-        return stem + "e"
-    if _ends_double(stem) and stem[-1] not in "lsz":
-        return stem[:-1]
-    return stem + "e" if _measure(stem) == 1 and _ends_cvc(stem) else stem
-
-
-def _longest(word: str, suffixes) -> str | None:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
-
-
-def _replace(word: str, table: dict[str, str]) -> str:
-    suffix = _longest(word, table)
-    if suffix is None:
-        return word
-    stem = word[: len(word) - len(suffix)]
-    return stem + table[suffix] if _measure(stem) > 0 else word
-
-
-def _drop(word: str) -> str:
-    suffix = _longest(word, _STEP_4)
-    if suffix is None:
-        return word
-    stem = word[: len(word) - len(suffix)]
-    if _measure(stem) < 2 or (suffix == "ion" and not stem.endswith(("s", "t"))):
-        return word
-    return stem
-
-
-def _tidy(word: str) -> str:
-    if word.endswith("e"):
-        stem = word[:-1]
-        count = _measure(stem)
-        if count > 1 or (count == 1 and not _ends_cvc(stem)):
-            word = stem
-    if word.endswith("ll") and _measure(word) > 1:
-        word = word[:-1]
-    return word
-
-
-@lru_cache(maxsize=65536)
-def porter_stem(word: str) -> str:
-    """Stem of one lower-cased word; words of one or two letters stay as they are."""
-    if len(word) < 3:
-        return word
-    word = _past_and_gerund(_plural(word))
-    if word.endswith("y") and "v" in _shape(word[:-1]):
-        word = word[:-1] + "i"
-    word = _replace(_replace(word, _STEP_2), _STEP_3)
-    return _tidy(_drop(word))
+)
+STEP_3 = dict(icate="ic", ative="", alize="al", iciti="ic", ical="ic", ful="", ness="")
+STEP_4 = tuple("al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split())
+
+def _bound(value: str, name: str, body: str) -> str:
+    """``body`` with a name for a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def shape(word: str) -> str:
+    """``v`` or ``c`` for each character; a ``y`` is a vowel after a consonant.
+
+    The first of several ``y`` is a consonant at the start and after a vowel; from there they take turns.
+    """
+    letters = f"translate(regexp_replace({word}, '[^aeiouy]', 'c'), 'aeiou', 'vvvvv')"
+    return f"translate(replace(regexp_replace({letters}, '(^|v)y', '$1c'), 'yy', 'vc'), 'y', 'v')"
+
+
+def _cut(text: str, n) -> str:
+    return f"left({text}, length({text}) - {n})"
+
+
+def _some(shape: str) -> str:
+    """A measure above 0."""
+    return f"contains({shape}, 'vc')"
+
+
+def _several(shape: str) -> str:
+    """A measure above 1."""
+    return f"rlike({shape}, 'vc.*vc')"
+
+
+def _short_end(word: str, shape: str) -> str:
+    """Consonant, vowel, consonant other than w, x and y."""
+    return f"(endswith({shape}, 'cvc') AND NOT rlike({word}, '[wxy]$'))"
+
+
+def _without(word: str, shape: str, n: str, body: str) -> str:
+    """``body`` of what is left of word and shape, ``bare`` and ``rest``, when ``n`` characters go."""
+    return _bound(_cut(word, n), "bare", _bound(_cut(shape, n), "rest", body))
+
+
+def _longest(word: str, suffixes, body: str) -> str:
+    """``body`` of the longest ``suffix`` that the word ends with, or an empty text: a pattern finds the one that begins first."""
+    return _bound(f"regexp_extract({word}, '({'|'.join(suffixes)})$', 1)", "suffix", body)
+
+
+def _plural(word: str, shape: str) -> str:
+    return f"CASE WHEN rlike({word}, '(ss|i)es$') THEN {_cut(word, 2)} WHEN rlike({word}, '(^|[^s])s$') THEN {_cut(word, 1)} ELSE {word} END"
+
+
+def _past_and_gerund(word: str, shape: str) -> str:
+    mended = f"""CASE WHEN NOT contains(rest, 'v') THEN {word}
+        WHEN rlike(bare, '(at|bl|iz)$') THEN concat(bare, 'e')
+        WHEN rlike(bare, r'([^lsz])\\1$') AND endswith(rest, 'c') THEN {_cut("bare", 1)}
+        WHEN {_some("rest")} AND NOT {_several("rest")} AND {_short_end("bare", "rest")} THEN concat(bare, 'e')
+        ELSE bare END"""
+    return f"""CASE WHEN endswith({word}, 'eed') THEN if({_some(_cut(shape, 3))}, {_cut(word, 1)}, {word})
+        WHEN endswith({word}, 'ed') THEN {_without(word, shape, "2", mended)}
+        WHEN endswith({word}, 'ing') THEN {_without(word, shape, "3", mended)} ELSE {word} END"""
+
+
+def _last_y(word: str, shape: str) -> str:
+    return f"if(endswith({word}, 'y') AND contains({_cut(shape, 1)}, 'v'), concat({_cut(word, 1)}, 'i'), {word})"
+
+
+def _replaced(table: dict[str, str]):
+    new = "CASE suffix " + " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in table.items()) + " END"
+
+    def step(word: str, shape: str) -> str:
+        change = f"suffix <> '' AND {_some(_cut(shape, 'length(suffix)'))}"
+        return _longest(word, table, f"if({change}, concat({_cut(word, 'length(suffix)')}, {new}), {word})")
+
+    return step
+
+
+def _dropped(word: str, shape: str) -> str:
+    drop = f"suffix <> '' AND {_several('rest')} AND (suffix <> 'ion' OR rlike(bare, '[st]$'))"
+    return _longest(word, STEP_4, _without(word, shape, "length(suffix)", f"if({drop}, bare, {word})"))
+
+
+def _last_e(word: str, shape: str) -> str:
+    drop = f"{_several('rest')} OR ({_some('rest')} AND NOT {_short_end('bare', 'rest')})"
+    return f"if(endswith({word}, 'e'), {_without(word, shape, '1', f'if({drop}, bare, {word})')}, {word})"
+
+
+def _last_l(word: str, shape: str) -> str:
+    return f"if(endswith({word}, 'll') AND {_several(shape)}, {_cut(word, 1)}, {word})"
+
+
+_STEPS = (
+    _plural, _past_and_gerund, _last_y, _replaced(STEP_2), _replaced(STEP_3), _dropped, _last_e, _last_l,
+)
+
+
+def porter_stem(column: str) -> Column:
+    """Stem of a column of lower-cased words; words of one or two characters stay as they are. For distinct words."""
+    stem = column
+    for step in _STEPS:
+        stem = _bound(stem, "word", _bound(shape("word"), "shape", step("word", "shape")))
+    return F.expr(f"if(length({column}) < 3, {column}, {stem})")

@@ -8,10 +8,8 @@ every posting once more across the cluster.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from termloom.functions.porter import porter_stem
 from termloom.functions.text import words
@@ -20,14 +18,9 @@ ALL_FIELDS = ("title", "content", "filename", "tags")
 STEMMED_FIELDS = ("title", "content")
 
 
-@F.pandas_udf(StringType())
-def _stem_words(terms: pd.Series) -> pd.Series:
-    return terms.map(porter_stem, na_action="ignore")
-
-
 def stem_vocabulary(vocabulary: DataFrame) -> DataFrame:
     """(term) -> (term, stem) over distinct words."""
-    return vocabulary.select("term").distinct().withColumn("stem", _stem_words("term"))
+    return vocabulary.select("term").distinct().withColumn("stem", porter_stem("term"))
 
 
 def field_tokens(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from termloom.functions.porter import STEP_2, STEP_3, STEP_4
 from termloom.functions.render import RULE
 from termloom.functions.wordlists import CUSTOM_STOP_WORDS, DEFAULT_FORMATS, ENGLISH_STOP_WORDS
 from termloom.plans.registry import ALL_TERMS, FILTERS, MISSPELT, PATTERNS, PHRASES, PREFIX, TERMS
@@ -393,6 +394,54 @@ _RECORD = (
     "'line_count': line_count, 'char_count': char_count, 'paragraph_count': paragraph_count, 'mime_type': 'text/plain'}}"
 )
 
+
+def _stems(source: str) -> str:
+    """Common tables that end in ``stems`` (term, stem) of the words of a query; ``s`` is v or c for each character of ``w``."""
+    shape = (
+        "translate(replace(regexp_replace(translate(regexp_replace(w, '[^aeiouy]', 'c', 'g'), 'aeiou', 'vvvvv'), "
+        r"'(^|v)y', '\1c', 'g'), 'yy', 'vc'), 'y', 'v')"
+    )
+    cut = lambda n: f"left(w, length(w) - {n})"
+    rest = lambda n: f"left(s, length(s) - {n})"
+    some, several = (lambda t: f"contains({t}, 'vc')"), (lambda t: f"regexp_matches({t}, 'vc.*vc')")
+    short_end = lambda b, t: f"(ends_with({t}, 'cvc') AND NOT regexp_matches({b}, '[wxy]$'))"
+
+    def table(rules: dict[str, str]) -> str:
+        cases = " ".join(f"WHEN '{old}' THEN '{new}'" for old, new in rules.items())
+        found = f"regexp_extract(w, '({'|'.join(rules)})$', 1)"
+        n = f"length({found})"
+        return f"CASE WHEN {n} > 0 AND {some(rest(n))} THEN {cut(n)} || CASE {found} {cases} END ELSE w END"
+
+    cut_2, shape_2 = "left(w, length(w) - k)", "left(s, length(s) - k)"
+    last = f"regexp_extract(w, '({'|'.join(STEP_4)})$', 1)"
+    n = f"length({last})"
+    steps = (
+        f"CASE WHEN ends_with(w, 'sses') OR ends_with(w, 'ies') THEN {cut(2)} WHEN ends_with(w, 'ss') THEN w "
+        f"WHEN ends_with(w, 's') THEN {cut(1)} ELSE w END",
+        f"""CASE WHEN ends_with(w, 'eed') THEN CASE WHEN {some(rest(3))} THEN {cut(1)} ELSE w END
+          WHEN k = 0 OR NOT contains({shape_2}, 'v') THEN w WHEN regexp_matches({cut_2}, '(at|bl|iz)$') THEN {cut_2} || 'e'
+          WHEN length({cut_2}) > 1 AND ends_with({shape_2}, 'c') AND right({cut_2}, 1) = left(right({cut_2}, 2), 1)
+            AND NOT regexp_matches({cut_2}, '[lsz]$') THEN left(w, length(w) - k - 1)
+          WHEN {some(shape_2)} AND NOT {several(shape_2)} AND {short_end(cut_2, shape_2)} THEN {cut_2} || 'e' ELSE {cut_2} END""",
+        f"CASE WHEN ends_with(w, 'y') AND contains({rest(1)}, 'v') THEN {cut(1)} || 'i' ELSE w END",
+        table(STEP_2),
+        table(STEP_3),
+        f"CASE WHEN {n} > 0 AND {several(rest(n))} AND ({last} <> 'ion' OR regexp_matches({cut(n)}, '[st]$')) THEN {cut(n)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'e') AND ({several(rest(1))} OR ({some(rest(1))} AND NOT {short_end(cut(1), rest(1))})) "
+        f"THEN {cut(1)} ELSE w END",
+        f"CASE WHEN ends_with(w, 'll') AND {several('s')} THEN {cut(1)} ELSE w END",
+    )
+    out = f", stem_0 AS (SELECT DISTINCT term, term AS w FROM ({source}))"
+    for i, step in enumerate(steps):
+        suffix = "CASE WHEN ends_with(w, 'ed') THEN 2 WHEN ends_with(w, 'ing') THEN 3 ELSE 0 END"
+        out += f", stem_{i + 1} AS (SELECT term, {step} AS w FROM (SELECT term, w, {shape} AS s, {suffix} AS k FROM stem_{i}))"
+    return out + f", stems AS (SELECT term, CASE WHEN length(term) < 3 THEN term ELSE w END AS stem FROM stem_{len(steps)})"
+
+
+_STEMMED_POSTINGS = """, stemmed AS (
+  SELECT path, field, CASE WHEN field IN ('title', 'content') THEN stem ELSE term END AS term, count(*) AS tf,
+    list(pos ORDER BY pos) AS positions FROM tok JOIN stems USING (term) GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
     "hidden_file_filter": "SELECT path FROM landing WHERE NOT starts_with(filename, '.')",
     "exclude_globs": "SELECT path FROM landing WHERE NOT ends_with(filename, '.log') AND NOT contains(path, '/src5/')",
@@ -524,6 +573,24 @@ ORACLES: dict[str, str] = {
       CASE WHEN len(terms) > 0 THEN array_to_string(terms, ' ') ELSE regexp_replace(residual, {STRIP}) END AS processed,
       search_type, CAST(len(terms) AS INTEGER) AS n_terms, CAST(len(phrases) AS INTEGER) AS n_phrases
       FROM analysed WHERE query_id >= 0 AND query_id < 1000000000000""",
+    "stemmed_vocabulary": _stems("SELECT term FROM dfs WHERE field = 'content'") + " SELECT term, stem FROM stems",
+    "stemmed_postings": _stems("SELECT term FROM dfs") + _STEMMED_POSTINGS
+    + " SELECT path, field, term, tf, array_to_string(positions, ',') AS positions FROM stemmed",
+    "query_terms_stemmed": _stems("SELECT unnest(terms) AS term FROM analysed WHERE query_id >= 0") + rf"""
+      , places AS (SELECT query_id, unnest(terms) AS term, unnest(range(len(terms))) AS i FROM analysed WHERE query_id >= 0),
+      joined AS (SELECT query_id, list(stem ORDER BY i) AS found FROM places JOIN stems USING (term) GROUP BY query_id)
+      SELECT query_id, coalesce(array_to_string(found, '|'), '') AS terms,
+        CASE WHEN found IS NOT NULL THEN array_to_string(found, ' ') ELSE regexp_replace(residual, {STRIP}) END AS processed
+      FROM analysed LEFT JOIN joined USING (query_id) WHERE query_id >= 0""",
+    "batch_search_stemmed": _stems("SELECT term FROM dfs UNION SELECT unnest(terms) FROM analysed WHERE query_id < 0")
+    + _STEMMED_POSTINGS + f"""
+      , s_dfs AS (SELECT field, term, count(*) AS df FROM stemmed GROUP BY ALL),
+      s_terms AS (SELECT DISTINCT query_id, field, CASE WHEN field IN ('title', 'content') THEN stem ELSE term END AS term
+        FROM batch_terms JOIN stems USING (term)),
+      s_scored AS (SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM s_terms JOIN stemmed USING (field, term)
+        JOIN s_dfs USING (field, term) JOIN fs USING (field) JOIN lens USING (path, field) GROUP BY ALL)
+      SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, path,
+        round(score, 6) AS score FROM s_scored WHERE score >= 0.1 QUALIFY rank <= 20""",
     "log_retention": """SELECT event_id AS query_id, event_type AS query,
       CAST(json_extract_string(props, '$.k') AS BIGINT) AS total_results FROM events ORDER BY ts DESC, event_id DESC LIMIT 1000""",
     "log_statistics": """SELECT count(*) AS total_searches, round(avg(value), 6) AS average_search_time,

@@ -1,4 +1,7 @@
-import pytest
+import random
+
+from plain_porter import _STEP_2, _STEP_3, _STEP_4
+from plain_porter import porter_stem as plain_stem
 
 from termloom.functions.porter import porter_stem
 
@@ -19,10 +22,23 @@ effective effect bowdlerize bowdler probate probat rate rate cease ceas controll
 """.split()
 
 
-@pytest.mark.parametrize(("word", "stem"), list(zip(PAIRS[::2], PAIRS[1::2], strict=True)))
-def test_published_examples(word, stem):
-    assert porter_stem(word) == stem
+def stems(spark, words):
+    frame = spark.createDataFrame([(w,) for w in words], "term string")
+    return {r["term"]: r["stem"] for r in frame.select("term", porter_stem("term").alias("stem")).collect()}
+
+
+def test_published_examples(spark):
+    assert stems(spark, PAIRS[::2]) == dict(zip(PAIRS[::2], PAIRS[1::2], strict=True))
+
+
+def test_short_words_stay(spark):
+    assert stems(spark, ["a", "is", "be", "", None]) == {"a": "a", "is": "is", "be": "be", "": "", None: None}
 
 
-def test_short_words_stay():
-    assert [porter_stem(w) for w in ("a", "is", "be")] == ["a", "is", "be"]
+def test_stems_equal_the_plain_version(spark):
+    rng = random.Random(1)
+    pieces = ["y", "yy", "yyy", "a", "e", "ss", "l", "ll", "t", "é", "b", "w", "x", "zz", "o", "𝒳", "1", "ing", "ed", "eed", "at", "bl", "iz"]
+    ends = ["", "s", "es", "ing", "ed", "y", "e", "ll", *_STEP_2, *_STEP_3, *_STEP_4]
+    words = {"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) + rng.choice(ends) for _ in range(20_000)}
+    got = stems(spark, sorted(words))
+    assert {w: (got[w], plain_stem(w)) for w in words if got[w] != plain_stem(w)} == {}
