@@ -31,6 +31,9 @@ class Index:
     all_postings: DataFrame | None = None
     all_corpus: DataFrame | None = None
     removed: DataFrame | None = None
+    #: of a stored index: what leads from the grams and the deletions of content terms to the terms
+    grams: DataFrame | None = None
+    variants: DataFrame | None = None
 
     def live(self, rows: DataFrame) -> DataFrame:
         """Rows of ``all_postings`` or ``all_corpus`` without those of replaced documents."""

@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import wildcard_to_regex
-from termloom.operators.sizing import sized
+from termloom.operators.sizing import SMALL_ROWS, pinned_table, sized
 
 HIT = ["query_id", "path"]
+#: so many values at most are named to the scan of a stored table
+NAMED = 1_000
 
 
 def term_bucket(term, buckets: int):
@@ -76,31 +80,50 @@ def either(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.select(*HIT).unionByName(right.select(*HIT)).distinct()
 
 
-def phrase_hits(occurrences: DataFrame, phrases: DataFrame, small: bool | None = None) -> DataFrame:
+def phrase_rows(spark: SparkSession, phrases: list[tuple[int, str]]) -> DataFrame:
+    """(phrase_id, i, term, n_terms) of phrases whose words are parted by blanks."""
+    rows = [(pid, i, w, len(p.split())) for pid, p in phrases for i, w in enumerate(p.split())]
+    return spark.createDataFrame(rows, "phrase_id long, i int, term string, n_terms int")
+
+
+def rarest_places(phrases: DataFrame, stats: DataFrame, small: bool | None = None) -> DataFrame:
+    """(phrase_id, i, df) of the rarest term of each phrase; of equal ones, and of unknown ones, the first."""
+    dfs = stats.groupBy("term").agg(F.sum("df").alias("df"))
+    wanted = sized(phrases.select("term").distinct(), small)
+    found = dfs.join(wanted, "term")
+    counted = phrases.join(found, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    first = F.min(F.struct("df", "i")).alias("first")
+    return counted.groupBy("phrase_id").agg(first).select("phrase_id", "first.i", "first.df")
+
+
+def phrase_hits(
+    postings: DataFrame, phrases: DataFrame, small: bool | None = None, stats: DataFrame | None = None
+) -> DataFrame:
     """Places where the terms of a phrase stand in a row: (phrase_id, path, start).
 
-    ``occurrences`` is (path, term, pos), ``phrases`` is (phrase_id, i, term, n_terms) with i from
-    0. Each occurrence votes for the place its phrase would start at; a place with all n votes is
-    a hit. The group key holds the document and the place, so a frequent word makes no hot group,
-    and a phrase that repeats a word needs no special case.
+    ``postings`` is (path, term, positions) of one field, ``phrases`` is (phrase_id, i, term, n_terms) with i from 0.
+    A posting gives one row for each place of its term in a phrase: its positions, moved back by that place. The
+    rows of a (phrase, document) meet, at most one for each word of the phrase, and the positions that all of them
+    share are the starts; the shortest list is the first, and repeated words need no special case. With ``stats``
+    (term, df) the documents are those of the rarest word of each phrase, so that the postings of frequent words are
+    cut before they are moved.
     """
-    votes = occurrences.join(sized(phrases, small), "term").select(
-        "phrase_id", "n_terms", "path", (F.col("pos") - F.col("i")).alias("start")
+    moved = postings.join(sized(phrases, small), "term").select(
+        "phrase_id", "path", "i", "n_terms", F.transform("positions", lambda p: p - F.col("i")).alias("starts")
     )
-    # one document position holds one term, so the votes for one place are distinct
-    return (
-        votes.groupBy("phrase_id", "n_terms", "path", "start")
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .filter("votes = n_terms")
-        .select("phrase_id", "path", "start")
-    )
-
-
-def occurrences(postings: DataFrame, field: str = "content") -> DataFrame:
-    """(path, term, pos) rows of one field from postings with positions."""
-    return postings.filter(F.col("field") == field).select(
-        "path", "term", F.explode("positions").alias("pos")
+    if stats is not None:
+        # looked up once: there is a row for each phrase
+        rarest = rarest_places(phrases, stats, small)
+        rarest, table = pinned_table(rarest, SMALL_ROWS)
+        few = table is not None and sum(table["df"].to_pylist()) <= SMALL_ROWS
+        led = moved.join(sized(rarest.drop("df"), table is not None), ["phrase_id", "i"], "left_semi").select("phrase_id", "path")
+        moved = moved.join(F.broadcast(led) if few else led, ["phrase_id", "path"], "left_semi")
+    lists = F.sort_array(F.collect_list(F.struct(F.size("starts").alias("size"), "i", "starts")))
+    met = moved.groupBy("phrase_id", "path", "n_terms").agg(lists.alias("lists")).filter(F.size("lists") == F.col("n_terms"))
+    shared = F.aggregate(
+        F.slice("lists", F.lit(2), F.size("lists")), F.col("lists")[0]["starts"], lambda found, one: F.array_intersect(found, one["starts"])
     )
+    return met.select("phrase_id", "path", F.explode(shared).alias("start"))
 
 
 # --- expansion over the vocabulary -------------------------------------------------------------
@@ -144,6 +167,45 @@ def expand_wildcards(
     return pairs.filter(F.rlike("term", "regex")).select("pattern", "term")
 
 
+def gram_rows(terms: DataFrame) -> DataFrame:
+    """(term) -> (gram, term): every three characters in a row of ``^term$$``, once for each term."""
+    padded = F.concat(F.lit("^"), "term", F.lit("$$"))
+    grams = F.transform(F.sequence(F.lit(1), F.length("term") + 1), lambda i: F.substring(padded, i, F.lit(_GRAM)))
+    return terms.select(F.explode(F.array_distinct(grams)).alias("gram"), "term")
+
+
+def _named(rows: DataFrame, table: pa.Table | None, bucket: str, key: str) -> DataFrame:
+    """Stored rows that may have one of the keys of a pinned table: other buckets, and sorted row groups, aren't read."""
+    if table is None:
+        return rows
+    rows = rows.filter(F.col(bucket).isin(table[bucket].unique().to_pylist()))
+    return rows.filter(F.col(key).isin(table[key].unique().to_pylist())) if table.num_rows <= NAMED else rows
+
+
+def expand_stored_wildcards(grams: DataFrame, patterns: DataFrame, buckets: int) -> DataFrame:
+    """:func:`expand_wildcards` over stored (gbucket, gram, term): only what a gram of the pattern leads to is read.
+
+    A literal shorter than a gram is the beginning of the grams that a matching term has: the end is padded for that.
+    """
+    wanted = _literal_grams(patterns.select("pattern").distinct()).withColumn("regex", wildcard_to_regex(F.col("pattern")))
+    # no gram begins with the end; a pattern that prescribes nothing else leads to all beginnings
+    wanted = wanted.withColumn("gram", F.when(F.col("gram") == "$", F.lit("^")).otherwise(F.col("gram")))
+    wanted, table = pinned_table(wanted.withColumn("gbucket", term_bucket(F.col("gram"), buckets)), SMALL_ROWS)
+    sizes = {1, 2, _GRAM} if table is None else {len(g) for g in table["gram"].to_pylist()}
+    found = [wanted.limit(0).select("pattern", F.col("pattern").alias("term"))]
+    for size in sorted(sizes):
+        own = wanted.filter(F.length("gram") == size)
+        if size == _GRAM:
+            full = table if table is None else table.filter(pc.equal(pc.utf8_length(table["gram"]), _GRAM))
+            rows, keys = _named(grams, full, "gbucket", "gram"), ["gbucket", "gram"]
+        else:
+            rows, keys = grams.withColumn("begin", F.left("gram", F.lit(size))).drop("gram", "gbucket"), ["begin"]
+            own = own.drop("gbucket").withColumnRenamed("gram", "begin")
+        pairs = rows.join(sized(own, table is not None), keys)
+        found.append(pairs.filter(F.rlike("term", "regex")).select("pattern", "term"))
+    return union_all(found).distinct()
+
+
 def expand_prefix(vocabulary: DataFrame, prefix: str) -> DataFrame:
     """Terms that begin with a prefix; the filter reaches the scan of stored term statistics."""
     return vocabulary.filter(F.col("term").startswith(prefix))
@@ -197,5 +259,31 @@ def expand_fuzzy(
     return pairs.select("word", "term").distinct()
 
 
+def variant_rows(terms: DataFrame) -> DataFrame:
+    """(term) -> (variant, first, length, term): the term and what is left of it without one character."""
+    rows = terms.select(F.explode(_with_deletions(F.col("term"))).alias("variant"), "term")
+    return rows.select("variant", F.left("term", F.lit(1)).alias("first"), F.length("term").alias("length"), "term")
+
+
+def expand_stored_fuzzy(variants: DataFrame, words: DataFrame, buckets: int, prefix_length: int = 1) -> DataFrame:
+    """:func:`expand_fuzzy` over stored (vbucket, variant, first, length, term).
+
+    Only the buckets of the words' own variants are read, and of their rows those with a fitting first letter and length.
+    """
+    wanted = words.select("word").distinct().select(
+        "word", F.explode(_with_deletions(F.col("word"))).alias("variant"), F.left("word", F.lit(1)).alias("word_first"),
+        F.length("word").alias("word_length"),
+    )
+    wanted, table = pinned_table(wanted.withColumn("vbucket", term_bucket(F.col("variant"), buckets)), SMALL_ROWS)
+    rows = _named(variants, table, "vbucket", "variant")
+    pairs = rows.join(sized(wanted, table is not None), ["vbucket", "variant"]).filter(
+        F.abs(F.col("length") - F.col("word_length")) <= 1
+    )
+    if prefix_length:
+        pairs = pairs.filter(F.col("first") == F.col("word_first"))
+        pairs = pairs.filter(F.left("term", F.lit(prefix_length)) == F.left("word", F.lit(prefix_length)))
+    return pairs.filter(within_one_edit(F.col("word"), F.col("term"))).select("word", "term").distinct()
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)

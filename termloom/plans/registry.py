@@ -485,10 +485,9 @@ def nested_boolean(spark, folder):
 
 @query
 def phrase_match(spark, folder):
-    tokens = analysis.explode_tokens(analysis.content_tokens(documents_corpus(spark, folder)))
-    rows = [(pid, i, w, len(p.split())) for pid, p in PHRASES for i, w in enumerate(p.split())]
-    phrases = spark.createDataFrame(rows, "phrase_id long, i int, term string, n_terms int")
-    return match.phrase_hits(tokens, phrases)
+    terms = tuple(sorted({w for _, p in PHRASES for w in p.split()}))
+    postings = analysis.invert(analysis.content_tokens(documents_corpus(spark, folder)), terms=terms)
+    return match.phrase_hits(postings, match.phrase_rows(spark, PHRASES))
 
 
 @query

@@ -16,8 +16,6 @@ from termloom.operators.index import Index
 from termloom.operators.sizing import SMALL_QUERIES, SMALL_ROWS, pinned_table, sized
 from termloom.options import SEARCH_FIELDS, SearchOptions
 
-#: so many terms at most are named to the scan of a stored index
-NAMED_TERMS = 1_000
 QUERY_TYPES = ("phrase", "wildcard", "boolean", "fuzzy", "standard")
 
 
@@ -131,6 +129,13 @@ def _find(index: Index, terms: DataFrame, small: bool, values: list[str] | None
     return index.live(match.lookup(postings, terms, index.buckets, small))
 
 
+def _content_stats(index: Index) -> DataFrame | None:
+    """Document counts of content terms where they are stored; counting them anew would read all documents again."""
+    if index.buckets is None:
+        return None
+    return index.term_changes.filter(F.col("field") == "content").select("term", "df")
+
+
 def _allowed(index: Index, clause_terms: DataFrame, small: bool) -> DataFrame:
     """(query_id, path) with a term of every positive clause and none of a negated one.
 
@@ -173,12 +178,18 @@ def _expansions(
         )
         is_pattern = F.col("pattern").rlike("[*?]")
         parts.append(_plain(rows.filter(~is_pattern), options))
-        expanded = match.expand_wildcards(content, rows.filter(is_pattern), small=small)
+        if index.grams is None:
+            expanded = match.expand_wildcards(content, rows.filter(is_pattern), small=small)
+        else:
+            expanded = match.expand_stored_wildcards(index.grams, rows.filter(is_pattern), index.buckets)
         parts.append(rows.join(expanded, "pattern").select("query_id", F.lit("content").alias("field"), "term"))
     if "fuzzy" in types:
         rows = valid.filter(F.col("search_type") == "fuzzy").select("query_id", F.explode("terms").alias("term"))
         rows = (_stemmed(rows, "term") if options.stem else rows).withColumnRenamed("term", "word")
-        expanded = match.expand_fuzzy(content, rows, options.fuzzy_prefix, small=small)
+        if index.variants is None:
+            expanded = match.expand_fuzzy(content, rows, options.fuzzy_prefix, small=small)
+        else:
+            expanded = match.expand_stored_fuzzy(index.variants, rows, index.buckets, options.fuzzy_prefix)
         parts.append(rows.join(expanded, "word").select("query_id", F.lit("content").alias("field"), "term"))
     return parts
 
@@ -257,7 +268,7 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     if expansions or small and index.buckets is not None:  # how many there are depends on the vocabulary
         terms, found = pinned_table(terms, SMALL_ROWS)
         few_terms = found is not None
-        values = found["term"].unique().to_pylist() if few_terms and found.num_rows <= NAMED_TERMS else None
+        values = found["term"].unique().to_pylist() if few_terms and found.num_rows <= match.NAMED else None
     stats = index.term_stats if index.term_changes is None else index.term_changes
     if values and index.buckets is not None:
         stats = stats.filter(F.col("term").isin(values))
@@ -267,8 +278,8 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
     if "phrase" in types:
         phrases = _phrase_terms(valid, options)
         found = match.phrase_hits(
-            match.occurrences(_find(index, phrases.select("term", F.lit("content").alias("field")).distinct(), small)),
-            phrases.drop("query_id"), small,
+            _find(index, phrases.select("term", F.lit("content").alias("field")).distinct(), small).select("path", "term", "positions"),
+            phrases.drop("query_id"), small, _content_stats(index),
         ).select(F.col("phrase_id.query_id").alias("query_id"), "path").distinct()
         rows = phrases.select("query_id", F.lit("content").alias("field"), "term").distinct()
         every = index.term_stats if index.term_changes is None else index.term_changes

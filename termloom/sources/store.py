@@ -4,25 +4,28 @@
     <root>/corpus/batch=N/pbucket=K/      document records, sorted by path
     <root>/postings/batch=N/tbucket=K/    postings, sorted by term, field and path
     <root>/term_stats/batch=N/tbucket=K/  changes of df and cf, sorted by term and field
+    <root>/grams/batch=N/gbucket=K/       three characters of a content term and the term, sorted
+    <root>/variants/batch=N/vbucket=K/    a content term without a character and the term, sorted
     <root>/removed/batch=N/               (path, old_batch) that the batch replaces or deletes
 
-A batch costs what it adds: older files are neither rewritten nor read in full, a replaced document
-is hidden by an anti join with ``removed``, and the statistics are sums of changes. ``compact``
-folds everything into one batch. A batch that fails before its commit is overwritten by the next.
+A batch costs what it adds: a replaced document is hidden by an anti join with ``removed``, and the statistics are
+sums of changes. Batches of about one size are folded into a larger one when there are ``FOLD`` of them, so a
+document is rewritten once for each power of ``FOLD`` and a search reads few folders. ``compact`` folds everything
+into one batch, with as many buckets as its bytes ask for if it is told so. A batch that fails before its commit is
+overwritten by the next; folders that the state doesn't name any more are left to the owner.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from termloom.operators import analysis
+from termloom.operators import analysis, match
 from termloom.operators.index import Index, mean_lengths
-from termloom.operators.ingest import newest
-from termloom.operators.match import term_bucket
 from termloom.operators.rank import path_bucket
 
 VERSION = "1"
@@ -38,14 +41,17 @@ SCHEMAS = {
         "path string, field string, term string, tf bigint, doc_len bigint, positions array<int>, batch int, tbucket int"
     ),
     "term_stats": "field string, term string, df bigint, cf bigint, batch int, tbucket int",
+    "grams": "gram string, term string, batch int, gbucket int",
+    "variants": "variant string, first string, length int, term string, batch int, vbucket int",
     "removed": "path string, old_batch int, batch int",
 }
 
-#: tasks that write one term bucket
+#: tasks that write one bucket
 TASKS_PER_BUCKET = 4
-
-#: documents looked at to find the terms that need several tasks
-HOT_SAMPLE = 10_000
+#: batches of one size that are folded into one
+FOLD = 8
+#: bytes of stored tables for each bucket where their number is derived
+BUCKET_BYTES = 1 << 30
 
 
 @dataclass
@@ -61,6 +67,8 @@ class State:
     #: live documents, and the number of tokens of each field in all of them
     n_docs: int = 0
     total_len: dict[str, int] = field(default_factory=dict)
+    #: documents that each batch stored
+    batch_docs: dict[str, int] = field(default_factory=dict)
 
 
 class IndexStore:
@@ -171,69 +179,72 @@ class IndexStore:
             all_postings=self._read("postings", self.state.batches),
             all_corpus=self._read("corpus", self.state.batches),
             removed=self._removed(),
+            grams=self._read("grams", self.state.batches).select("gbucket", "gram", "term"),
+            variants=self._read("variants", self.state.batches).select("vbucket", "variant", "first", "length", "term"),
         )
 
     # --- writes ------------------------------------------------------------------------------------
 
-    def _write_corpus(self, corpus: DataFrame, batch: int) -> DataFrame:
-        """The batch as it is stored; it is read back, so that nothing above it runs twice.
+    def _slot(self, key: Column) -> Column:
+        """One of a few tasks that write a bucket, by bits of the hash that don't tell the bucket."""
+        return F.pmod(F.floor(F.shiftrightunsigned(F.xxhash64(key), 1) / self.state.buckets), F.lit(TASKS_PER_BUCKET)).cast("int")
+
+    def placed(self, documents: DataFrame, unique_paths: bool = False) -> DataFrame:
+        """Documents in the order of the corpus table, the newest of each path only.
 
-        A bucket is a hash of the path, so buckets are even and each is one task.
+        The whole rows are shuffled once: a path's rows meet in the task that writes them, sorted by path, time and
+        hash, and the first is the newest.
         """
-        placed = corpus.withColumn("pbucket", path_bucket(F.col("path"), self.state.buckets))
-        (
-            placed.repartitionById(self.state.buckets, "pbucket")
-            .sortWithinPartitions("pbucket", "path")
-            .write.mode("overwrite")
-            .partitionBy("pbucket")
-            .parquet(self._path("corpus", batch))
-        )
+        buckets = self.state.buckets
+        rows = documents.withColumn("pbucket", path_bucket(F.col("path"), buckets)).withColumn("pslot", self._slot(F.col("path")))
+        rows = rows.repartition(buckets * TASKS_PER_BUCKET, "pbucket", "pslot")
+        if unique_paths:
+            return rows.sortWithinPartitions("pbucket", "pslot", "path").drop("pslot")
+        order = [F.col("modified_time").desc_nulls_last(), F.col("content_hash")]
+        place = F.row_number().over(Window.partitionBy("pbucket", "pslot", "path").orderBy(*order))
+        return rows.withColumn("_place", place).filter("_place = 1").drop("_place", "pslot")
+
+    def _write_corpus(self, documents: DataFrame, batch: int, unique_paths: bool = False) -> DataFrame:
+        """The batch as it is stored; it is read back, so that nothing above it runs twice."""
+        placed = self.placed(documents, unique_paths)
+        placed.write.mode("overwrite").partitionBy("pbucket").parquet(self._path("corpus", batch))
         return self._read("corpus", [batch])
 
-    def _write_postings(self, postings: DataFrame, hot: DataFrame, batch: int) -> DataFrame:
-        """A few tasks for each term bucket, and more for the terms that would overfill one.
+    def _write_buckets(self, table: str, rows: DataFrame, bucket: str, order: list[str], batch: int) -> DataFrame:
+        """Rows by the buckets of the first of the columns they are sorted by, a few tasks for each bucket.
 
-        A hash layout needs no sampling pass, which would invert the documents a second time. The
-        rows of a frequent term are dealt to as many neighbouring tasks as it has splits.
+        Tasks are evened out by what the shuffle has written: a part that a frequent term overfills is split, and
+        small parts share a task. No sample is taken and nothing is inverted twice.
         """
-        tasks = self.state.buckets * TASKS_PER_BUCKET
-        slot = F.pmod(F.xxhash64("term"), F.lit(tasks))
-        split = F.pmod(F.xxhash64("path"), F.coalesce("splits", F.lit(1)))
-        placed = (
-            postings.withColumn("tbucket", term_bucket(F.col("term"), self.state.buckets))
-            .join(F.broadcast(hot), ["field", "term"], "left")  # at most two rows for each task
-            .withColumn("task", F.pmod(slot + split, F.lit(tasks)).cast("int"))
-        )
+        key = F.col(order[0])
+        placed = rows.withColumn(bucket, match.term_bucket(key, self.state.buckets)).withColumn("_slot", self._slot(key))
         (
-            placed.repartitionById(tasks, "task")
-            .drop("task", "splits")
-            .sortWithinPartitions("tbucket", "term", "field", "path")
+            placed.hint("rebalance", F.col(bucket), F.col("_slot"))
+            .drop("_slot")
+            .sortWithinPartitions(bucket, *order)
             .write.mode("overwrite")
-            .partitionBy("tbucket")
-            .parquet(self._path("postings", batch))
+            .partitionBy(bucket)
+            .parquet(self._path(table, batch))
         )
-        return self._read("postings", [batch])
+        return self._read(table, [batch])
 
-    def _hot_terms(self, corpus: DataFrame, documents: int) -> DataFrame:
-        """(field, term, splits) of the terms that hold more than half a task's share of all postings.
+    def _write_postings(self, postings: DataFrame, batch: int) -> DataFrame:
+        return self._write_buckets("postings", postings, "tbucket", ["term", "field", "path"], batch)
 
-        The shares come from about HOT_SAMPLE documents; they only place rows, they drop none.
-        """
-        schema = "field string, term string, splits long"
-        if documents <= HOT_SAMPLE:  # too few to overfill a task
-            return self.spark.createDataFrame([], schema)
-        sample = corpus.sample(HOT_SAMPLE / documents, seed=7)
-        counts = (
-            analysis.field_tokens(sample)
-            .select("field", F.explode(F.array_distinct("tokens")).alias("term"))
-            .groupBy("field", "term")
-            .count()
-        )
-        total = counts.agg(F.sum("count")).first()[0] or 1
-        share = F.col("count") * self.state.buckets * TASKS_PER_BUCKET / F.lit(total)
-        hot = counts.filter(share > 0.5).select("field", "term", F.ceil(share * 2).cast("long").alias("splits"))
-        rows = [tuple(row) for row in hot.collect()]  # fewer than two for each task
-        return self.spark.createDataFrame(rows, schema)
+    def _write_term_stats(self, terms: DataFrame, batch: int) -> None:
+        self._write_buckets("term_stats", terms, "tbucket", ["term", "field"], batch)
+
+    def _write_grams(self, grams: DataFrame, variants: DataFrame, batch: int) -> None:
+        self._write_buckets("grams", grams, "gbucket", ["gram", "term"], batch)
+        self._write_buckets("variants", variants, "vbucket", ["variant", "first", "length", "term"], batch)
+
+    def _write_vocabulary(self, batch: int, known: list[int]) -> None:
+        """Grams and deletions of the content terms of a batch that the batches before it don't have."""
+        terms = self._read("term_stats", [batch]).filter("field = 'content' AND df > 0").select("tbucket", "term")
+        if known:
+            before = self._read("term_stats", known).filter("field = 'content' AND df > 0").select("tbucket", "term")
+            terms = terms.join(before, ["tbucket", "term"], "left_anti")
+        self._write_grams(match.gram_rows(terms.select("term")), match.variant_rows(terms.select("term")), batch)
 
     def _postings(self, corpus: DataFrame) -> DataFrame:
         return analysis.analyze(corpus, self.state.stem).select(
@@ -256,9 +267,9 @@ class IndexStore:
         if epoch is not None and epoch[1] <= self.state.epochs.get(epoch[0], -1):
             return None
         batch = self.state.next_batch
-        corpus = self._write_corpus(documents if unique_paths else newest(documents), batch)
+        corpus = self._write_corpus(documents, batch, unique_paths)
         n_docs = corpus.count()  # from the parquet footers
-        postings = self._write_postings(self._postings(corpus), self._hot_terms(corpus, n_docs), batch)
+        postings = self._write_postings(self._postings(corpus), batch)
         terms = analysis.term_stats(postings)
         n_removed = 0
         if self.state.batches:
@@ -282,43 +293,89 @@ class IndexStore:
                 .agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
             )
         self._write_term_stats(terms, batch)
+        self._write_vocabulary(batch, self.state.batches)
         for name, total in self._lengths(batch).items():
             self.state.total_len[name] = self.state.total_len.get(name, 0) + total
         self.state.n_docs += n_docs - n_removed
         self.state.batches.append(batch)
+        self.state.batch_docs[str(batch)] = n_docs
         if n_removed:
             self.state.removed_batches.append(batch)
         self.state.next_batch = batch + 1
         if epoch is not None:
             self.state.epochs[epoch[0]] = epoch[1]
         self._write_state()
+        while self._fold():
+            pass
         return batch
 
-    def _write_term_stats(self, terms: DataFrame, batch: int) -> None:
-        placed = terms.withColumn("tbucket", term_bucket(F.col("term"), self.state.buckets))
-        (
-            placed.repartitionById(self.state.buckets, "tbucket")
-            .sortWithinPartitions("tbucket", "term", "field")
-            .write.mode("overwrite")
-            .partitionBy("tbucket")
-            .parquet(self._path("term_stats", batch))
-        )
-
     def _lengths(self, batch: int) -> dict[str, int]:
         """Tokens of each field in a batch: the sum of all term frequencies, at most four rows."""
         totals = self._read("term_stats", [batch]).groupBy("field").agg(F.sum("cf").alias("total"))
         return {row.field: row.total for row in totals.collect()}
 
-    def compact(self) -> int:
-        """Fold all live documents and postings into one batch; old folders are left to the owner."""
+    def _fold(self) -> bool:
+        """Fold the batches of one size into one when there are enough of them; the smallest size first."""
+        tiers: dict[int, list[int]] = {}
+        for batch in self.state.batches:
+            docs = self.state.batch_docs.get(str(batch), 0)
+            tiers.setdefault(0 if docs < FOLD else int(math.log(docs, FOLD)), []).append(batch)
+        folded = next((batches for _, batches in sorted(tiers.items()) if len(batches) >= FOLD), None)
+        if folded is None:
+            return False
+        batch, removed = self.state.next_batch, self._removed()
+
+        def live(table: str) -> DataFrame:
+            rows = self._read(table, folded)
+            return rows if removed is None else rows.join(removed, ["path", "batch"], "left_anti")
+
+        n_docs = self._write_corpus(live("corpus").drop("batch", "pbucket"), batch, unique_paths=True).count()
+        self._write_postings(live("postings").drop("batch", "tbucket"), batch)
+        # sums of changes, those below zero too: they take from what other batches have added
+        changes = self._read("term_stats", folded).groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+        self._write_term_stats(changes.filter("df <> 0 OR cf <> 0"), batch)
+        self._write_grams(
+            self._read("grams", folded).select("gram", "term"),
+            self._read("variants", folded).select("variant", "first", "length", "term"), batch,
+        )
+        rest = [b for b in self.state.batches if b not in folded]
+        if self.state.removed_batches:
+            # what hides documents of the other batches
+            kept = self._read("removed", self.state.removed_batches).filter(F.col("old_batch").isin(rest)).select("path", "old_batch")
+            kept.write.mode("overwrite").parquet(self._path("removed", batch))
+            self.state.removed_batches = [batch]
+        self.state.batches = [*rest, batch]
+        self.state.batch_docs = {str(b): self.state.batch_docs.get(str(b), 0) for b in rest} | {str(batch): n_docs}
+        self.state.next_batch = batch + 1
+        self._write_state()
+        return True
+
+    def _stored_bytes(self) -> int:
+        total = 0
+        for table in ("corpus", "postings"):
+            for batch in self.state.batches:
+                _, path, fs = self._hadoop(f"{table}/batch={batch}")
+                total += fs.getContentSummary(path).getLength() if fs.exists(path) else 0
+        return total
+
+    def compact(self, buckets: int | None = None, rebucket: bool = False) -> int:
+        """Fold all live documents and postings into one batch; old folders are left to the owner.
+
+        ``buckets`` sets their number anew, ``rebucket`` derives it from the bytes that are stored.
+        """
         batch = self.state.next_batch
-        corpus = self._write_corpus(self.corpus().drop("batch", "pbucket"), batch)
-        n_docs = corpus.count()
-        self._write_postings(self.postings().drop("batch", "tbucket"), self._hot_terms(corpus, n_docs), batch)
-        self._write_term_stats(self.term_stats(), batch)
+        corpus, postings, terms = self.corpus(), self.postings(), self.term_stats()
+        if rebucket and buckets is None:
+            buckets = max(1, -(-self._stored_bytes() // BUCKET_BYTES))
+        self.state.buckets = buckets or self.state.buckets
+        n_docs = self._write_corpus(corpus.drop("batch", "pbucket"), batch, unique_paths=True).count()
+        self._write_postings(postings.drop("batch", "tbucket"), batch)
+        self._write_term_stats(terms.drop("tbucket"), batch)
+        self._write_vocabulary(batch, [])
         self.state.n_docs = n_docs
         self.state.total_len = self._lengths(batch)
         self.state.batches = [batch]
+        self.state.batch_docs = {str(batch): n_docs}
         self.state.removed_batches = []
         self.state.next_batch = batch + 1
         self._write_state()

@@ -119,7 +119,7 @@ def test_metamorphic(spark, index):
     every = {tuple(r) for r in match.all_of(hits, terms).collect()}
     some = {tuple(r) for r in match.any_of(hits).collect()}
     rows = spark.createDataFrame([(1, 0, "machine", 2), (1, 1, "learning", 2)], "phrase_id long, i int, term string, n_terms int")
-    phrase = {(r.phrase_id, r.path) for r in match.phrase_hits(match.occurrences(index.postings), rows).collect()}
+    phrase = {(r.phrase_id, r.path) for r in match.phrase_hits(index.postings.filter("field = 'content'"), rows).collect()}
     assert phrase <= every <= some and phrase
     vocabulary = index.term_stats.filter("field = 'content'")
     prefixed = {r.term for r in match.expand_prefix(vocabulary, "pro").collect()}
@@ -128,11 +128,18 @@ def test_metamorphic(spark, index):
 
 
 def test_phrase_with_a_repeated_word(spark):
-    tokens = spark.createDataFrame(
-        [("d", p, t) for p, t in enumerate("the the cat the the the".split())], "path string, pos int, term string"
+    postings = spark.createDataFrame(
+        [("d", "the", [0, 1, 3, 4, 5]), ("d", "cat", [2]), ("e", "cat", [0, 4]), ("e", "the", [1, 9])], "path string, term string, positions array<int>"
     )
-    phrases = spark.createDataFrame([(1, 0, "the", 2), (1, 1, "the", 2)], "phrase_id long, i int, term string, n_terms int")
-    assert sorted(r.start for r in match.phrase_hits(tokens, phrases).collect()) == [0, 3, 4]
+    phrases = match.phrase_rows(spark, [(1, "the the"), (2, "the cat the"), (3, "cat"), (4, "cat dog"), (5, "the the the")])
+    expected = [(1, "d", 0), (1, "d", 3), (1, "d", 4), (2, "d", 1), (3, "d", 2), (3, "e", 0), (3, "e", 4), (5, "d", 3)]
+    stats = postings.groupBy("term").agg(F.count("*").alias("df"))
+    for known in (None, stats):
+        for small in (True, False):
+            hits = match.phrase_hits(postings, phrases, small, known)
+            assert sorted(map(tuple, hits.collect())) == expected
+    plan = match.phrase_hits(postings, phrases, True, stats)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "LeftSemi" in plan  # the starts alone are exploded
 
 
 def test_wildcards_without_literals(spark):
@@ -143,6 +150,10 @@ def test_wildcards_without_literals(spark):
         ("*", "a"), ("*", "ab"), ("*", "abc"), ("*", "xbc"), ("??", "ab"), ("?b*", "ab"), ("?b*", "abc"), ("?b*", "xbc"),
         ("*c", "abc"), ("*c", "xbc"),
     }
+    grams = match.gram_rows(vocabulary).withColumn("gbucket", match.term_bucket(F.col("gram"), 3))
+    more = patterns.unionByName(spark.createDataFrame([("abc",), ("x*c",), ("*b*",), ("a*",), ("zz*",), ("abc*",)], "pattern string"))
+    stored = {tuple(r) for r in match.expand_stored_wildcards(grams, more, 3).collect()}
+    assert stored == {tuple(r) for r in match.expand_wildcards(vocabulary, more).collect()} and got < stored
 
 
 def test_fuzzy_against_brute_force(spark):
@@ -162,6 +173,10 @@ def test_fuzzy_against_brute_force(spark):
     vocabulary = spark.createDataFrame([(w,) for w in words], "term string")
     got = {tuple(r) for r in match.expand_fuzzy(vocabulary, vocabulary.withColumnRenamed("term", "word"), 0).collect()}
     assert got == {(a, b) for a in words for b in words if near(a, b)}
+    variants = match.variant_rows(vocabulary).withColumn("vbucket", match.term_bucket(F.col("variant"), 3))
+    for prefix in (0, 1, 2):
+        stored = match.expand_stored_fuzzy(variants, vocabulary.withColumnRenamed("term", "word"), 3, prefix)
+        assert {tuple(r) for r in stored.collect()} == {(a, b) for a, b in got if a[:prefix] == b[:prefix]}
 
 
 def test_invert_equals_grouping(spark, index):

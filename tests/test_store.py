@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from termloom import IngestOptions, SearchOptions
+from termloom.operators import match
 from termloom.operators.index import index_of
 from termloom.plans.indexing import index_documents, index_stats, index_table, reindex
 from termloom.plans.search import batch_search, search
@@ -147,20 +148,73 @@ def test_lookup_prunes_buckets(spark, tmp_path, corpora):
     assert "dynamicpruning" in plan.lower() and "CartesianProduct" not in plan and "NestedLoop" not in plan
 
 
-def test_frequent_terms_get_several_tasks(spark, tmp_path, monkeypatch):
-    from termloom.sources import store
-
-    monkeypatch.setattr(store, "HOT_SAMPLE", 50)
+def test_frequent_terms_get_several_tasks(spark, tmp_path):
     rows = [(f"d/{i}.txt", 10, f"common w{i} x{i}") for i in range(400)]
     files = spark.createDataFrame(rows, "path string, size long, text string").withColumn("modified_time", F.current_timestamp())
     root = str(tmp_path / "index")
-    index_table(as_corpus(files, markup=False), root, buckets=4, unique_paths=True)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "1k")
+    try:
+        index_table(as_corpus(files.repartition(8), markup=False), root, buckets=4, unique_paths=True)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     index = IndexStore(spark, root).index()
     rows = index.postings.filter("field = 'content' AND term = 'common'")
     assert rows.count() == 400 and rows.select(F.input_file_name()).distinct().count() > 1
     assert index.term_stats.filter("field = 'content' AND term = 'common'").first().df == 400
 
 
+def test_small_batches_are_folded(spark, tmp_path, monkeypatch):
+    from termloom.sources import store as module
+
+    monkeypatch.setattr(module, "FOLD", 3)
+    root = str(tmp_path / "index")
+    versions = {}
+
+    def put(i, text, day):
+        versions[f"d/{i}.txt"] = (text, day)
+        files = spark.createDataFrame([(f"d/{i}.txt", len(text), text)], "path string, size long, text string")
+        files = files.withColumn("modified_time", F.to_timestamp(F.lit(f"2024-01-{day:02d}")))
+        index_table(as_corpus(files, markup=False).coalesce(1), root, buckets=2)
+
+    for day, i in enumerate([0, 1, 2, 1, 3, 4, 0, 5, 6], 1):
+        put(i, f"common words number{i} day{day}", day)
+    store = IndexStore(spark, root)
+    assert len(store.state.batches) <= 4 and store.state.n_docs == 7
+    rows = [(p, len(t), t, d) for p, (t, d) in versions.items()]
+    files = spark.createDataFrame(rows, "path string, size long, text string, d int")
+    files = files.withColumn("modified_time", F.expr("make_timestamp(2024, 1, d, 0, 0, 0)")).drop("d")
+    expected = as_rows(index_of(as_corpus(files, markup=False)))
+    assert as_rows(store.index()) == expected
+    assert set(found(spark, root, "numbr5")) == {"5.txt"} and set(found(spark, root, "day*")) == {f"{i}.txt" for i in range(7)}
+    store.compact(buckets=5)
+    store = IndexStore(spark, root)
+    assert store.state.buckets == 5 and as_rows(store.index()) == expected and found(spark, root, "n?mber6") == ["6.txt"]
+    store.compact(rebucket=True)
+    assert IndexStore(spark, root).state.buckets == 1 and as_rows(IndexStore(spark, root).index()) == expected
+
+
+def test_texts_are_shuffled_once(spark, tmp_path, corpora):
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=4)
+    plan = store.placed(corpora[0])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Exchange") == plan.count("Exchange hashpartitioning")
+
+
+def test_expansions_read_stored_tables(spark, tmp_path, corpora):
+    root = str(tmp_path / "index")
+    index_table(corpora[0], root, buckets=4, unique_paths=True)
+    index = IndexStore(spark, root).index()
+    vocabulary = index.term_stats.filter("field = 'content'")
+    patterns = spark.createDataFrame([("thtion*",), ("th?t",), ("?n",), ("*ement",), ("*e*",), ("zz*",)], "pattern string")
+    wild = match.expand_stored_wildcards(index.grams, patterns, index.buckets)
+    assert {tuple(r) for r in wild.collect()} == {tuple(r) for r in match.expand_wildcards(vocabulary, patterns).collect()}
+    words = spark.createDataFrame([("taht",), ("thtion",), ("heed",)], "word string")
+    fuzzy = match.expand_stored_fuzzy(index.variants, words, index.buckets, 1)
+    assert {tuple(r) for r in fuzzy.collect()} == {tuple(r) for r in match.expand_fuzzy(vocabulary, words, 1).collect()}
+    plan = fuzzy._jdf.queryExecution().executedPlan().toString()
+    # only the buckets and the row groups of the words' own variants
+    assert "Generate" not in plan and "PartitionFilters: [vbucket" in plan and "PushedFilters: [In(variant" in plan
+
+
 def test_stream(spark, write, tmp_path):
     landing = write({"a.txt": "first apple", "b.md": "# Second\nbanana"}, "landing")
     root, checkpoint = str(tmp_path / "index"), str(tmp_path / "checkpoint")
