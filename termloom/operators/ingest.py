@@ -70,23 +70,23 @@ def ingest_status(
     indexed: DataFrame | None = None,
     ignore_hidden: bool = True,
 ) -> DataFrame:
-    """(path, status, reason, word_count): what becomes of each scanned file.
+    """(path, status, reason, word_count, error): what becomes of each scanned file.
 
-    A file whose content could not be read has a null content and a true ``unreadable``.
+    A file that could not be read says why in ``error``, which its row carries from the read to the report.
     """
     if indexed is not None:
         known = indexed.select("path", F.col("modified_time").alias("indexed_time"))
         files = files.join(known, "path", "left")
     else:
         files = files.withColumn("indexed_time", F.lit(None).cast("timestamp"))
-    unreadable = F.col("unreadable") if "unreadable" in files.columns else F.lit(False)
+    error = F.col("error") if "error" in files.columns else F.lit(None).cast("string")
     reason = (
         F.when(F.col("filename").startswith(".") & F.lit(ignore_hidden), "hidden")
         .when(is_excluded(exclude), "excluded")
         .when(~F.col("extension").isin(*formats), "unsupported")
         .when(F.col("modified_time") <= F.col("indexed_time"), "up_to_date")
         .when(F.col("size") > int(max_file_mb * 1024 * 1024), "too_large")
-        .when(unreadable, "unreadable")
+        .when(error.isNotNull(), "unreadable")
         .when(is_blank(F.col("content")), "empty")
     )
     status = (
@@ -96,7 +96,10 @@ def ingest_status(
     return (
         files.withColumn("reason", reason)
         .withColumn("status", status)
-        .select("path", "status", "reason", word_count.alias("word_count"))
+        .select(
+            "path", "status", "reason", word_count.alias("word_count"),
+            F.when(F.col("status") == "error", error).alias("error"),
+        )
     )
 
 

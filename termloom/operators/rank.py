@@ -54,11 +54,15 @@ def term_score(scorer: str = "bm25"):
     return tf * (F.log(n / (df + 1)) + 1)
 
 
-def score_hits(matched: DataFrame, scorer: str = "bm25") -> DataFrame:
-    """(query_id, path, score): the sum over the matched terms and fields of a document."""
-    return matched.groupBy("query_id", "path").agg(
-        F.round(F.sum(term_score(scorer)), SCORE_DIGITS).alias("score")
-    )
+def score_hits(matched: DataFrame, scorer: str = "bm25", keep_terms: bool = False) -> DataFrame:
+    """(query_id, path, score): the sum over the matched terms and fields of a document.
+
+    ``keep_terms`` adds ``matched``, the set of those terms: bounded by the terms of the query, or by the words of the
+    document where a pattern stands for many.
+    """
+    score = F.round(F.sum(term_score(scorer)), SCORE_DIGITS).alias("score")
+    terms = [F.collect_set("term").alias("matched")] if keep_terms else []
+    return matched.groupBy("query_id", "path").agg(score, *terms)
 
 
 def top_k(scored: DataFrame, k: int = 20) -> DataFrame:

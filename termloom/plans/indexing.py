@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,13 @@ from termloom.sources.store import VERSION, IndexStore
 from termloom.sources.tables import as_corpus
 
 
+#: the error of a file that the file source lists and does not deliver
+UNREADABLE = "could not be read"
+
+
 @dataclass(frozen=True)
 class IngestRun:
-    status: DataFrame  # path, status, reason, word_count
+    status: DataFrame  # path, status, reason, word_count, error
     report: DataFrame  # one row of counts
     duration_seconds: float
     batch: int | None
@@ -65,7 +71,7 @@ def index_documents(
     if mounted:
         todo = wanted_files(listed, options)
         todo = ingest.changed(todo, known) if known is not None else todo
-        read = read_mounted(todo).filter(~F.col("unreadable")).drop("unreadable")
+        read = read_mounted(todo).filter("error IS NULL").drop("error")
     elif known is not None:
         read = scan_changed(spark, path, known, options.recursive)
     else:
@@ -73,28 +79,31 @@ def index_documents(
     gone = None
     if delete_missing and known is not None:
         gone = known.join(listed.select("path"), "path", "left_anti")
-    batch = store.ingest(file_documents(read, options), delete=gone, unique_paths=True)
-    stored = store.batch_documents(batch).select("path", "word_count")
-    # a wanted file that gave no document is blank, or it could not be read
-    wanted = wanted_files(listed, options)
-    wanted = ingest.changed(wanted, known) if known is not None else wanted
-    suspects = wanted.join(stored, "path", "left_anti")
-    if mounted:
-        broken = read_mounted(suspects).filter("unreadable").select("path")
-    else:
-        broken = unreadable_files(spark, path, suspects, options.recursive)
-    status = _status(listed, stored, broken, known, options)
+
+    def errors(suspects: DataFrame) -> DataFrame:
+        if mounted:
+            return read_mounted(suspects).filter("error IS NOT NULL").select("path", "error")
+        return unreadable_files(spark, path, suspects, options.recursive).withColumn("error", F.lit(UNREADABLE))
+
+    outcome = partial(file_status, listed, errors, known, options)
+    batch = store.ingest(file_documents(read, options), delete=gone, unique_paths=True, status=outcome)
+    status = store.status(batch).drop("batch")
     return IngestRun(status, ingest.ingest_report(status), time.monotonic() - started, batch)
 
 
-def _status(
-    listed: DataFrame, stored: DataFrame, broken: DataFrame, before: DataFrame | None, options: IngestOptions
+def file_status(
+    listed: DataFrame,
+    errors: Callable[[DataFrame], DataFrame],
+    before: DataFrame | None,
+    options: IngestOptions,
+    stored: DataFrame,
 ) -> DataFrame:
-    """Every listed file with its outcome."""
+    """Every listed file with its outcome. A wanted file that gave no document is blank, or ``errors`` tells why not."""
+    wanted = wanted_files(listed, options)
+    wanted = ingest.changed(wanted, before) if before is not None else wanted
+    bad = errors(wanted.join(stored, "path", "left_anti"))
     done = stored.select("path", "word_count", F.lit("x").alias("content"))
-    bad = broken.select("path", F.lit(True).alias("unreadable"))
     files = listed.join(done, "path", "left").join(bad, "path", "left")
-    files = files.withColumn("unreadable", F.coalesce("unreadable", F.lit(False)))
     return ingest.ingest_status(files, options.exclude, options.formats, options.max_file_mb, before, options.ignore_hidden)
 
 
@@ -111,10 +120,11 @@ def reindex(
     path: str,
     index_dir: str,
     options: IngestOptions | None = None,
+    mounted: bool = False,
     delete_missing: bool = False,
 ) -> IngestRun:
     """Run indexing on the whole source again; unchanged files are still skipped."""
-    return index_documents(spark, path, index_dir, options, delete_missing=delete_missing)
+    return index_documents(spark, path, index_dir, options, mounted, delete_missing)
 
 
 def index_stats(spark: SparkSession, index_dir: str) -> DataFrame:

@@ -86,6 +86,29 @@ _WORD_OR_MARK = r"'[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]'"
 _GAPS = r"'[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+'"
 _FIELD_VALUE = r"'([\p{L}\p{N}_]+):(\S+)'"
 
+
+def _marks(source: str, p: str = "") -> str:
+    """Common tables that end in ``<p>marked``: rows with terms, content and title -> h_content and h_title."""
+    return f"""{p}pieces AS (
+  SELECT *, regexp_extract_all(content, {_GAPS}) AS ps, regexp_extract_all(title, {_GAPS}) AS ts FROM ({source})),
+{p}found AS (
+  SELECT *, list_position(list_transform(ps, lambda p: list_contains(terms, lower(p))), true) AS hit_at,
+    list_position(list_transform(ts, lambda p: list_contains(terms, lower(p))), true) AS t_at FROM {p}pieces),
+{p}cut AS (
+  SELECT *,
+    CASE WHEN hit_at > 0 THEN substring(content, greatest(1 + length(array_to_string(ps[1:hit_at - 1], '')) - 40, 1), 200) END AS frag,
+    CASE WHEN t_at > 0 THEN substring(title, greatest(1 + length(array_to_string(ts[1:t_at - 1], '')) - 40, 1), 100) END AS t_frag
+  FROM {p}found),
+{p}marked AS (
+  SELECT * EXCLUDE (ps, ts, hit_at, t_at),
+    coalesce(array_to_string(list_transform(regexp_extract_all(frag, {_GAPS}),
+      lambda p: CASE WHEN list_contains(terms, lower(p)) THEN '<b>' || p || '</b>' ELSE p END), ''),
+      CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END) AS h_content,
+    coalesce(array_to_string(list_transform(regexp_extract_all(t_frag, {_GAPS}),
+      lambda p: CASE WHEN list_contains(terms, lower(p)) THEN '<b>' || p || '</b>' ELSE p END), ''), left(title, 100)) AS h_title
+  FROM {p}cut)"""
+
+
 PRELUDE = rf"""
 WITH landing AS (
   SELECT *, regexp_extract(lower(filename), '^.+(\.[^./]+)$', 1) AS extension FROM (
@@ -175,25 +198,7 @@ results AS (
   SELECT r.*, c.* EXCLUDE (path) FROM (SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM ranked WHERE score >= 0.1) r
   JOIN corpus c USING (path)),
 query_words AS (SELECT -1 - query_id AS query_id, list_distinct(terms) AS terms FROM analysed WHERE query_id < 0),
-pieces AS (
-  SELECT r.*, q.terms, regexp_extract_all(content, {_GAPS}) AS ps, regexp_extract_all(title, {_GAPS}) AS ts
-  FROM results r JOIN query_words q USING (query_id)),
-found AS (
-  SELECT *, list_position(list_transform(ps, lambda p: list_contains(terms, lower(p))), true) AS hit_at,
-    list_position(list_transform(ts, lambda p: list_contains(terms, lower(p))), true) AS t_at FROM pieces),
-cut AS (
-  SELECT *,
-    CASE WHEN hit_at > 0 THEN substring(content, greatest(1 + length(array_to_string(ps[1:hit_at - 1], '')) - 40, 1), 200) END AS frag,
-    CASE WHEN t_at > 0 THEN substring(title, greatest(1 + length(array_to_string(ts[1:t_at - 1], '')) - 40, 1), 100) END AS t_frag
-  FROM found),
-marked AS (
-  SELECT * EXCLUDE (ps, ts, hit_at, t_at),
-    coalesce(array_to_string(list_transform(regexp_extract_all(frag, {_GAPS}),
-      lambda p: CASE WHEN list_contains(terms, lower(p)) THEN '<b>' || p || '</b>' ELSE p END), ''),
-      CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END) AS h_content,
-    coalesce(array_to_string(list_transform(regexp_extract_all(t_frag, {_GAPS}),
-      lambda p: CASE WHEN list_contains(terms, lower(p)) THEN '<b>' || p || '</b>' ELSE p END), ''), left(title, 100)) AS h_title
-  FROM cut),
+{_marks("SELECT r.*, q.terms FROM results r JOIN query_words q USING (query_id)")},
 typed AS (
   SELECT * REPLACE (CASE regexp_extract(path, '^src([0-9])', 1) WHEN '0' THEN '.md' WHEN '2' THEN '.md' WHEN '1' THEN '.html'
     WHEN '5' THEN '' ELSE '.txt' END AS extension) FROM results),
@@ -211,13 +216,15 @@ def _ranks(order: str, source: str = "results") -> str:
 
 
 _OUTCOME = f"""
-SELECT path, CASE WHEN reason IS NULL THEN 'indexed' ELSE 'skipped' END AS status, reason,
-  CASE WHEN reason IS NULL THEN word_count END AS word_count FROM (
+SELECT path, CASE WHEN reason IS NULL THEN 'indexed' WHEN reason = 'unreadable' THEN 'error' ELSE 'skipped' END AS status,
+  reason, CASE WHEN reason IS NULL THEN word_count END AS word_count,
+  CASE WHEN reason = 'unreadable' THEN 'No such file or directory' END AS error FROM (
   SELECT path, CASE WHEN starts_with(filename, '.') THEN 'hidden'
     WHEN ends_with(filename, '.log') OR contains(path, '/src5/') THEN 'excluded'
     WHEN extension NOT IN {tuple(DEFAULT_FORMATS)} THEN 'unsupported'
     WHEN modified_time <= indexed_time THEN 'up_to_date'
     WHEN size > 4194 THEN 'too_large'
+    WHEN size % 5 = 0 THEN 'unreadable'
     WHEN NOT regexp_matches(content, '\\S') THEN 'empty' END AS reason,
     len(regexp_extract_all(content, {_WORD_OR_MARK})) AS word_count
   FROM landing LEFT JOIN state USING (path))
@@ -263,7 +270,7 @@ _PHRASE_SQL = " UNION ALL ".join(
     for pid, text in PHRASES
 )
 
-_MIXED = f"""
+_MIXED_SCORED = f"""
 , mixed AS (SELECT * FROM analysed WHERE query_id >= 0 AND query_id < 1000000000000 AND NOT blank
     AND (len(terms) > 0 OR len(phrases) > 0 OR len(names) > 0)),
 all_fields AS (SELECT unnest(['title', 'content', 'filename', 'tags']) AS field),
@@ -301,6 +308,8 @@ mixed_scored AS (
   SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM
     (SELECT * FROM mixed_hits WHERE query_id % 6 <> 2 UNION ALL SELECT * FROM mixed_hits SEMI JOIN allowed USING (query_id, path)) JOIN postings USING (path, field, term)
   JOIN dfs USING (field, term) JOIN fs USING (field) JOIN lens USING (path, field) GROUP BY ALL)
+"""
+_MIXED = _MIXED_SCORED + """
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, path,
   round(score, 6) AS score FROM mixed_scored WHERE score >= 0.1 QUALIFY rank <= 20
 """
@@ -442,6 +451,13 @@ _STEMMED_POSTINGS = """, stemmed AS (
   SELECT path, field, CASE WHEN field IN ('title', 'content') THEN stem ELSE term END AS term, count(*) AS tf,
     list(pos ORDER BY pos) AS positions FROM tok JOIN stems USING (term) GROUP BY ALL)"""
 
+_STEMMED_SCORED = _stems("SELECT term FROM dfs UNION SELECT unnest(terms) FROM analysed WHERE query_id < 0") + _STEMMED_POSTINGS + f"""
+      , s_dfs AS (SELECT field, term, count(*) AS df FROM stemmed GROUP BY ALL),
+      s_terms AS (SELECT DISTINCT query_id, field, CASE WHEN field IN ('title', 'content') THEN stem ELSE term END AS term
+        FROM batch_terms JOIN stems USING (term)),
+      s_scored AS (SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM s_terms JOIN stemmed USING (field, term)
+        JOIN s_dfs USING (field, term) JOIN fs USING (field) JOIN lens USING (path, field) GROUP BY ALL)"""
+
 ORACLES: dict[str, str] = {
     "hidden_file_filter": "SELECT path FROM landing WHERE NOT starts_with(filename, '.')",
     "exclude_globs": "SELECT path FROM landing WHERE NOT ends_with(filename, '.log') AND NOT contains(path, '/src5/')",
@@ -543,6 +559,23 @@ ORACLES: dict[str, str] = {
     "sort_by_unknown_key": "SELECT query_id, rank, path FROM results",
     "highlights": "SELECT query_id, rank, path, h_content AS content, h_title AS title, left(h_content, 200) AS "
     "content_snippet FROM marked",
+    "highlights_expanded": _MIXED_SCORED + """
+      , x_top AS (SELECT query_id, path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank
+        FROM mixed_scored WHERE query_id % 6 IN (1, 3) AND score >= 0.1 QUALIFY rank <= 20),
+      x_terms AS (SELECT query_id, path, list(DISTINCT term) AS terms FROM mixed_hits GROUP BY ALL), """
+    + _marks("SELECT x_top.*, content, title, terms FROM x_top JOIN x_terms USING (query_id, path) JOIN corpus USING (path)", "x_")
+    + " SELECT query_id, rank, path, h_content AS content, h_title AS title, left(h_content, 200) AS content_snippet FROM x_marked",
+    "highlights_stemmed": _STEMMED_SCORED + """
+      , x_top AS (SELECT query_id, path, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank
+        FROM s_scored WHERE score >= 0.1 QUALIFY rank <= 20),
+      x_matched AS (SELECT DISTINCT query_id, path, term AS m FROM x_top JOIN stemmed USING (path) JOIN s_terms USING (query_id, field, term)),
+      x_words AS (SELECT DISTINCT query_id, path, term AS w, stem FROM x_top JOIN tok USING (path) JOIN stems USING (term)
+        WHERE field IN ('content', 'title')),
+      x_terms AS (SELECT query_id, path, list(DISTINCT w) AS terms FROM x_words JOIN x_matched USING (query_id, path)
+        WHERE m = w OR m = stem GROUP BY ALL), """
+    + _marks("SELECT x_top.*, content, title, coalesce(terms, []) AS terms FROM x_top LEFT JOIN x_terms USING (query_id, path) "
+             "JOIN corpus USING (path)", "x_")
+    + " SELECT query_id, rank, path, h_content AS content, h_title AS title, left(h_content, 200) AS content_snippet FROM x_marked",
     "plain_snippets": "SELECT path, CASE WHEN length(content) > 200 THEN left(content, 200) || '...' ELSE content END "
     "AS snippet, left(title, 100) AS title FROM corpus",
     "result_records": """SELECT query_id, rank, round(score, 6) AS score, path, filename, title, extension, size, word_count,
@@ -582,13 +615,7 @@ ORACLES: dict[str, str] = {
       SELECT query_id, coalesce(array_to_string(found, '|'), '') AS terms,
         CASE WHEN found IS NOT NULL THEN array_to_string(found, ' ') ELSE regexp_replace(residual, {STRIP}) END AS processed
       FROM analysed LEFT JOIN joined USING (query_id) WHERE query_id >= 0""",
-    "batch_search_stemmed": _stems("SELECT term FROM dfs UNION SELECT unnest(terms) FROM analysed WHERE query_id < 0")
-    + _STEMMED_POSTINGS + f"""
-      , s_dfs AS (SELECT field, term, count(*) AS df FROM stemmed GROUP BY ALL),
-      s_terms AS (SELECT DISTINCT query_id, field, CASE WHEN field IN ('title', 'content') THEN stem ELSE term END AS term
-        FROM batch_terms JOIN stems USING (term)),
-      s_scored AS (SELECT query_id, path, round(sum({_BM25}), 9) AS score FROM s_terms JOIN stemmed USING (field, term)
-        JOIN s_dfs USING (field, term) JOIN fs USING (field) JOIN lens USING (path, field) GROUP BY ALL)
+    "batch_search_stemmed": _STEMMED_SCORED + """
       SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, path,
         round(score, 6) AS score FROM s_scored WHERE score >= 0.1 QUALIFY rank <= 20""",
     "log_retention": """SELECT event_id AS query_id, event_type AS query,

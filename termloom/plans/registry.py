@@ -242,7 +242,10 @@ def index_statistics(spark, folder):
 
 
 def _status(spark, folder):
-    files = landing_files(spark, folder).withColumn("word_count", document.word_count(F.col("content")))
+    """Every fifth size is that of a file that is gone when it is read."""
+    files = landing_files(spark, folder).withColumn("error", F.when(F.col("size") % 5 == 0, "No such file or directory"))
+    files = files.withColumn("content", F.when(F.col("error").isNull(), F.col("content")))
+    files = files.withColumn("word_count", document.word_count(F.col("content")))
     return ingest.ingest_status(files, EXCLUDES, DEFAULT_FORMATS, SIZE_CAP_MB, index_state(files))
 
 
@@ -616,10 +619,27 @@ def sort_by_unknown_key(spark, folder):
 
 @query
 def highlights(spark, folder):
-    rows = _results(spark, folder)
+    return _highlights(_results(spark, folder))
+
+
+def _highlights(rows: DataFrame) -> DataFrame:
     return rows.select("query_id", "rank", "path", "highlights.content", "highlights.title", "content_snippet")
 
 
+@query
+def highlights_expanded(spark, folder):
+    """What wildcards and misspelt words have found, marked."""
+    kinds = mixed_queries(spark, folder).filter("query_id % 6 IN (1, 3)")
+    return _highlights(search.batch_search(index_of(documents_corpus(spark, folder)), kinds))
+
+
+@query
+def highlights_stemmed(spark, folder):
+    options = SearchOptions(fuzzy=False, max_query_length=MAX_QUERY)
+    index = index_of(documents_corpus(spark, folder), stem=True)
+    return _highlights(search.batch_search(index, batch_queries(spark, folder), options))
+
+
 @query
 def plain_snippets(spark, folder):
     corpus = documents_corpus(spark, folder)

@@ -200,29 +200,35 @@ def _plain(rows: DataFrame, options: SearchOptions) -> DataFrame:
     return rows.select("query_id", F.lit("content").alias("field"), "term")
 
 
-def _word_regex(valid: DataFrame, options: SearchOptions) -> DataFrame:
-    """(query_id, regex): what a snippet marks. Bounded by the length of a query."""
-    patterns = querytext.patterns(F.col("query"), **_limits(options))
-    phrase_words = F.flatten(F.transform("phrases", words))
-    filter_words = F.flatten(F.transform(F.map_values("filters"), words))
-    found = (
-        F.when(F.col("search_type") == "phrase", phrase_words)
-        .when(F.col("search_type") == "wildcard", patterns)
-        .otherwise(F.col("terms"))
-    )
-    return valid.select("query_id", term_regex(F.array_distinct(F.concat(found, filter_words))).alias("regex"))
+def _matched_words(results: DataFrame, stem: bool) -> DataFrame:
+    """``matched`` as the words to be marked: with stems, those of the result's own words that have one of the stems."""
+    if not stem:
+        return results
+    held = results.select("query_id", "path", "matched", F.explode(F.array_distinct(F.concat(
+        words(F.coalesce("content", F.lit(""))), words(F.coalesce("title", F.lit("")))))).alias("term"))
+    stems = stem_vocabulary(held)
+    hit = F.array_contains("matched", F.col("stem")) | F.array_contains("matched", F.col("term"))
+    marked = held.join(stems, "term").filter(hit).groupBy(*match.HIT).agg(F.collect_set("term").alias("marked"))
+    empty = F.array().cast("array<string>")
+    return results.join(marked, match.HIT, "left").withColumn("matched", F.coalesce("marked", empty)).drop("marked")
 
 
-def with_snippets(results: DataFrame, regexes: DataFrame, length: int = 200, small: bool | None = None) -> DataFrame:
-    """Add ``highlights`` and ``content_snippet``; a field without a hit shows its beginning."""
-    joined = results.join(sized(regexes, small), "query_id", "left")
-    regex = F.coalesce("regex", F.lit(""))
+def with_snippets(results: DataFrame, length: int = 200, stem: bool = False) -> DataFrame:
+    """Turn ``matched`` into ``highlights`` and ``content_snippet``; a field without a hit shows its beginning.
+
+    What is marked is what matched: the words that a wildcard, a misspelt word or a stem has led to.
+    """
+    found = _matched_words(results, stem)
+    # a tag with other characters than those of words can't be a word of the text
+    regex = term_regex(F.array_sort(F.filter("matched", lambda t: t.rlike(r"^[\p{L}\p{N}_]+$"))))
+    joined = found.withColumn("regex", regex)
+    regex = F.col("regex")
     content = F.coalesce(highlight(F.col("content"), regex, length), plain_snippet(F.col("content"), length))
     title = F.coalesce(highlight(F.col("title"), regex, 100), plain_title(F.col("title")))
     return (
         joined.withColumn("highlights", F.struct(content.alias("content"), title.alias("title")))
         .withColumn("content_snippet", F.left(F.col("highlights.content"), F.lit(length)))
-        .drop("regex")
+        .drop("regex", "matched")
     )
 
 
@@ -286,7 +292,7 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
         scored_terms = rank.weigh_terms(rows, every, index.field_stats, small, index.buckets)
         hits = _find(index, scored_terms, small)
         matched.append(hits.join(found, match.HIT, "left_semi"))
-    scored = rank.score_hits(match.union_all([m.select(*columns) for m in matched]), options.scorer)
+    scored = rank.score_hits(match.union_all([m.select(*columns) for m in matched]), options.scorer, options.highlight)
 
     if ruled is not None:
         by_rule = ruled.select("query_id", F.lit(True).alias("ruled"))
@@ -295,7 +301,7 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
             scored.join(sized(by_rule, small), "query_id", "left")
             .join(allowed, match.HIT, "left")
             .filter("ruled IS NULL OR allowed")
-            .select("query_id", "path", "score")
+            .drop("ruled", "allowed")
         )
 
     attributes = dict(
@@ -314,7 +320,7 @@ def batch_search(index: Index, queries: DataFrame, options: SearchOptions | None
         results = rank.filter_attributes(results, **attributes)
     results = rank.sort_results(results, options.sort_by, options.descending)
     if options.highlight:
-        results = with_snippets(results, _word_regex(valid, options), options.snippet_length, small)
+        results = with_snippets(results, options.snippet_length, options.stem)
     else:
         results = results.withColumn("highlights", F.struct(F.lit("").alias("content"), F.lit("").alias("title")))
         results = results.withColumn("content_snippet", F.lit(""))

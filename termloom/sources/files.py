@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from datetime import datetime, timezone
 from itertools import islice
@@ -16,11 +17,14 @@ from pyspark.sql import functions as F
 from termloom.functions import document
 from termloom.operators.ingest import changed
 from termloom.operators.sizing import is_small
+from termloom.sources.scratch import shared_folder
 
 #: up to this many changed files are named to the reader one by one
 LISTED_FILES = 10_000
+#: folders that a task lists where there are more folders than cores
+FOLDERS_OF_A_TASK = 100
 
-_FILE_SCHEMA = "path string, size long, modified_time timestamp, raw binary, unreadable boolean"
+_FILE_SCHEMA = "path string, size long, modified_time timestamp, raw binary, error string"
 
 
 def with_names(files: DataFrame) -> DataFrame:
@@ -77,65 +81,73 @@ def unreadable_files(spark: SparkSession, path: str, suspects: DataFrame, recurs
     return suspects.join(readable, "path", "left_anti")
 
 
-def _entries(folder: str) -> list[os.DirEntry]:
-    with os.scandir(folder) as entries:
-        return sorted(entries, key=lambda e: e.name)
+_LISTED = "path string, size long, modified_time timestamp, folder boolean"
 
 
-def _list_folder(folder: str, recursive: bool) -> Iterator[tuple[str, int, datetime]]:
-    for entry in _entries(folder):
-        if entry.is_file():
-            stat = entry.stat()
-            yield entry.path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc)
-        elif recursive and entry.is_dir(follow_symlinks=False):
-            yield from _list_folder(entry.path, recursive)
+def _entries(folders: Iterator[pd.DataFrame], recursive: bool) -> Iterator[pd.DataFrame]:
+    """What lies in each folder itself: files with their sizes and times, and folders to go on with."""
+    for batch in folders:
+        for folder in batch["path"]:
+            with os.scandir(folder) as entries:
+                while part := list(islice(entries, 10_000)):  # a folder of any size passes in parts
+                    rows = []
+                    for entry in part:
+                        if entry.is_file():
+                            stat = entry.stat()
+                            rows.append((entry.path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc), False))
+                        elif recursive and entry.is_dir(follow_symlinks=False):
+                            rows.append((entry.path, 0, None, True))
+                    yield pd.DataFrame(rows, columns=["path", "size", "modified_time", "folder"])
 
 
-def list_mounted(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, size, modified_time) of a folder every executor has mounted, with all names.
+def _files(paths: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in paths:
+        rows = []
+        for path in batch["path"]:
+            stat = os.stat(path)
+            rows.append((path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc), False))
+        yield pd.DataFrame(rows, columns=["path", "size", "modified_time", "folder"])
 
-    The driver names the folders right below the root; tasks list what lies below these.
+
+def list_mounted(spark: SparkSession, root: str, recursive: bool = True, scratch: str | None = None) -> DataFrame:
+    """(path, size, modified_time, filename, extension) of a folder every executor has mounted, with all names.
+
+    Folders are listed level by level: the folders of a level are spread over all tasks, whatever folder they lie in,
+    so no task walks a tree. Each level is stored in ``scratch``, a folder that all executors share (that of
+    ``spark.checkpoint.dir`` if none is given), and no folder is listed twice, however often the result is used.
     """
     root = os.path.abspath(root)
     if not os.path.exists(root):
         raise FileNotFoundError(root)
+    here = f"{scratch or shared_folder(spark)}/listing-{uuid.uuid4().hex}"
+    start = spark.createDataFrame([(root,)], "path string")
     if os.path.isfile(root):
-        starts = [(root, False, False)]
+        start.mapInPandas(_files, _LISTED).write.parquet(f"{here}/level=0")
     else:
-        below = [e.path for e in _entries(root) if recursive and e.is_dir(follow_symlinks=False)]
-        starts = [(root, True, False)] + [(folder, True, True) for folder in below]
-
-    def listing(batches):
-        for batch in batches:
-            for path, is_folder, deep in batch.itertuples(index=False):
-                if is_folder:
-                    rows = _list_folder(path, deep)
-                else:
-                    stat = os.stat(path)
-                    rows = iter([(path, stat.st_size, datetime.fromtimestamp(stat.st_mtime, timezone.utc))])
-                while part := list(islice(rows, 10_000)):  # a folder of any size passes in parts
-                    yield pd.DataFrame(part, columns=["path", "size", "modified_time"])
-
-    folders = spark.createDataFrame(starts, "path string, is_folder boolean, deep boolean")
-    return with_names(
-        folders.repartition(len(starts)).mapInPandas(listing, "path string, size long, modified_time timestamp")
-    )
+        cores, level, found = spark.sparkContext.defaultParallelism, 0, 1
+        frontier = start
+        while found:
+            spread = frontier.repartition(min(found, max(cores, found // FOLDERS_OF_A_TASK)))
+            spread.mapInPandas(lambda batches: _entries(batches, recursive), _LISTED).write.parquet(f"{here}/level={level}")
+            frontier = spark.read.schema(_LISTED).parquet(f"{here}/level={level}").filter("folder").select("path")
+            found, level = frontier.count(), level + 1
+    listed = spark.read.schema(_LISTED + ", level int").parquet(here).filter("NOT folder")
+    return with_names(listed.select("path", "size", "modified_time"))
 
 
 def read_mounted(listed: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Listed files with their bytes, one file in memory at a time; a failure marks its row only."""
+    """Listed files with their bytes, one file in memory at a time; a failure is the ``error`` of its row only."""
 
     def reading(batches):
         for batch in batches:
             for path, size, modified in batch[["path", "size", "modified_time"]].itertuples(index=False):
                 try:
                     with open(path, "rb") as file:
-                        raw, unreadable = file.read(), False
-                except OSError:
-                    raw, unreadable = None, True
+                        raw, error = file.read(), None
+                except OSError as failure:
+                    raw, error = None, failure.strerror or type(failure).__name__
                 yield pd.DataFrame(
-                    [(path, size, modified, raw, unreadable)],
-                    columns=["path", "size", "modified_time", "raw", "unreadable"],
+                    [(path, size, modified, raw, error)], columns=["path", "size", "modified_time", "raw", "error"]
                 )
 
     cores = listed.sparkSession.sparkContext.defaultParallelism

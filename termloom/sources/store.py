@@ -7,6 +7,7 @@
     <root>/grams/batch=N/gbucket=K/       three characters of a content term and the term, sorted
     <root>/variants/batch=N/vbucket=K/    a content term without a character and the term, sorted
     <root>/removed/batch=N/               (path, old_batch) that the batch replaces or deletes
+    <root>/status/batch=N/                what became of each file that the batch has seen
 
 A batch costs what it adds: a replaced document is hidden by an anti join with ``removed``, and the statistics are
 sums of changes. Batches of about one size are folded into a larger one when there are ``FOLD`` of them, so a
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -44,6 +46,7 @@ SCHEMAS = {
     "grams": "gram string, term string, batch int, gbucket int",
     "variants": "variant string, first string, length int, term string, batch int, vbucket int",
     "removed": "path string, old_batch int, batch int",
+    "status": "path string, status string, reason string, word_count bigint, error string, batch int",
 }
 
 #: tasks that write one bucket
@@ -61,6 +64,8 @@ class State:
     batches: list[int] = field(default_factory=list)
     #: the batches that replace or delete documents of earlier ones
     removed_batches: list[int] = field(default_factory=list)
+    #: the batches that have told what became of their files
+    status_batches: list[int] = field(default_factory=list)
     #: last committed epoch of each ingest stream
     epochs: dict[str, int] = field(default_factory=dict)
     next_batch: int = 0
@@ -152,6 +157,10 @@ class IndexStore:
         """(path, modified_time, batch): a narrow read of the corpus."""
         return self.corpus().select("path", "modified_time", "batch")
 
+    def status(self, batch: int | None = None) -> DataFrame:
+        """(path, status, reason, word_count, error, batch) of one batch or of all that told it."""
+        return self._read("status", self.state.status_batches if batch is None else [batch])
+
     def term_changes(self) -> DataFrame:
         return self._read("term_stats", self.state.batches).select("tbucket", "field", "term", "df", "cf")
 
@@ -257,9 +266,12 @@ class IndexStore:
         epoch: tuple[str, int] | None = None,
         delete: DataFrame | None = None,
         unique_paths: bool = False,
+        status: Callable[[DataFrame], DataFrame] | None = None,
     ) -> int | None:
         """Insert or replace whole documents by path, and delete the paths of ``delete``.
 
+        ``status`` takes the stored (path, word_count) to rows of the status table, which are committed with the batch.
+
         The newest of several documents with one path wins; ``unique_paths`` says there are none
         and saves the shuffle that finds it. ``epoch`` is the name and the epoch of a stream: None is
         returned when it was committed before, else the batch number.
@@ -269,6 +281,9 @@ class IndexStore:
         batch = self.state.next_batch
         corpus = self._write_corpus(documents, batch, unique_paths)
         n_docs = corpus.count()  # from the parquet footers
+        if status is not None:
+            status(corpus.select("path", "word_count")).write.mode("overwrite").parquet(self._path("status", batch))
+            self.state.status_batches.append(batch)
         postings = self._write_postings(self._postings(corpus), batch)
         terms = analysis.term_stats(postings)
         n_removed = 0

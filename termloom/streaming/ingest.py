@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from termloom.options import IngestOptions
-from termloom.plans.indexing import file_documents
+from termloom.plans.indexing import UNREADABLE, file_documents, file_status
 from termloom.sources.files import with_names
 from termloom.sources.store import IndexStore
 
@@ -26,8 +28,9 @@ def ingest_stream(
     """Index what lands in a folder, then stop: run it again for the next files.
 
     The file source remembers the files it has seen. Each micro-batch is one index batch: documents
-    are replaced by path, the newest of a batch wins. The epoch is committed with the batch, so a
-    repeated epoch changes nothing. There is no state, so there is no watermark either.
+    are replaced by path, the newest of a batch wins. The epoch is committed with the batch and with what became of
+    its files (``IndexStore.status``), so a repeated epoch changes nothing. There is no state, so there is no
+    watermark either.
     """
     options = options or IngestOptions()
     reader = (
@@ -48,7 +51,14 @@ def ingest_stream(
 
     def store_batch(batch: DataFrame, epoch: int) -> None:
         store = IndexStore(batch.sparkSession, index_dir, buckets=options.buckets, stem=options.stem)
-        store.ingest(file_documents(with_names(batch), options), epoch=(checkpoint, epoch))
+        files = with_names(batch)
+
+        def errors(suspects: DataFrame) -> DataFrame:
+            read = batch.filter(F.octet_length("raw") >= 0).select("path")
+            return suspects.select("path").join(read, "path", "left_anti").withColumn("error", F.lit(UNREADABLE))
+
+        outcome = partial(file_status, files.drop("raw"), errors, None, options)
+        store.ingest(file_documents(files, options), epoch=(checkpoint, epoch), status=outcome)
 
     return (
         files.writeStream.foreachBatch(store_batch)

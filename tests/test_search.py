@@ -105,6 +105,15 @@ def test_snippets(index):
     assert "<b>statistics</b>" in row.content_snippet and row.highlights.title == "Data science"
 
 
+def test_marks_are_what_matched(spark, index):
+    marks = lambda index, text, **o: " ".join(r.highlights.content for r in search(index, text, SearchOptions(**o)).collect())
+    assert "<b>Python</b>" in marks(index, "pyhton") and "<b>programming</b>" in marks(index, "prog*ing")
+    assert "<b>machines</b>" in marks(index, "mach?nes") and "<b>Machine</b>" not in marks(index, "mach?nes")
+    stemmed = marks(index_of(index.corpus, stem=True), "mixing machine")
+    assert "<b>mixes</b>" in stemmed and "<b>machines</b>" in stemmed and "<b>Machine</b>" in stemmed
+    assert "<b>Machine</b> <b>learning</b>" in marks(index, '"machine learning"')
+
+
 def test_stemming_finds_other_forms(spark, index):
     stemmed = index_of(index.corpus, stem=True)
     assert set(paths(stemmed, "machines mixing", stem=True, fuzzy=False)) == {"a/ml_intro.txt", "b/data_science.txt"}

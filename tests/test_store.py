@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from termloom import IngestOptions, SearchOptions
 from termloom.operators import match
 from termloom.operators.index import index_of
-from termloom.plans.indexing import index_documents, index_stats, index_table, reindex
+from termloom.plans.indexing import file_documents, file_status, index_documents, index_stats, index_table, reindex
 from termloom.plans.search import batch_search, search
-from termloom.sources.files import list_mounted, read_mounted, scan_files
+from termloom.sources.files import list_mounted, read_mounted, scan_files, with_names
 from termloom.sources.store import IndexStore
 from termloom.sources.tables import as_corpus, documents_as_files
 from termloom.streaming.ingest import ingest_stream
@@ -79,7 +79,12 @@ def test_mounted_lists_all_names(spark, write, tmp_path):
     }
     listed = list_mounted(spark, docs)
     gone = listed.withColumn("path", F.when(F.col("filename") == "a.txt", "/nowhere").otherwise(F.col("path")))
-    assert {(r.path == "/nowhere", r.unreadable) for r in read_mounted(gone).collect()} == {(True, True), (False, False)}
+    assert {(r.path == "/nowhere", r.error) for r in read_mounted(gone).collect()} == {(True, "No such file or directory"), (False, None)}
+    # a tree of several levels, each folder listed once
+    write({f"d{i}/e{j}/f/g{k}.txt": f"deep words {i}{j}{k}" for i in range(3) for j in range(3) for k in range(2)})
+    assert list_mounted(spark, docs).count() == 5 + 18 and list_mounted(spark, docs, recursive=False).count() == 4
+    run = reindex(spark, docs, str(tmp_path / "index"), OPTIONS, mounted=True)
+    assert run.report.first().indexed_files == 18 and set(found(spark, str(tmp_path / "index"), "deep")) == {"g0.txt", "g1.txt"}
 
 
 def test_incremental_run(spark, write, tmp_path):
@@ -228,6 +233,23 @@ def test_stream(spark, write, tmp_path):
     store = IndexStore(spark, root)
     assert store.state.n_docs == 4 and store.state.epochs == {checkpoint: 2}
     assert store.ingest(store.corpus().drop("batch", "pbucket"), epoch=(checkpoint, 2)) is None  # a repeated epoch
+    rows = [(r.path.rsplit("/", 1)[1], r.status, r.reason, r.batch) for r in store.status().collect()]
+    assert {(*r[:3],) for r in rows} >= {("a.txt", "indexed", None), ("c.txt", "indexed", None)}
+    # an epoch that ended before it was committed runs again: its files are told once
+    store.state.epochs[checkpoint] -= 1
+    write({"e.txt": "fifth fig", "f.bin": "no", "g.txt": "  \n"}, "landing")
+    files = with_names(scan_files(spark, landing).filter("path RLIKE '[efg][.]'").drop("filename", "extension"))
+    outcome = lambda stored: file_status(files.drop("raw"), lambda s: s.select("path", F.lit("x").alias("error")).limit(0), None, OPTIONS, stored)
+    for _ in range(2):
+        again = IndexStore(spark, root)
+        write_state, again._write_state = again._write_state, lambda: (_ for _ in ()).throw(RuntimeError("lost"))
+        with pytest.raises(RuntimeError):
+            again.ingest(file_documents(files, OPTIONS), epoch=(checkpoint, 3), status=outcome)
+    again = IndexStore(spark, root)
+    assert again.ingest(file_documents(files, OPTIONS), epoch=(checkpoint, 3), status=outcome) is not None
+    told = sorted((r.path.rsplit("/", 1)[1], r.status, r.reason) for r in again.status().collect() if r.path[-5] in "efg")
+    assert told == [("e.txt", "indexed", None), ("f.bin", "skipped", "unsupported"), ("g.txt", "skipped", "empty")]
+    assert IndexStore(spark, root).ingest(file_documents(files, OPTIONS), epoch=(checkpoint, 3), status=outcome) is None
 
 
 def test_odd_names_and_vanished_files(spark, write, tmp_path, monkeypatch):
