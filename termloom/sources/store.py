@@ -228,7 +228,7 @@ class IndexStore:
         key = F.col(order[0])
         placed = rows.withColumn(bucket, match.term_bucket(key, self.state.buckets)).withColumn("_slot", self._slot(key))
         (
-            placed.hint("rebalance", F.col(bucket), F.col("_slot"))
+            placed.hint("rebalance", 2 * TASKS_PER_BUCKET * self.state.buckets, F.col(bucket), F.col("_slot"))
             .drop("_slot")
             .sortWithinPartitions(bucket, *order)
             .write.mode("overwrite")
