@@ -2,7 +2,8 @@
 
 A k-mer is ``K`` bytes of the UTF-8 text, numbered by how often it stood before. The hashes of all numbered
 k-mers fall into ``BINS`` bins; the ``TUPLE`` smallest of each bin are taken in the order of the text, and their
-k-mers hashed to one entry. So an entry is kept only where the same k-mers are chosen and stand in the same
+k-mers hashed to one entry. A bin with one k-mer, as in short texts, takes the smallest of the next bin that has any
+as well, so that every entry tells an order. So an entry is kept only where the same k-mers are chosen and stand in the same
 order, which makes the likeness fall with the edit distance and not with the shared content alone. Bins split
 one hash instead of hashing every k-mer again for each entry.
 """
@@ -14,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.words import mix
@@ -64,6 +65,10 @@ def fingerprint(text: str) -> np.ndarray:
     for j in range(TUPLE):
         has = counts[full] > j
         chosen[has, j] = some[begin[full[has]] + j]
+    if len(full) > 1:
+        # the next bin with a k-mer, the first one after the last
+        short = np.flatnonzero(counts[full] < TUPLE)
+        chosen[short, 1] = some[begin[full[(short + 1) % len(full)]]]
     chosen.sort(axis=1)
     total = np.full(len(full), _FACTORS[0])
     for j in range(TUPLE):
@@ -118,6 +123,21 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=names)
 
 
+# cuts above an id, by halving the sorted cuts
+_ABOVE = """aggregate(sequence(0, {steps}), named_struct('low', 0, 'high', {n}), (s, i) -> if(s.low >= s.high, s,
+    if(element_at({cuts}, cast((s.low + s.high) div 2 + 1 AS int)) > doc_id,
+        named_struct('low', s.low, 'high', cast((s.low + s.high) div 2 AS int)),
+        named_struct('low', cast((s.low + s.high) div 2 + 1 AS int), 'high', s.high))), s -> {n} - s.low)"""
+
+
+def _part(cuts: list[int], nameless: int) -> Column:
+    """The number of cuts above an id: the highest ids are part 0. Rows without one are the last parts, by their hash."""
+    array = f"array({', '.join(f'{c}L' for c in cuts)})"
+    above = F.expr(_ABOVE.format(steps=len(cuts).bit_length(), n=len(cuts), cuts=array)) if cuts else F.lit(0)
+    by_hash = F.shiftright((F.shiftright("hash", 32) + (1 << 31)) * nameless, 32)
+    return F.when(F.col("doc_id").isNull(), len(cuts) + 1 + by_hash).otherwise(above).cast("int").alias("part")
+
+
 def edited_fingerprints(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of the text edited with the next document's, ids descending.
 
@@ -125,47 +145,40 @@ def edited_fingerprints(documents: DataFrame, text: str = "text", doc_id: str =
     After the last document comes the first. Null texts are empty ones; null ids come last; equal ids are ordered
     by a hash of the text; repeated rows follow each other. Other columns are ignored; no documents give no rows.
 
-    Documents go to parts by ranges of their ids, and the first of each part to the part before it as well, so
-    each part has all it needs. A part is sorted and read through, with two texts at a time in memory.
+    Documents go to parts by ranges of their ids, those without one by ranges of the hash, and the first of each part
+    to the part before it as well, so each part has all it needs. A part is sorted and read through, an Arrow batch of
+    texts at a time.
     """
     spark = documents.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     content = F.coalesce(F.col(text), F.lit(""))
     ids = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(content).alias("hash"))
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts).alias("cuts")).first()["cuts"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    # the number of cuts above an id: the highest ids are part 0; rows without an id are the last part
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(
-        F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c > F.col("doc_id")))
-    )
+    shares = [i / parts for i in range(1, parts)] or [0.5]
+    found = ids.agg(
+        F.percentile_approx("doc_id", shares, 10 * parts).alias("cuts"), F.count("*").alias("n"), F.count("doc_id").alias("named")
+    ).first()
+    cuts = sorted(set(found["cuts"] or [])) if parts > 1 else []
+    nameless = max(1, -(-(found["n"] - found["named"]) * parts // max(found["n"], 1)))
+    part = _part(cuts, nameless)
     # ids descending as longs ascending
     down = F.coalesce(F.bitwise_not("doc_id"), F.lit(0)).alias("down")
     firsts = (
-        ids.select(part.cast("int").alias("part"), down, "hash")
-        .groupBy("part").agg(F.min(F.struct("down", "hash")).alias("first")).orderBy("part").collect()
-    )
-    before = {row["part"]: firsts[k - 1]["part"] for k, row in enumerate(firsts)}
-    leads = F.lit(None).cast("int")
-    for row in firsts:
-        leads = F.when(
-            (F.col("part") == row["part"]) & (F.col("down") == row["first"]["down"]) & (F.col("hash") == row["first"]["hash"]),
-            F.lit(before[row["part"]]),
-        ).otherwise(leads)
+        ids.select(part, down, "hash").groupBy("part").agg(F.min(F.struct("down", "hash")).alias("first")).orderBy("part").collect()
+    )  # a short row for each part
+    leads = spark.createDataFrame(
+        [(row["part"], row["first"]["down"], row["first"]["hash"], firsts[k - 1]["part"]) for k, row in enumerate(firsts)],
+        "part int, down long, hash long, leads int",
+    )
     rows = documents.select(
         F.col(doc_id).cast("long").alias("doc_id"), content.alias("text"), F.xxhash64(content).alias("hash")
-    ).select("doc_id", "text", "hash", part.cast("int").alias("part"), down)
-    sent = rows.withColumn("leads", leads).withColumn(
-        "to",
-        F.explode(
-            F.filter(
-                F.array(F.struct(F.col("part"), F.lit(False).alias("ahead")), F.struct(F.col("leads").alias("part"), F.lit(True).alias("ahead"))),
-                lambda t: t["part"].isNotNull(),
-            )
-        ),
+    ).select("doc_id", "text", "hash", part, down)
+    to = F.array(F.struct(F.col("part"), F.lit(False).alias("ahead")), F.struct(F.col("leads").alias("part"), F.lit(True).alias("ahead")))
+    sent = rows.join(F.broadcast(leads), ["part", "down", "hash"], "left").withColumn(
+        "to", F.explode(F.filter(to, lambda t: t["part"].isNotNull()))
     )
     return (
         sent.select("doc_id", "text", "hash", "down", F.col("to.part").alias("part"), F.col("to.ahead").alias("ahead"))
-        .repartitionById(len(cuts) + 2, F.col("part"))
+        .repartitionById(len(cuts) + 1 + nameless, F.col("part"))
         .sortWithinPartitions("ahead", "down", "hash")
         .select("doc_id", "text", "ahead")
         .mapInArrow(_neighbours, _SCHEMA)

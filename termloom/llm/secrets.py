@@ -3,7 +3,8 @@
 Some matches are secrets by themselves (``assign``, ``access``, ``hex``). Others are weak: a login, a long
 mixed token, an endpoint. A weak part counts only when complementary parts lie in its scope, at most
 ``SCOPE`` characters away or overlapping it (a URL holds its parameters): an identifier needs a secret, a secret
-needs an identifier, an endpoint needs both. A passcode ends where ``&name=`` begins another parameter.
+needs an identifier, an endpoint needs both. An endpoint that has both links them, however far they are from each
+other: a login before it and a token behind it count as well. A passcode ends where ``&name=`` begins another parameter.
 
 Positions are code points. They come from the lengths of the matches and of the gaps between them, added up
 over the matches of a text. Everything is a DataFrame operation.
@@ -116,10 +117,13 @@ def secrets(documents: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     weak_id, weak_secret = spans.filter("kind = 'login'"), spans.filter(F.col("kind").isin("passcode", "mixed"))
     endpoints = spans.filter("kind = 'endpoint'")
     strong = spans.filter(F.col("kind").isin(*BASE))
+    # an endpoint counts by what lies beside it, whether that counts or not, so one step over endpoints is enough
+    hubs = stored(_beside(_beside(endpoints, identifiers), secret), "hubs")
     linked = (
         strong.union(_beside(weak_id, secret))
         .union(_beside(weak_secret, identifiers))
-        .union(_beside(_beside(endpoints, identifiers), secret))
+        .union(hubs)
+        .union(_beside(weak_id.union(weak_secret), hubs))
     )
     rank = F.array_position(F.lit(list(KINDS)), F.col("kind"))
     by_row = linked.groupBy("row").agg(

@@ -131,3 +131,58 @@ def variants(words):
         while form[row[2]]:
             row[2] = form[row[2]]
     return [tuple(row) for row in out]
+
+
+def weak_spans(text, patterns, scope):
+    """All spans of a text by comparing all parts with each other; ``patterns`` are those of the weak kinds."""
+    text = text or ""
+    spans = {tuple(x.split(":")) for x in base_spans(text)}
+    strong = {(k, int(a), int(b)) for k, a, b in spans}
+    weak = {(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text, re.A)}
+    mixed = lambda t: re.search("[a-z]", t) and re.search("[A-Z]", t) and re.search("[0-9]", t)
+    weak = {s for s in weak if s[0] != "mixed" or mixed(text[s[1] : s[2]])}
+    of = lambda *kinds: [s for s in strong | weak if s[0] in kinds]
+    near = lambda s, others: any(o[1] <= s[2] + scope and o[2] >= s[1] - scope for o in others)
+    ids, secret = of("access", "login"), of("assign", "hex", "passcode", "mixed")
+    hubs = [s for s in of("endpoint") if near(s, ids) and near(s, secret)]
+    found = strong | set(hubs)
+    found |= {s for s in of("login") if near(s, secret) or near(s, hubs)}
+    found |= {s for s in of("passcode", "mixed") if near(s, ids) or near(s, hubs)}
+    return found
+
+
+def order_minhash(text, k, bins, tuple_size, mix, factors):
+    """Entries of the fingerprint from all k-mers of a text, one at a time."""
+    import numpy as np
+
+    raw = (text or "").encode()
+    if not raw:
+        return [0] * bins
+    raw = raw.ljust(k, b"\0")
+    one = lambda x: int(mix(np.array([x & (1 << 64) - 1], np.uint64))[0])
+    seen, held = Counter(), defaultdict(list)
+    for at in range(len(raw) - k + 1):
+        value = one(int.from_bytes(raw[at : at + k], "little"))
+        numbered = value
+        if raw[at : at + k] in repeated_kmers(raw, k):
+            numbered = one(value + seen[value] * int(factors[0]))
+        seen[value] += 1
+        held[numbered * bins >> 64].append((numbered, at, value))
+    out, full = [0] * bins, sorted(held)
+    for n, b in enumerate(full):
+        best = sorted(held[b])[:tuple_size]
+        if len(best) < tuple_size and len(full) > 1:
+            best.append(min(held[full[(n + 1) % len(full)]]))
+        total = int(factors[0])
+        for j, (_, _, value) in enumerate(sorted(best, key=lambda x: x[1])):
+            total += value * int(factors[j + 1])
+        out[b] = max(one(total) & 0xFFFF, 1)
+    return out
+
+
+def repeated_kmers(raw, k, cache={}):  # noqa: B006
+    if (raw, k) not in cache:
+        cache.clear()
+        counts = Counter(raw[i : i + k] for i in range(len(raw) - k + 1))
+        cache[raw, k] = {x for x, n in counts.items() if n > 1}
+    return cache[raw, k]
