@@ -142,12 +142,11 @@ all_words AS (
   SELECT item_id, list_filter(string_split_regex(lower(text), '[^\p{{L}}]+'), lambda x: x <> '') AS w FROM benchmark),
 six AS (
   SELECT item_id * 100000 + start AS id, w[start + 1:start + 6] AS w FROM (
-    SELECT item_id, w, unnest(list_distinct(list_append(range(0, len(w) - 5, 6), len(w) - 6))) AS start
-    FROM all_words WHERE len(w) >= 6)),
+    SELECT item_id, w, unnest(range(0, greatest(len(w) - 5, 1))) AS start FROM all_words WHERE len(w) > 0)),
 mixed_q AS (
   SELECT id * 6 + unnest(range(6)) AS query_id, unnest([
     concat('"', w[1], ' ', w[2], '" filename:', w[3]), concat(w[2], '* ', w[3]),
-    concat(w[1], ' AND ', w[2], ' title:', w[4], ' title:', w[5]), w[4],
+    concat(w[1], ' AND ', w[2], ' title:', w[4], ' title:', w[5]), coalesce(w[4], ''),
     concat(' ', w[3], '  of ', w[5], ' ', w[6], '! '), concat(' ', chr(10), ' ')]) AS query
   FROM six),
 any_q AS (
@@ -283,15 +282,17 @@ phrase_pairs AS (SELECT query_id, string_split(unnest(phrases), ' ') AS ws FROM
 phrase_docs AS (
   SELECT DISTINCT query_id, t0.path FROM phrase_pairs JOIN tok t0 ON t0.term = ws[1] AND t0.field = 'content'
   JOIN tok t1 ON t1.path = t0.path AND t1.field = 'content' AND t1.pos = t0.pos + 1 AND t1.term = ws[2]),
+misspelt AS (SELECT query_id, unnest(terms) AS a FROM mixed WHERE search_type = 'fuzzy'),
+near_words AS (SELECT a, b FROM (SELECT DISTINCT a, left(a, 1) AS first FROM misspelt) JOIN
+    (SELECT b, left(b, 1) AS first FROM content_terms) USING (first) WHERE {_ONE_EDIT}),
+wild_words AS (SELECT p, b FROM (SELECT DISTINCT p FROM wild), content_terms WHERE b GLOB p),
 plain_terms AS (
   SELECT query_id, field, term FROM
     (SELECT query_id, unnest(terms) AS term FROM mixed WHERE search_type NOT IN ('phrase', 'wildcard')), all_fields
   UNION SELECT query_id, name, unnest(regexp_extract_all(lower(val), {W})) FROM filters JOIN mixed USING (query_id)
     WHERE name IN ('title', 'content', 'filename')
-  UNION SELECT query_id, 'content', b FROM wild, content_terms
-    WHERE b GLOB p
-  UNION SELECT query_id, 'content', b FROM (SELECT query_id, unnest(terms) AS a FROM mixed WHERE search_type = 'fuzzy'),
-    content_terms WHERE left(a, 1) = left(b, 1) AND {_ONE_EDIT}),
+  UNION SELECT query_id, 'content', b FROM wild JOIN wild_words USING (p)
+  UNION SELECT query_id, 'content', b FROM misspelt JOIN near_words USING (a)),
 phrase_terms AS (SELECT DISTINCT query_id, 'content' AS field, unnest(ws) AS term FROM phrase_pairs),
 mixed_hits AS (
   SELECT query_id, path, field, term FROM plain_terms JOIN postings USING (field, term)
@@ -311,7 +312,7 @@ mixed_scored AS (
 """
 _MIXED = _MIXED_SCORED + """
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path) AS INTEGER) AS rank, path,
-  round(score, 6) AS score FROM mixed_scored WHERE score >= 0.1 QUALIFY rank <= 20
+  round(score + 5e-10, 6) AS score FROM mixed_scored WHERE score >= 0.1 QUALIFY rank <= 20
 """
 
 _BOOLEAN = f"""
