@@ -480,6 +480,7 @@ ORACLES: dict[str, str] = {
     "extractor_routing": f"""SELECT path, sha256(CASE WHEN extension = '.html' THEN {_html('content')}
       WHEN extension = '.md' THEN {_markdown('content')} ELSE content END) AS content_hash FROM landing""",
     "text_decoding": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
+    "text_decoding_utf16": "SELECT doc_id, sha256(text) AS content_hash FROM documents",
     "html_text": f"SELECT page_id, {_html('html')} AS content FROM pages",
     "markdown_text": _markdown_page(),
     "corpus_scan": """SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events',
@@ -590,6 +591,8 @@ ORACLES: dict[str, str] = {
     "flagship_search": """SELECT CAST(query_id AS BIGINT) AS query_id, rank, round(score, 6) AS score, path, title, word_count
       FROM bm_top JOIN corpus USING (path) WHERE query_id = 1""",
     "batch_search": "SELECT query_id, rank, path, round(score, 6) AS score FROM results",
+    "stored_search": "SELECT query_id, rank, path, round(score, 6) AS score FROM results",
+    "stored_wildcards": f"{_PATTERN_PAIRS} UNION ALL SELECT word, term FROM ({_fuzzy(_MISSPELT)})",
     "batch_search_tfidf": f"""SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, path)
       AS INTEGER) AS rank, path, round(score, 6) AS score FROM
       (SELECT query_id, path, round(sum({_TFIDF}), 9) AS score FROM batch_hits GROUP BY ALL)
@@ -673,8 +676,9 @@ ORACLES: dict[str, str] = {
         coalesce(to_json(rs), '[]'), '}}') AS response FROM batch_q LEFT JOIN lists USING (query_id)""",
     "file_sizes": f"""SELECT path, {_size('(size % 900)')} AS bytes, {_size('size')} AS size, {_size('(size * 3001)')} AS large,
       {_size('(size * 5000011111)')} AS huge FROM landing""",
-    "date_displays": """SELECT event_id, CASE event_type WHEN 'error' THEN 'Unknown' WHEN 'click' THEN 'soon'
-      ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown FROM events""",
+    "date_displays": """SELECT event_id, CASE event_id % 9 WHEN 2 THEN strftime(ts, '%Y') WHEN 3 THEN strftime(ts, '%Y-%m-%d 00:00')
+      WHEN 5 THEN strftime(ts, '%H:%M:%S') WHEN 7 THEN 'Unknown' WHEN 8 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown
+      FROM events""",
     "html_escaping": f"SELECT page_id, {_escape('html')} AS escaped FROM pages",
     "content_previews": """SELECT path, CASE WHEN size > 20000 THEN 'File too large to preview'
       ELSE concat('```', chr(10), array_to_string(ls[1:least(n, 10)], chr(10)),

@@ -7,6 +7,7 @@ texts and scores are rounded, so that results can be compared across engines.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +23,8 @@ from termloom.options import SEARCH_FIELDS, SearchOptions
 from termloom.plans import search
 from termloom.sources import tables
 from termloom.sources.files import scan_files
+from termloom.sources.scratch import shared_folder
+from termloom.sources.store import IndexStore
 
 #: query terms of the matching and scoring queries
 TERMS = {1: ["that", "thtion", "queeux"], 2: ["the", "tionand"], 3: ["für", "ich"]}
@@ -286,6 +289,14 @@ def text_decoding(spark, folder):
     )
 
 
+@query
+def text_decoding_utf16(spark, folder):
+    raw = F.encode("text", "UTF-16")
+    return table(spark, folder, "documents").select(
+        "doc_id", document.content_hash(extract.decode_text(raw, "UTF-16")).alias("content_hash")
+    )
+
+
 @query
 def html_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", extract.html_to_text(F.col("html")).alias("content"))
@@ -687,6 +698,33 @@ def batch_search(spark, folder):
     return _results(spark, folder, highlight=False).select("query_id", "rank", "path", shown_score())
 
 
+@query
+def stored_search(spark, folder):
+    """batch_search on an index that is stored in two batches; the second puts right what the first has of every third document."""
+    store = IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=8)
+    documents = table(spark, folder, "documents")
+    wrong = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Other words\n"), "text")).otherwise(F.col("text"))
+    first = tables.as_corpus(tables.documents_as_files(documents.withColumn("text", wrong)), markup=False)
+    store.ingest(first, unique_paths=True)
+    store.ingest(tables.as_corpus(tables.documents_as_files(documents.filter("doc_id % 3 = 0")), markup=False))
+    options = SearchOptions(fuzzy=False, max_query_length=MAX_QUERY, highlight=False)
+    rows = search.batch_search(store.index(), batch_queries(spark, folder), options)
+    return rows.select("query_id", "rank", "path", shown_score())
+
+
+@query
+def stored_wildcards(spark, folder):
+    """wildcard_expansion and fuzzy_expansion over the stored tables of an index."""
+    store = IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", buckets=8)
+    store.ingest(documents_corpus(spark, folder), unique_paths=True)
+    index = store.index()
+    patterns = spark.createDataFrame([(p,) for p in PATTERNS], "pattern string")
+    words = spark.createDataFrame([(w,) for w in MISSPELT], "word string")
+    wild = match.expand_stored_wildcards(index.grams, patterns, index.buckets)
+    fuzzy = match.expand_stored_fuzzy(index.variants, words, index.buckets, 0)
+    return wild.unionByName(fuzzy.select(F.col("word").alias("pattern"), "term"))
+
+
 @query
 def batch_search_tfidf(spark, folder):
     rows = _results(spark, folder, highlight=False, scorer="tfidf")
@@ -867,10 +905,15 @@ def file_sizes(spark, folder):
 
 @query
 def date_displays(spark, folder):
+    """Times as texts of several kinds: with and without parts and offsets, and texts that are no times."""
     events = table(spark, folder, "events")
-    stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
-    raw = F.when(F.col("event_type") == "error", F.lit("")).when(F.col("event_type") == "click", "soon").otherwise(stamp)
-    return events.select("event_id", text.date_display(raw).alias("shown"))
+    stamp = lambda form: F.date_format("ts", form)
+    kinds = F.array(
+        stamp("yyyy-MM-dd'T'HH:mm:ss"), F.concat(stamp("yyyy-MM-dd'T'HH:mm:ss"), F.lit("+02:00")), stamp("yyyy"),
+        stamp("yyyy-MM-dd"), F.concat(stamp("yyyy-MM-dd HH:mm:ss"), F.lit(".250Z")), stamp("HH:mm:ss"),
+        stamp("yyyy-MM-dd'T'HH:mm"), F.lit(""), F.lit("soon"),
+    )
+    return events.select("event_id", text.date_display(F.get(kinds, (F.col("event_id") % 9).cast("int"))).alias("shown"))
 
 
 @query
