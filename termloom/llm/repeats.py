@@ -33,7 +33,9 @@ ANCHOR = 64
 #: Starts of windows in a cell.
 CELL = 42
 #: Starts that are worked on at once in a long text.
-PIECE = 1_000_000
+PIECE = 1 << 18
+#: Rows that a task holds before it hands them on.
+HELD = 100_000
 
 _U = np.uint64
 _PLACES = _U((1 << 20) - 1)
@@ -94,17 +96,30 @@ def _column(parts: list[np.ndarray], kind=np.int64) -> pa.Array:
 
 
 def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [_anchors(data)[1] for _, _, data in _pieces(batch.column("text"))]
+    def counted(found: list[np.ndarray]) -> pa.RecordBatch:
         values, counts = np.unique(np.concatenate([*found, np.zeros(0, _U)]), return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["anchor", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["anchor", "n"])
+
+    for batch in batches:
+        found, held = [], 0
+        for _, _, data in _pieces(batch.column("text")):
+            found.append(_anchors(data)[1])
+            held += len(found[-1])
+            if held > HELD:
+                yield counted(found)
+                found, held = [], 0
+        yield counted(found)
 
 
 def _cells(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch]:
     """(row, core, whole, first, last) of the cells of anchors in the filter; first and last are starts in the text."""
+    def columns(out: list[list[np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_column(c) for c in out], names=["row", "core", "whole", "first", "last"])
+
     for batch in batches:
         rows = batch.column("row").to_numpy()
         out: list[list[np.ndarray]] = [[], [], [], [], []]
+        held = 0
         for row, at, data in _pieces(batch.column("text")):
             prefix, anchors, place, first, last = _anchors(data)
             some = np.flatnonzero(in_filter(wanted.value, anchors))
@@ -123,20 +138,34 @@ def _cells(batches: Iterator[pa.RecordBatch], wanted) -> Iterator[pa.RecordBatch
             whole = prefix(s, e + LENGTH) + shape * _C[2] + q.astype(_U) * _C[1]
             for part, values in zip(out, (np.full(len(of), rows[row]), mix(core).view(np.int64), mix(whole).view(np.int64), at + s, at + e), strict=True):
                 part.append(values)
-        yield pa.RecordBatch.from_arrays([_column(c) for c in out], names=["row", "core", "whole", "first", "last"])
+            held += len(of)
+            if held > HELD:
+                yield columns(out)
+                out, held = [[], [], [], [], []], 0
+        yield columns(out)
+
+
+def _ranges(lists: pa.ListArray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of the structs in one list, as numbers: there may be one for each byte of a text."""
+    begin, end = lists.offsets[k].as_py(), lists.offsets[k + 1].as_py()
+    if not lists[k].is_valid:
+        end = begin
+    part = lists.values.slice(begin, end - begin)
+    return part.field("first").to_numpy(), part.field("last").to_numpy()
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with cells -> (row, start, window) for every window of the cells."""
     for batch in batches:
         rows, texts = batch.column("row").to_pylist(), batch.column("text")
-        for k, cells in enumerate(batch.column("cells").to_pylist()):
+        for k in range(len(rows)):
             out: list[list[np.ndarray]] = [[], [], []]
+            firsts, lasts = _ranges(batch.column("cells"), k)
             for _, at, data in _pieces(texts.slice(k, 1)):
                 prefix = _Prefix(data)
-                for cell in cells:
-                    if at <= cell["first"] and cell["last"] + LENGTH <= at + len(data):
-                        starts = np.arange(cell["first"], cell["last"] + 1)
+                for first, last in zip(firsts.tolist(), lasts.tolist(), strict=True):
+                    if at <= first and last + LENGTH <= at + len(data):
+                        starts = np.arange(first, last + 1)
                         for part, values in zip(out, (np.full(len(starts), rows[k]), starts, prefix(starts - at, starts - at + LENGTH).view(np.int64)), strict=True):
                             part.append(values)
             yield pa.RecordBatch.from_arrays([_column(c) for c in out], names=["row", "start", "window"])
@@ -152,15 +181,15 @@ def _picked(batches: Iterator[pa.RecordBatch], wanted, inside: bool) -> Iterator
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, spans) -> the removed bytes and the text that remains."""
     for batch in batches:
-        ids, texts, spans = batch.column("doc_id"), batch.column("text"), batch.column("spans").to_pylist()
+        ids, texts, spans = batch.column("doc_id"), batch.column("text"), batch.column("spans")
         for first, last, data, offsets in slices(texts):
             rows = []
             for k in range(last - first):
                 raw = data[offsets[k] : offsets[k + 1]]
                 edges = np.zeros(len(raw) + 1, np.int32)
-                for span in spans[first + k] or []:
-                    edges[span["first"]] += 1
-                    edges[span["last"] + LENGTH] -= 1
+                firsts, lasts = _ranges(spans, first + k)
+                np.add.at(edges, firsts, 1)
+                np.add.at(edges, lasts + LENGTH, -1)
                 gone = np.cumsum(edges[:-1]) > 0
                 kept = raw[~gone].tobytes()
                 runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
