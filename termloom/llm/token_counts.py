@@ -7,6 +7,7 @@ counts appended to the cache, where the next call finds them.
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 from functools import partial
 from pathlib import Path
@@ -32,6 +33,8 @@ def _load(path: str):
     """The tokenizer of a file, once in a worker: .json for tokenizers, .model for sentencepiece."""
     if path not in _LOADED:
         if path.endswith(".json"):
+            # Spark has a task for each core; threads of the library's own would only wait for these
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_file(path)
