@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import partial
+from itertools import chain, pairwise
 from pathlib import Path
 
 import numpy as np
@@ -29,8 +30,8 @@ PIECES = regex.compile(
 )
 #: Pieces of more bytes than this have a tree of their own.
 SHORT = 64
-#: Pieces that a worker remembers; it forgets them all when there are more.
-REMEMBERED = 100_000
+#: Bytes of pieces that a worker remembers; it forgets them all when there are more.
+REMEMBERED = 4 << 20
 _NONE = 1 << 62
 _PLACES = (1 << 32) - 1
 
@@ -66,7 +67,12 @@ class ByteBpe:
         self.of_pair = dict(zip(keys.tolist(), range(len(keys)), strict=True))
         names = sorted(self.special, key=len, reverse=True)
         self.split = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
-        self.known: dict[str, np.ndarray] = {t: np.array([n], np.uint32) for t, n in self.special.items()}
+        # the bytes of all tokens in one array
+        size = max(self.bytes, default=-1) + 1
+        self.token_bytes = np.frombuffer(b"".join(self.bytes.get(i, b"") for i in range(size)), np.uint8)
+        self.token_sizes = np.array([len(self.bytes.get(i, b"")) for i in range(size)], np.int64)
+        self.token_starts = np.cumsum(self.token_sizes) - self.token_sizes
+        self.forget()
 
     def pieces(self, text: str) -> list[str]:
         """The pieces of a text; special tokens are pieces of their own."""
@@ -83,8 +89,8 @@ class ByteBpe:
         out[hit] = self.ranks[at[hit]]
         return out
 
-    def _merge_short(self, rows: list[bytes]) -> list[np.ndarray]:
-        """Merge pieces of at most ``SHORT`` bytes, all at once."""
+    def _merge_short(self, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Merge pieces of at most ``SHORT`` bytes, all at once: the ids of all in one array, and how many each has."""
         n, width = len(rows), 1
         while width < max(map(len, rows)):
             width *= 2
@@ -122,8 +128,7 @@ class ByteBpe:
             rank = self._rank(tokens[r, a], tokens[r, left[some]])
             self._leaf(tree, width, r, a, np.where(rank == _NONE, _NONE, rank << 32 | a))
             row = row[tree[row, root] < _NONE]
-        flat = tokens[:, :width][alive].astype(np.uint32)
-        return np.split(flat, np.cumsum(alive.sum(axis=1))[:-1])
+        return tokens[:, :width][alive].astype(np.uint32), alive.sum(axis=1)
 
     @staticmethod
     def _leaf(tree: np.ndarray, width: int, row: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
@@ -176,37 +181,62 @@ class ByteBpe:
         return np.array(out, np.uint32)
 
     def forget(self) -> None:
-        """Drop all merged pieces."""
-        self.known = {t: np.array([n], np.uint32) for t, n in self.special.items()}
+        """Drop all merged pieces but the special tokens."""
+        #: Place of each known piece in ``sizes`` and ``starts``; its ids are a stretch of ``ids``.
+        self.known = {t: i for i, t in enumerate(self.special)}
+        self.ids = np.array([*self.special.values()], np.uint32)
+        self.sizes = np.ones(len(self.special), np.int64)
+        self.starts = np.arange(len(self.special))
+        self.held = 0
 
     def _learn(self, pieces: set[str]) -> None:
         """Merge pieces that aren't known yet."""
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.forget()
+        names, ids, sizes = [], [self.ids], [self.sizes]
         short: dict[int, list[tuple[str, bytes]]] = {}
         for piece in pieces:
             raw = piece.encode("utf-8")
+            self.held += len(raw)
             if len(raw) > SHORT:
-                self.known[piece] = self._merge_long(raw)
+                names.append(piece)
+                ids.append(self._merge_long(raw))
+                sizes.append(np.array([len(ids[-1])]))
             else:
                 short.setdefault((len(raw) - 1).bit_length(), []).append((piece, raw))
         for group in short.values():
-            for (piece, _), ids in zip(group, self._merge_short([raw for _, raw in group]), strict=True):
-                self.known[piece] = ids
+            merged, counts = self._merge_short([raw for _, raw in group])
+            names += [piece for piece, _ in group]
+            ids.append(merged)
+            sizes.append(counts)
+        self.known.update(zip(names, range(len(self.known), len(self.known) + len(names)), strict=True))
+        self.ids, self.sizes = np.concatenate(ids), np.concatenate(sizes)
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
         cut = [self.pieces(t) for t in texts]
         everything = set().union(*cut)
+        if self.held > REMEMBERED:
+            self.forget()
         if new := everything - self.known.keys():
-            self._learn(new if len(self.known) + len(new) <= REMEMBERED else everything - self.special.keys())
-        known = self.known
-        none = np.zeros(0, np.uint32)
-        return [np.concatenate([known[p] for p in pieces]) if pieces else none for pieces in cut]
+            self._learn(new)
+        counts = np.array([len(c) for c in cut], np.int64)
+        at = np.fromiter(map(self.known.__getitem__, chain.from_iterable(cut)), np.int64, int(counts.sum()))
+        ids, ends = _stretches(self.ids, self.starts[at], self.sizes[at])
+        return np.split(ids, ends[np.cumsum(counts)])[:-1]
+
+    def decode(self, texts: list[np.ndarray]) -> list[str]:
+        """The texts of token ids, special tokens too; bytes that are no UTF-8 become replacement characters."""
+        ids = np.concatenate([*texts, np.zeros(0, np.uint32)])
+        data, ends = _stretches(self.token_bytes, self.token_starts[ids], self.token_sizes[ids])
+        raw = data.tobytes()
+        borders = ends[np.cumsum([0, *map(len, texts)])].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in pairwise(borders)]
+
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of token ids, special tokens too; bytes that are no UTF-8 become replacement characters."""
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+def _stretches(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Stretches of an array one after another, and where each begins there (one entry more)."""
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    return values[np.repeat(starts - ends[:-1], sizes) + np.arange(ends[-1])], ends
 
 
 _LOADED: dict[str, ByteBpe] = {}
@@ -232,7 +262,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
                     *(part.column(c) for c in rest),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary()),
-                    pa.array([bpe.decode(x) for x in ids], pa.string()),
+                    pa.array(bpe.decode(ids), pa.string()),
                 ],
                 names=[*rest, "n_tokens", "ids", "decoded"],
             )
