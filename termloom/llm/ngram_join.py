@@ -8,16 +8,18 @@ columns also form ``BLOCKS`` blocks: two rows can't share more of a block than t
 in it, so the sum of these bounds the overlap, and most pairs that meet by chance are dropped without
 their sets. The whole overlap of the others is counted, and pairs below the bound are dropped.
 
-A column with more than ``WIDE`` rows isn't multiplied out. Its rows are first tried against a few pivots;
-components of these links are found, and only rows of the column that lie in different components are tried
-against each other afterwards. No link between components is lost, and copies of one text by the thousand
-give one row each, not all pairs.
+A column with more than ``WIDE`` rows isn't multiplied out. Its rows are first tried against a few pivots, the
+rows with the smallest hashes of each range of sizes, so that columns of the same rows agree on them. Components
+of these links are found. Of columns that hold several components, rows of different components are tried against
+each other, range by range. No link between components is lost, and copies of one text by the thousand meet a
+few of them each, not all.
 
 Keys of columns and classes are 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import partial
@@ -28,14 +30,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import components
-from termloom.llm.scratch import bit_filter, in_filter, stored
+from termloom.llm.scratch import bit_filter, dropped, in_filter, stored
 from termloom.llm.words import hashed_words, mix, shingles, slices
 
 #: A column is frequent, and comes last in the order, from so many entries on.
 FREQUENT = 64
 #: Columns with more rows than this are tried against pivots first.
-WIDE = 128
-PIVOTS = 4
+WIDE = 32
+#: Pivots of each range of sizes in a wide column.
+PIVOTS = 2
 #: Blocks of columns whose sizes bound the overlap of two rows.
 BLOCKS = 256
 #: N-grams that a task holds before it counts and drops them.
@@ -143,6 +146,11 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         yield rest
 
 
+def _range_width(similarity: float) -> float:
+    """Width of a range of sizes on the scale of logarithms: rows that can link lie in one range or in neighbours."""
+    return max(-math.log(similarity), 0.05) * (1 + 1e-6)
+
+
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("gram", pa.int64()), ("key", pa.int64()), ("n", pa.int64())])
 
 
@@ -172,11 +180,19 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
         for at, n in zip(first[counts > WIDE], counts[counts > WIDE], strict=True):
             k, s = keys[at : at + n], sizes[at : at + n]
             wide.append((grams[at : at + n], k, s))
-            for place in range(PIVOTS):
-                pivot = (2 * place + 1) * n // (2 * PIVOTS)
-                near = (np.minimum(s, s[pivot]) >= similarity * np.maximum(s, s[pivot]) - 1e-6) & (k != k[pivot])
-                a.append(k[near])
-                b.append(np.full(int(near.sum()), k[pivot]))
+            order = mix(k.view(_U))
+            ranges = np.floor(np.log(s) / _range_width(similarity)).astype(np.int64)
+            begin = np.flatnonzero(np.diff(ranges, prepend=-1))
+            end = np.append(begin[1:], n)
+            for i, (low, high) in enumerate(zip(begin, end, strict=True)):
+                # pivots meet the rows of their own range and of the one above
+                above = i + 1 < len(begin) and ranges[high] == ranges[low] + 1
+                top = end[i + 1] if above else high
+                for pivot in low + np.argsort(order[low:high], kind="stable")[:PIVOTS]:
+                    near = (np.minimum(s[low:top], s[pivot]) >= similarity * np.maximum(s[low:top], s[pivot]) - 1e-6)
+                    near = low + np.flatnonzero(near & (k[low:top] != k[pivot]))
+                    a.append(k[near])
+                    b.append(np.full(len(near), k[pivot]))
         yield _pair_rows(a, b)
         if wide:
             columns = [np.concatenate(c) for c in zip(*wide, strict=True)]
@@ -185,19 +201,25 @@ def _meet(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.R
 
 
 def _meet_across(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, key, n, label, blocks) of wide columns -> pairs of different labels whose blocks leave room."""
-    for grams, keys, sizes, labels, blocks in _runs(batches):
-        first = np.flatnonzero(np.diff(grams, prepend=grams[0] - 1))
-        for at, n in zip(first, np.diff(first, append=len(grams)), strict=True):
-            k, s, l = keys[at : at + n], sizes[at : at + n], labels[at : at + n]
+    """Rows (cell, key, n, label, home, blocks) of wide columns -> pairs of different labels whose blocks leave room.
+
+    A cell is a range of sizes of a column: rows at home there, and those of the range below as guests.
+    """
+    for cells, keys, sizes, labels, homes, blocks in _runs(batches):
+        first = np.flatnonzero(np.diff(cells, prepend=cells[0] - 1))
+        for at, n in zip(first, np.diff(first, append=len(cells)), strict=True):
+            k, s, l, home = (c[at : at + n] for c in (keys, sizes, labels, homes))
+            values, often = np.unique(l, return_counts=True)
+            if len(values) == 1:
+                continue
             counts = np.frombuffer(b"".join(blocks[at : at + n]), np.uint8).reshape(-1, BLOCKS)
             # 255 stands for that many or more, and bounds nothing
             open_ended = (counts == 255).any(axis=1)
-            values, often = np.unique(l, return_counts=True)
             a, b = [], []
             # every pair of different labels holds a row that is not of the commonest label
             for i in np.flatnonzero(l != values[often.argmax()]):
-                near = np.flatnonzero((l != l[i]) & (np.minimum(s, s[i]) >= similarity * np.maximum(s, s[i]) - 1e-6))
+                near = (l != l[i]) & (np.minimum(s, s[i]) >= similarity * np.maximum(s, s[i]) - 1e-6)
+                near = np.flatnonzero(near if home[i] else near & home)
                 most = np.minimum(counts[near], counts[i]).sum(axis=1, dtype=np.int64)
                 room = most * (1 + similarity) >= similarity * (s[near] + s[i]) - 1e-6
                 near = near[room | open_ended[near] | open_ended[i]]
@@ -265,7 +287,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, width: int
         .join(sets.toDF("b", "grams_b"), "b")
         .select("a", "b", "grams_a", "grams_b")
     )
-    return stored(both.mapInArrow(partial(_linked, similarity=similarity), "a long, b long"), "links")
+    links = stored(both.mapInArrow(partial(_linked, similarity=similarity), "a long, b long"), "links")
+    dropped(pairs)
+    return links
 
 
 def _row(text: str, doc_id: str) -> Column:
@@ -278,8 +302,8 @@ def ngram_join(
     """Self-join of documents by the Jaccard similarity of their n-gram sets.
 
     Returns ``members`` (doc_id, row, n, key): one row for each document with a hash of its id and text, the size
-    of its set and the key of its class, and ``links`` (a, b) between classes: enough of the links to give all components, and every
-    link of classes that meet in a column with at most ``WIDE`` rows.
+    of its set and the key of its class, and ``links`` (a, b) between classes: spanning links, which give all
+    components, and every link of classes that meet in a column with at most ``WIDE`` rows.
 
     A null or empty text, or one without words, has an empty set, class 0, and links with nothing. A text
     with fewer than ``width`` words is one n-gram. Repeated rows are members of one class; other columns are
@@ -312,15 +336,24 @@ def ngram_join(
     links = _verified(met.filter("a IS NOT NULL").select("a", "b"), classes, texts, width, bound)
     wide = met.filter("gram IS NOT NULL").select("gram", "key", "n").distinct()
     if not wide.isEmpty():
-        labels = components(links)
+        labels = components(links).withColumnRenamed("node", "key")
+        labelled = wide.join(labels, "key", "left").select("gram", "key", "n", F.coalesce("label", "key").alias("label"))
+        labelled = stored(labelled, "wide")
+        dropped(met)
+        several = labelled.groupBy("gram").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+        place = F.floor(F.log("n") / F.lit(_range_width(float(bound))))
         across = (
-            wide.join(labels.withColumnRenamed("node", "key"), "key", "left")
+            labelled.join(several.filter("low <> high").select("gram"), "gram", "left_semi")
             .join(classes.select("key", "blocks"), "key")
-            .select("gram", "key", "n", F.coalesce("label", "key").alias("label"), "blocks")
-            .repartition("gram")
-            .sortWithinPartitions("gram", "n", "key")
+            .withColumn("home", F.explode(F.array(F.lit(True), F.lit(False))))
+            .select(
+                F.xxhash64("gram", place + F.when(F.col("home"), 0).otherwise(1)).alias("cell"),
+                "key", "n", "label", "home", "blocks",
+            )
+            .repartition("cell")
+            .sortWithinPartitions("cell", "n", "key")
             .mapInArrow(partial(_meet_across, similarity=float(bound)), "a long, b long, gram long, key long, n long")
-        )
+        )
         links = links.union(_verified(across.select("a", "b"), classes, texts, width, bound))
     return members, links
 
