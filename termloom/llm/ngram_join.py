@@ -42,7 +42,7 @@ PIVOTS = 2
 #: Blocks of columns whose sizes bound the overlap of two rows.
 BLOCKS = 256
 #: N-grams that a task holds before it counts and drops them.
-HELD = 4_000_000
+HELD = 2_000_000
 
 _U = np.uint64
 
@@ -75,12 +75,12 @@ def _survey(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Record
         grams = np.concatenate([*held, np.zeros(0, _U)])
         held.clear()
         grams.sort()
-        first = np.flatnonzero(np.append(True, grams[1:] != grams[:-1])[: len(grams)])
-        counts = np.diff(first, append=len(grams))
-        keep = counts > 1
-        empty = pa.nulls(int(keep.sum()), pa.int64())
+        same = grams[1:] == grams[:-1]
+        # most n-grams occur once, and are left out before anything else of their number is made
+        grams, counts = np.unique(grams[np.append(same, False)[: len(grams)]], return_counts=True)
+        empty = pa.nulls(len(grams), pa.int64())
         return pa.RecordBatch.from_arrays(
-            [empty, empty, empty, empty, pa.nulls(len(empty), pa.binary()), pa.array(grams[first[keep]].view(np.int64)), pa.array(counts[keep])],
+            [empty, empty, empty, empty, pa.nulls(len(empty), pa.binary()), pa.array(grams.view(np.int64)), pa.array(counts + 1)],
             schema=schema,
         )
 
