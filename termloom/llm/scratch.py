@@ -41,9 +41,14 @@ def dropped(*frames: DataFrame) -> None:
         context = frame.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(frame._stored_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    # shuffle files go when the driver's JVM collects what stands for them
+    if frames:
+        released(frames[0].sparkSession)
+
+
+def released(spark: SparkSession) -> None:
+    """Let go of the shuffles of jobs that are done: their files go when the driver's JVM collects what stands for them."""
     gc.collect()
-    frames[0].sparkSession.sparkContext._jvm.System.gc()
+    spark.sparkContext._jvm.System.gc()
 
 
 def bit_filter(frame: DataFrame, key: Column, bits: int = FILTER_BITS) -> np.ndarray:

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.hashes import SortedHashes
-from termloom.llm.scratch import bit_filter, dropped, in_filter, stored
+from termloom.llm.scratch import bit_filter, dropped, in_filter, released, stored
 from termloom.llm.words import hashed_words, mix, slices
 
 DEPTH = 2
@@ -37,6 +37,8 @@ MOST = 1_000_000
 DISCOUNT = 0.75
 #: Distinct strings that a task holds before it passes their counts on.
 HELD = 2_000_000
+#: Parts of the keys that meet their weights one after the other, so that only a part lies on disk at once.
+TURNS = 2
 #: By length of the longer string: how far the key of its first part is rotated.
 _TURNS = (0, 7, 1)
 
@@ -185,27 +187,26 @@ def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: i
     """Retained states (key, after) among ``contexts`` (key, n), and the strings (key, n, p, last) of the next length.
 
     ``lower`` are (right, lower): probabilities of the last words after the contexts without their first words.
+    The strings of the last length leave out what their own successors would need.
     """
     n, c, low = F.col("n"), F.col("c"), F.col("lower")
-    known = stored(
-        strings.join(lower, "right").join(contexts.select(F.col("key").alias("left"), F.col("n").alias("c")), "left"),
-        f"strings{level}",
-    )
-    sums = known.groupBy("left", "c").agg(
-        F.count("*").alias("kinds"), F.sum("n").alias("mass"), F.sum("lower").alias("spent"), F.sum(n * F.log(n / c / low)).alias("gain")
+    known = stored(strings.join(lower, "right"), f"strings{level}")
+    # sums by context first: few contexts, and not all strings, meet the contexts' own counts
+    sums = known.groupBy("left").agg(
+        F.count("*").alias("kinds"), F.sum("n").alias("mass"), F.sum("lower").alias("spent"), F.sum(n * F.log(n / low)).alias("gain")
     )
+    own = contexts.select(F.col("key").alias("left"), F.col("n").alias("c"))
     rest = F.greatest(c - F.col("mass"), F.lit(0))
     left = F.when(rest > 0, rest * F.log(rest / c / F.greatest(1.0 - F.col("spent"), F.lit(1e-300)))).otherwise(0.0)
-    retained = sums.filter(F.col("gain") + left > F.col("kinds") * F.log("c") / 2).select(
-        "left", ((rest + DISCOUNT * F.col("kinds")) / c).alias("passed")
-    )
-    states = stored(retained, f"states{level}")
+    gain = F.col("gain") - F.col("mass") * F.log("c")
+    retained = sums.join(own, "left").filter(gain + left > F.col("kinds") * F.log("c") / 2)
+    states = stored(retained.select("left", "c", ((rest + DISCOUNT * F.col("kinds")) / c).alias("passed")), f"states{level}")
     passed = F.coalesce("passed", F.lit(1.0))
     p = F.when(F.col("passed").isNull(), low).otherwise((n - DISCOUNT) / c + passed * low)
     weighed = known.join(states, "left", "left").select(
         _joined_column(level).alias("key"), "n", p.alias("p"), (F.log10(p) - F.log10(passed * low)).alias("last")
     )
-    weighed = stored(weighed, f"weighed{level}")
+    weighed = stored(weighed.drop("p").filter("last <> 0") if level == DEPTH else weighed, f"weighed{level}")
     dropped(known)
     return states, weighed
 
@@ -236,16 +237,17 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
         seen = spark.sparkContext.broadcast(bit_filter(shorter, F.col("key")))
         counted = texts.mapInArrow(partial(_count_strings, level=level, seen=seen), "left long, right long, n long")
         strings = stored(counted.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), f"counted{level}")
+        released(spark)
         states, longer = _settled(strings, shorter, shorter.select(F.col("key").alias("right"), F.col("p").alias("lower")), level)
         after = F.coalesce(F.log10("passed"), F.lit(0.0))
-        keyed = states.withColumnRenamed("left", "key")
+        keyed = states.select(F.col("left").alias("key"), "passed")
         part = shorter.join(keyed, "key", "left").select("key", "n", "last", after.alias("after"))
         # words of the tree are kept whatever they weigh
         weights.append(stored(part if level == 1 else part.filter("last <> 0 OR after <> 0"), "weights"))
         dropped(strings, states, *done)
         shorter, done = longer, [longer]
-    weights.append(stored(shorter.select("key", "n", "last", F.lit(0.0).alias("after")).filter("last <> 0"), "weights"))
-    dropped(*done)
+    # nothing follows the longest strings
+    weights.append(shorter.select("key", "n", "last", F.lit(0.0).alias("after")))
     tree.weights = reduce(DataFrame.union, weights)
     tree.least = _least(tree.weights)
     return tree, vocabulary
@@ -282,17 +284,24 @@ def _score(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.slice(first, n), ids.slice(first, n), pa.array(np.diff(begins)), *map(pa.array, sums)], names=names)
 
 
-def _others(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
-    """(row, text) -> (row, key, word, times) of the words and strings that aren't frequent and may weigh something."""
+def _turn(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 56) % TURNS
+
+
+def _others(batches: Iterator[pa.RecordBatch], tree, turn: int) -> Iterator[pa.RecordBatch]:
+    """(row, text) -> (row, key, word, times) of the words and strings that aren't frequent and may weigh something.
+
+    Only those whose keys are of this turn.
+    """
     model = tree.value
     for batch in batches:
         rows = batch.column("row").to_numpy()
         for first, tokens, begins in _tokens(batch.column("text")):
             for level, (keys, ends) in enumerate(_strings(tokens, begins)):
-                rare = (model.words[0] if level == 0 else model.strings).find(keys) < 0
+                at = np.flatnonzero((keys >> _U(56)) % _U(TURNS) == _U(turn))
                 if level:
-                    rare &= in_filter(model.others, keys)
-                at = np.flatnonzero(rare)
+                    at = at[in_filter(model.others, keys[at])]
+                at = at[(model.words[0] if level == 0 else model.strings).find(keys[at]) < 0]
                 keys, text = keys[at], np.searchsorted(begins, ends[at], side="right") - 1
                 order = np.lexsort((keys, text))
                 keys, text = keys[order], text[order]
@@ -330,20 +339,24 @@ def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame, text: str = "
     heads = pieces.groupBy("row", "doc_id").agg(
         F.count("*").alias("copies"), *(F.first(c).alias(c) for c in ("times", "known", "score", "base"))
     )
-    others = texts.select("row", "text").mapInArrow(partial(_others, tree=shared), "row long, key long, word boolean, times int")
     # a word that is counted once has its root's logarithm and no more
     once = vocabulary.filter(F.col("n") < LEAST).select("key", "n", tree.root_log(F.col("n")).alias("weight"))
     weights = few.select("key", "n", (F.col("last") + F.col("after")).alias("weight")).union(once)
     n, times = F.coalesce("n", F.lit(0)), F.col("times")
     log = F.when(F.col("word"), tree.root_log(n)).otherwise(0.0)
-    rare = (
-        others.join(weights, "key", "left")
-        .groupBy("row")
-        .agg(
+    parts = []
+    for turn in range(TURNS):
+        others = texts.select("row", "text").mapInArrow(
+            partial(_others, tree=shared, turn=turn), "row long, key long, word boolean, times int"
+        )
+        met = others.join(weights.filter(_turn(F.col("key")) == turn), "key", "left")
+        sums = met.groupBy("row").agg(
             F.sum(F.when(F.col("word") & (n > 0), times).otherwise(0)).alias("more"), F.sum(log * times).alias("logs"),
             F.sum(F.coalesce(F.col("weight"), log) * times).alias("weights"),
-        )
-    )
+        )
+        parts.append(stored(sums, "rare"))
+        released(documents.sparkSession)
+    rare = reduce(DataFrame.union, parts).groupBy("row").agg(*(F.sum(c).alias(c) for c in ("more", "logs", "weights")))
     more, logs, weighed = F.coalesce(F.col("more"), F.lit(0)), F.coalesce(F.col("logs"), F.lit(0.0)), F.coalesce(F.col("weights"), F.lit(0.0))
     return heads.join(rare, "row", "left").select(
         "doc_id", F.col("times").alias("n_tokens"), (F.col("known") + (more / F.col("copies")).cast("long")).alias("n_known"),
