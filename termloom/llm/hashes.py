@@ -16,7 +16,14 @@ class SortedHashes:
         self.shift = _U(64 - bits)
         self.keys = np.concatenate([keys[order], np.zeros(1, _U)])
         self.values = values[order]
-        self.first = np.searchsorted(keys[order] >> self.shift, np.arange((1 << bits) + 1, dtype=_U))
+        self.first = np.searchsorted(keys[order] >> self.shift, np.arange((1 << bits) + 1, dtype=_U)).astype(np.int32)
+
+    def __getstate__(self) -> tuple[np.ndarray, np.ndarray]:
+        # where to look is found again by each worker: it is larger than the hashes, and broadcasts lie on every disk
+        return self.keys[:-1], self.values
+
+    def __setstate__(self, state: tuple[np.ndarray, np.ndarray]) -> None:
+        self.__init__(*state)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, or -1."""

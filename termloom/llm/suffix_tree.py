@@ -237,6 +237,7 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
         seen = spark.sparkContext.broadcast(bit_filter(shorter, F.col("key")))
         counted = texts.mapInArrow(partial(_count_strings, level=level, seen=seen), "left long, right long, n long")
         strings = stored(counted.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), f"counted{level}")
+        seen.destroy()
         released(spark)
         states, longer = _settled(strings, shorter, shorter.select(F.col("key").alias("right"), F.col("p").alias("lower")), level)
         after = F.coalesce(F.log10("passed"), F.lit(0.0))
