@@ -38,7 +38,7 @@ DISCOUNT = 0.75
 #: Distinct strings that a task holds before it passes their counts on.
 HELD = 2_000_000
 #: Parts of the keys that meet their weights one after the other, so that only a part lies on disk at once.
-TURNS = 2
+TURNS = 3
 #: By length of the longer string: how far the key of its first part is rotated.
 _TURNS = (0, 7, 1)
 
@@ -135,6 +135,23 @@ def _count_strings(batches: Iterator[pa.RecordBatch], level: int, seen) -> Itera
         yield batch.select(["left", "right", "n"])
 
 
+def _folded(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """(left, right, n) of one partition, which holds all of a string's counts -> those of at least ``LEAST`` in sum."""
+    held = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("left", "right", "n")] for b in batches if b.num_rows]
+    if not held:
+        return
+    left, right, n = (np.concatenate(x) for x in zip(*held))
+    held.clear()
+    keys = _joined(left.view(_U), right.view(_U), level)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]))
+    sums = np.add.reduceat(n[order], new)
+    often = sums >= LEAST
+    at = order[new[often]]
+    yield pa.RecordBatch.from_arrays([pa.array(left[at]), pa.array(right[at]), pa.array(sums[often])], names=["left", "right", "n"])
+
+
 @dataclass
 class Tree:
     """Stored tables of a tree.
@@ -190,7 +207,7 @@ def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: i
     The strings of the last length leave out what their own successors would need.
     """
     n, c, low = F.col("n"), F.col("c"), F.col("lower")
-    known = stored(strings.join(lower, "right"), f"strings{level}")
+    known = stored(strings.join(lower.hint("shuffle_hash"), "right"), f"strings{level}")
     # sums by context first: few contexts, and not all strings, meet the contexts' own counts
     sums = known.groupBy("left").agg(
         F.count("*").alias("kinds"), F.sum("n").alias("mass"), F.sum("lower").alias("spent"), F.sum(n * F.log(n / low)).alias("gain")
@@ -199,11 +216,11 @@ def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: i
     rest = F.greatest(c - F.col("mass"), F.lit(0))
     left = F.when(rest > 0, rest * F.log(rest / c / F.greatest(1.0 - F.col("spent"), F.lit(1e-300)))).otherwise(0.0)
     gain = F.col("gain") - F.col("mass") * F.log("c")
-    retained = sums.join(own, "left").filter(gain + left > F.col("kinds") * F.log("c") / 2)
+    retained = sums.hint("shuffle_hash").join(own, "left").filter(gain + left > F.col("kinds") * F.log("c") / 2)
     states = stored(retained.select("left", "c", ((rest + DISCOUNT * F.col("kinds")) / c).alias("passed")), f"states{level}")
     passed = F.coalesce("passed", F.lit(1.0))
     p = F.when(F.col("passed").isNull(), low).otherwise((n - DISCOUNT) / c + passed * low)
-    weighed = known.join(states, "left", "left").select(
+    weighed = known.join(states.hint("shuffle_hash"), "left", "left").select(
         _joined_column(level).alias("key"), "n", p.alias("p"), (F.log10(p) - F.log10(passed * low)).alias("last")
     )
     weighed = stored(weighed.drop("p").filter("last <> 0") if level == DEPTH else weighed, f"weighed{level}")
@@ -233,16 +250,19 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
     # by length: strings (key, n, p, last) in the tree
     shorter = vocabulary.filter(F.col("n") >= LEAST).select("key", "n", root.alias("p"), tree.root_log(F.col("n")).alias("last"))
     weights, done = [], []
+    # no more than HELD strings of a text pass meet in a task, on average
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), tree.total // HELD + 1)
     for level in range(1, DEPTH + 1):
         seen = spark.sparkContext.broadcast(bit_filter(shorter, F.col("key")))
         counted = texts.mapInArrow(partial(_count_strings, level=level, seen=seen), "left long, right long, n long")
-        strings = stored(counted.groupBy("left", "right").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST), f"counted{level}")
+        dealt = counted.repartition(parts, "left", "right").mapInArrow(partial(_folded, level=level), counted.schema)
+        strings = stored(dealt, f"counted{level}")
         seen.destroy()
         released(spark)
         states, longer = _settled(strings, shorter, shorter.select(F.col("key").alias("right"), F.col("p").alias("lower")), level)
         after = F.coalesce(F.log10("passed"), F.lit(0.0))
         keyed = states.select(F.col("left").alias("key"), "passed")
-        part = shorter.join(keyed, "key", "left").select("key", "n", "last", after.alias("after"))
+        part = shorter.join(keyed.hint("shuffle_hash"), "key", "left").select("key", "n", "last", after.alias("after"))
         # words of the tree are kept whatever they weigh
         weights.append(stored(part if level == 1 else part.filter("last <> 0 OR after <> 0"), "weights"))
         dropped(strings, states, *done)
@@ -298,10 +318,16 @@ def _others(batches: Iterator[pa.RecordBatch], tree, turn: int) -> Iterator[pa.R
     for batch in batches:
         rows = batch.column("row").to_numpy()
         for first, tokens, begins in _tokens(batch.column("text")):
-            for level, (keys, ends) in enumerate(_strings(tokens, begins)):
+            lengths = _strings(tokens, begins)
+            for level, (keys, ends) in enumerate(lengths):
                 at = np.flatnonzero((keys >> _U(56)) % _U(TURNS) == _U(turn))
                 if level:
                     at = at[in_filter(model.others, keys[at])]
+                if level > 1:
+                    # a string weighs nothing unless its context is a state, and states weigh something
+                    context, before = lengths[level - 1]
+                    context = context[np.searchsorted(before, ends[at] - 1)]
+                    at = at[in_filter(model.others, context) | (model.strings.find(context) >= 0)]
                 at = at[(model.words[0] if level == 0 else model.strings).find(keys[at]) < 0]
                 keys, text = keys[at], np.searchsorted(begins, ends[at], side="right") - 1
                 order = np.lexsort((keys, text))
@@ -350,7 +376,7 @@ def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame, text: str = "
         others = texts.select("row", "text").mapInArrow(
             partial(_others, tree=shared, turn=turn), "row long, key long, word boolean, times int"
         )
-        met = others.join(weights.filter(_turn(F.col("key")) == turn), "key", "left")
+        met = others.join(weights.filter(_turn(F.col("key")) == turn).hint("shuffle_hash"), "key", "left")
         sums = met.groupBy("row").agg(
             F.sum(F.when(F.col("word") & (n > 0), times).otherwise(0)).alias("more"), F.sum(log * times).alias("logs"),
             F.sum(F.coalesce(F.col("weight"), log) * times).alias("weights"),
