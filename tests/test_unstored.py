@@ -29,3 +29,68 @@ def test_clauses_beyond_one_mask(spark):
     columns = unstored.masks(F.col("clause"), F.col("negated"), 130)
     found = clauses.groupBy("query_id").agg(*columns).first()
     assert [bin(found[f"mask{j}"]).count("1") for j in range(3)] == [61, 62, 6]
+
+
+def corpus_of(spark, texts):
+    from termloom.sources import tables
+
+    rows = [(i, text, "en", "s") for i, text in enumerate(texts)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    return tables.as_corpus(tables.documents_as_files(documents), markup=False)
+
+
+def test_only_wanted_terms_are_counted_and_all_lengths(spark):
+    from termloom.operators.index import index_of
+
+    index = index_of(corpus_of(spark, ["running runs now", "run run far away", "nothing here"]), stem=True)
+    wanted = spark.createDataFrame([("run",), ("s",)], "term string")
+    found = unstored.count(index, wanted, unstored.stems_of(index))
+    content = found.postings().filter("field = 'content'").select("path", "doc_len", "term", "tf")
+    assert sorted(map(tuple, content.collect())) == [("s/0.txt", 3, "run", 2), ("s/1.txt", 4, "run", 2)]
+    assert sorted(map(tuple, found.postings().filter("field = 'tags'").select("term", "tf").collect())) == [("s", 1)] * 3
+    expected = {tuple(row) for row in index.field_stats.collect()}
+    assert {tuple(row) for row in found.field_stats().collect()} == expected
+
+
+def test_more_wanted_terms_than_a_broadcast(spark, monkeypatch):
+    from termloom.operators.index import index_of
+
+    index = index_of(corpus_of(spark, ["a b a", "b c"]))
+    wanted = spark.createDataFrame([("a",), ("b",)], "term string")
+    few = unstored.count(index, wanted)
+    monkeypatch.setattr(unstored, "BLOCK_ROWS", 1)
+    many = unstored.count(index, wanted)
+    shown = ["path", "field", "doc_len", "term", "tf"]
+    assert sorted(map(repr, many.rows.select(shown).collect())) == sorted(map(repr, few.rows.select(shown).collect())) != []
+
+
+def test_phrases_and_misspelt_words_are_found_where_documents_are(spark):
+    from termloom.operators.index import index_of
+    from termloom.options import SearchOptions
+    from termloom.plans import search
+
+    index = index_of(corpus_of(spark, ["alpha beta gamma", "beta alpha gamma", "alpha beta beta", "none of them"]))
+    texts = [(1, '"alpha beta"'), (2, "gamme"), (3, "alph* none"), (4, "gamma none")]
+    queries = spark.createDataFrame(texts, "query_id long, query string")
+    found = search.batch_search(index, queries, SearchOptions(highlight=False)).select("query_id", "path").collect()
+    hits = {(row["query_id"], int(row["path"][2])) for row in found}
+    assert hits == {(1, 0), (1, 2), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2), (3, 3), (4, 0), (4, 1), (4, 3)}
+
+
+def test_a_word_of_the_query_that_a_cut_leaves_is_marked(spark):
+    from termloom.operators.index import index_of
+    from termloom.options import SearchOptions
+    from termloom.plans import search
+
+    # 200 characters end within the last word, after "long"
+    text = "first " + "x" * 189 + " longest"
+    queries = spark.createDataFrame([(1, "first long")], "query_id long, query string")
+    found = search.batch_search(index_of(corpus_of(spark, ["title\n" + text])), queries, SearchOptions(fuzzy=False)).first()
+    assert found["highlights"]["content"].count("<b>") == 1 + found["highlights"]["content"].endswith("<b>long</b>")
+    direct = search.with_snippets(
+        search._with_own_words(
+            spark.createDataFrame([(1, "p", text, "t", ["first"])], "query_id long, path string, content string, title string, matched array<string>"),
+            search.analyze_queries(queries, SearchOptions(fuzzy=False)).withColumn("operators", F.lit(False)), SearchOptions(), True,
+        )
+    ).first()
+    assert direct["highlights"]["content"].endswith(" <b>long</b>")
