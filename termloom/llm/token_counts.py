@@ -62,8 +62,13 @@ def _count(batches: Iterator[pa.RecordBatch], path: str, version: str) -> Iterat
 
 
 def squeezed(text: Column) -> Column:
-    """Runs of blanks, tabs and line ends as one blank: for tokenizers that read any white space as one."""
-    return F.regexp_replace(text, "[ \\t\\n\\r]+", " ")
+    """Runs of blanks, tabs and line ends as one blank: for tokenizers that read any white space as one.
+
+    Tabs and line ends are replaced as plain strings; a pattern is only tried on texts that then hold two blanks in a row.
+    """
+    for mark in "\t\n\r":
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    return F.when(F.contains(text, F.lit("  ")), F.regexp_replace(text, " {2,}", " ")).otherwise(text)
 
 
 def cached(spark, cache: str) -> DataFrame:

@@ -136,3 +136,14 @@ def test_highlight(spark):
     assert got[1] is None
     assert got[2] == ("x " * 20 + "<b>database</b>")
     assert one(spark, lambda v: plain_snippet(v, 5), "abcdef", "abcde") == ["abcde...", "abcde"]
+
+
+def test_squeezed_texts_have_no_white_space_in_a_row(spark):
+    from termloom.llm.token_counts import squeezed
+
+    values = ["", None, " ", "a b", "a  b", "\ta\r\n\n b \t", "x\u00a0\u00a0y\x0b\x0bz", "a\nb", "     ", "a \n b   c"]
+    whole = one(spark, lambda v: F.regexp_replace(v, "[ \\t\\n\\r]+", " "), *values)
+    assert one(spark, squeezed, *values) == whole
+    # single blanks, which most texts are full of, aren't replaced by themselves
+    plan = spark.createDataFrame([("a b",)], "v string").select(squeezed(F.col("v")))._jdf.queryExecution().toString()
+    assert "{2,}" in plan and "]+" not in plan
