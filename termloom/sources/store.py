@@ -301,7 +301,8 @@ class IndexStore:
             # what the replaced documents had added to the statistics is taken out again
             removed = removed.withColumn("pbucket", path_bucket(F.col("path"), self.state.buckets))
             gone = self._read("corpus", self.state.batches).join(removed, ["path", "batch", "pbucket"], "left_semi")
-            lost = analysis.term_stats(self._postings(gone))
+            # stems are merged in postings; words are counted without them
+            lost = analysis.term_stats(self._postings(gone)) if self.state.stem else analysis.token_stats(gone)
             terms = (
                 terms.unionByName(lost.select("field", "term", (-F.col("df")).alias("df"), (-F.col("cf")).alias("cf")))
                 .groupBy("field", "term")

@@ -309,3 +309,18 @@ def test_plan_of_a_lookup(spark, write, tmp_path):
     for block in plan.split("LeftAnti")[1:]:
         assert block.lstrip(", (")[:4] == "path" and "Join Inner" in block
     assert set(found(spark, root, "words")) == {"a.txt", "b.txt"}
+
+
+def test_counts_without_postings(spark):
+    from termloom.operators import analysis
+
+    rows = [
+        ("a", "x y", "y x, X x", "a.txt", ["t", "t"]), ("a", "", "y", "a.txt", ["t", None]), (None, None, "", None, None),
+        ("b", "x", "x", "b", [None, "u", "t"]),
+    ]
+    corpus = spark.createDataFrame(rows, "path string, title string, content string, filename string, tags array<string>")
+    counted = analysis.token_stats(corpus)
+    assert counted.schema.fieldNames() == ["field", "term", "df", "cf"]
+    expected = analysis.term_stats(analysis.analyze(corpus)).select("field", "term", "df", "cf").collect()
+    assert sorted(map(str, counted.collect())) == sorted(map(str, expected))
+    assert ("content", "x", 2, 4) in {tuple(r) for r in counted.collect()}
