@@ -105,4 +105,5 @@ def token_counts(
     rows = documents.select(
         F.col(doc_id).alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), digest.alias("digest")
     )
-    return rows.join(counts, "digest").select("doc_id", "n_bytes", "n_tokens")
+    # every digest has its count by now; an inner join would make each digest twice, first to see that it isn't null
+    return rows.join(counts, "digest", "left").select("doc_id", "n_bytes", "n_tokens")

@@ -229,6 +229,11 @@ def test_token_counts_and_the_cache(spark, rows, messy, empty, tmp_path):
     assert call(empty).count() == 0
 
 
+def test_token_counts_make_the_digest_of_a_row_once(spark, messy, tmp_path):
+    counts = token_counts.token_counts(messy, WORD_BPE, str(tmp_path / "once"), normalise=token_counts.squeezed)
+    assert counts._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
+
+
 def token_counts_content(text):
     import re
 
