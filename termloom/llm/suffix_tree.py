@@ -38,7 +38,7 @@ DISCOUNT = 0.75
 #: Distinct strings that a task holds before it passes their counts on.
 HELD = 2_000_000
 #: Parts of the keys that meet their weights one after the other, so that only a part lies on disk at once.
-TURNS = 3
+TURNS = 2
 #: By length of the longer string: how far the key of its first part is rotated.
 _TURNS = (0, 7, 1)
 
@@ -79,14 +79,18 @@ def _strings(tokens: np.ndarray, begins: np.ndarray, levels: int = DEPTH + 1) ->
 
 
 def _added(parts: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Counts n of the keys of all parts, passed on whenever ``HELD`` are at hand. Further arrays go with the keys."""
+    """Counts n of the keys of all parts, passed on whenever ``HELD`` are at hand. Further arrays go with the keys.
+
+    With further arrays, rows are ordered by the first half of the first of these: equal values that follow each other
+    take little room in a shuffle. Keys with equal halves may then be passed on in several rows.
+    """
     kept, counts = [np.zeros(0, _U) for _ in names], np.zeros(0, np.int64)
     fresh, size = [], 0
 
     def fold():
         both = [np.concatenate([k, *x]) for k, x in zip(kept, zip(*fresh))]
         n = np.concatenate([counts, np.ones(size, np.int64)])
-        order = np.argsort(both[0])
+        order = np.argsort(both[0] if len(both) == 1 else (both[1] >> _U(32) << _U(32)) | (both[0] >> _U(32)))
         keys = both[0][order]
         new = np.flatnonzero(np.concatenate([np.ones(1, bool), keys[1:] != keys[:-1]]))
         return [x[order[new]] for x in both], np.add.reduceat(n[order], new)
@@ -200,14 +204,25 @@ class Tree:
         return first, 10**logs
 
 
+def _turn(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 56) % TURNS
+
+
 def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Retained states (key, after) among ``contexts`` (key, n), and the strings (key, n, p, last) of the next length.
 
     ``lower`` are (right, lower): probabilities of the last words after the contexts without their first words.
-    The strings of the last length leave out what their own successors would need.
+    The strings of the last length leave out what their own successors would need. ``strings`` are deleted.
     """
+    spark = strings.sparkSession
     n, c, low = F.col("n"), F.col("c"), F.col("lower")
-    known = stored(strings.join(lower.hint("shuffle_hash"), "right"), f"strings{level}")
+    parts = []
+    for turn in range(TURNS):
+        own, lows = (side.filter(_turn(F.col("right")) == turn) for side in (strings, lower))
+        parts.append(stored(own.join(lows.hint("shuffle_hash"), "right"), f"strings{level}"))
+        released(spark)
+    dropped(strings)
+    known = reduce(DataFrame.union, parts)
     # sums by context first: few contexts, and not all strings, meet the contexts' own counts
     sums = known.groupBy("left").agg(
         F.count("*").alias("kinds"), F.sum("n").alias("mass"), F.sum("lower").alias("spent"), F.sum(n * F.log(n / low)).alias("gain")
@@ -218,13 +233,14 @@ def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: i
     gain = F.col("gain") - F.col("mass") * F.log("c")
     retained = sums.hint("shuffle_hash").join(own, "left").filter(gain + left > F.col("kinds") * F.log("c") / 2)
     states = stored(retained.select("left", "c", ((rest + DISCOUNT * F.col("kinds")) / c).alias("passed")), f"states{level}")
+    released(spark)
     passed = F.coalesce("passed", F.lit(1.0))
     p = F.when(F.col("passed").isNull(), low).otherwise((n - DISCOUNT) / c + passed * low)
     weighed = known.join(states.hint("shuffle_hash"), "left", "left").select(
         _joined_column(level).alias("key"), "n", p.alias("p"), (F.log10(p) - F.log10(passed * low)).alias("last")
     )
     weighed = stored(weighed.drop("p").filter("last <> 0") if level == DEPTH else weighed, f"weighed{level}")
-    dropped(known)
+    dropped(*parts)
     return states, weighed
 
 
@@ -244,6 +260,7 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
     spark = documents.sparkSession
     texts = documents.select(F.col(text).alias("text"))
     vocabulary = stored(texts.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
+    released(spark)
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     tree = Tree(sums["total"], sums["distinct"], None)
     root = F.pow(F.lit(10.0), tree.root_log(F.col("n")))
@@ -265,7 +282,7 @@ def train(documents: DataFrame, text: str = "text") -> tuple[Tree, DataFrame]:
         part = shorter.join(keyed.hint("shuffle_hash"), "key", "left").select("key", "n", "last", after.alias("after"))
         # words of the tree are kept whatever they weigh
         weights.append(stored(part if level == 1 else part.filter("last <> 0 OR after <> 0"), "weights"))
-        dropped(strings, states, *done)
+        dropped(states, *done)
         shorter, done = longer, [longer]
     # nothing follows the longest strings
     weights.append(shorter.select("key", "n", "last", F.lit(0.0).alias("after")))
@@ -305,10 +322,6 @@ def _score(batches: Iterator[pa.RecordBatch], tree) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.slice(first, n), ids.slice(first, n), pa.array(np.diff(begins)), *map(pa.array, sums)], names=names)
 
 
-def _turn(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 56) % TURNS
-
-
 def _others(batches: Iterator[pa.RecordBatch], tree, turn: int) -> Iterator[pa.RecordBatch]:
     """(row, text) -> (row, key, word, times) of the words and strings that aren't frequent and may weigh something.
 

@@ -2,6 +2,7 @@ import hashlib
 import math
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import brute
 import numpy as np
@@ -229,6 +230,25 @@ def test_token_counts_and_the_cache(spark, rows, messy, empty, tmp_path):
     assert call(empty).count() == 0
 
 
+def test_counts_of_strings_are_ordered_by_their_first_part_and_deleted_when_they_are_used(spark):
+    rng = np.random.default_rng(3)
+    left, right = (rng.choice(rng.integers(0, 2**64, 40, np.uint64), 3000) for _ in range(2))
+    keys = suffix_tree._joined(left, right, 1)
+    halves = [part[:2000] for part in (keys, left, right)], [part[2000:] for part in (keys, left, right)]
+    (out,) = suffix_tree._added(iter(halves), ["key", "left", "right"])
+    first = out["left"].to_numpy().view(np.uint64)
+    assert (first[1:] != first[:-1]).sum() == 39
+    got = Counter()
+    for row in out.select(["left", "right", "n"]).to_pylist():
+        got[row["left"], row["right"]] += row["n"]
+    assert got == Counter(zip(left.view(np.int64).tolist(), right.view(np.int64).tolist()))
+    strings = suffix_tree.stored(spark.createDataFrame([(1, 2, 3), (1, 1, 2)], "left long, right long, n long"), "strings")
+    words = spark.createDataFrame([(1, 5, 0.5), (2, 3, 0.3)], "key long, n long, p double")
+    lower = words.selectExpr("key AS right", "p AS lower")
+    _, weighed = suffix_tree._settled(strings, words.select("key", "n"), lower, 1)
+    assert weighed.count() == 2 and not Path(strings._stored_at).exists()
+
+
 def test_token_counts_make_the_digest_of_a_row_once(spark, messy, tmp_path):
     counts = token_counts.token_counts(messy, WORD_BPE, str(tmp_path / "once"), normalise=token_counts.squeezed)
     assert counts._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 1
