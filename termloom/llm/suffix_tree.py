@@ -38,7 +38,7 @@ DISCOUNT = 0.75
 #: Distinct strings that a task holds before it passes their counts on.
 HELD = 2_000_000
 #: Parts of the keys that meet their weights one after the other, so that only a part lies on disk at once.
-TURNS = 2
+TURNS = 4
 #: By length of the longer string: how far the key of its first part is rotated.
 _TURNS = (0, 7, 1)
 
@@ -204,10 +204,6 @@ class Tree:
         return first, 10**logs
 
 
-def _turn(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 56) % TURNS
-
-
 def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     """Retained states (key, after) among ``contexts`` (key, n), and the strings (key, n, p, last) of the next length.
 
@@ -216,13 +212,8 @@ def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: i
     """
     spark = strings.sparkSession
     n, c, low = F.col("n"), F.col("c"), F.col("lower")
-    parts = []
-    for turn in range(TURNS):
-        own, lows = (side.filter(_turn(F.col("right")) == turn) for side in (strings, lower))
-        parts.append(stored(own.join(lows.hint("shuffle_hash"), "right"), f"strings{level}"))
-        released(spark)
+    known = stored(strings.join(lower.hint("shuffle_hash"), "right"), f"strings{level}")
     dropped(strings)
-    known = reduce(DataFrame.union, parts)
     # sums by context first: few contexts, and not all strings, meet the contexts' own counts
     sums = known.groupBy("left").agg(
         F.count("*").alias("kinds"), F.sum("n").alias("mass"), F.sum("lower").alias("spent"), F.sum(n * F.log(n / low)).alias("gain")
@@ -240,7 +231,7 @@ def _settled(strings: DataFrame, contexts: DataFrame, lower: DataFrame, level: i
         _joined_column(level).alias("key"), "n", p.alias("p"), (F.log10(p) - F.log10(passed * low)).alias("last")
     )
     weighed = stored(weighed.drop("p").filter("last <> 0") if level == DEPTH else weighed, f"weighed{level}")
-    dropped(*parts)
+    dropped(known)
     return states, weighed
 
 
@@ -355,6 +346,10 @@ def _others(batches: Iterator[pa.RecordBatch], tree, turn: int) -> Iterator[pa.R
                 )
 
 
+def _turn(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 56) % TURNS
+
+
 def score(documents: DataFrame, tree: Tree, vocabulary: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score): log10 probabilities of every whole text, its end included.
 
