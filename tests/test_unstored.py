@@ -94,3 +94,70 @@ def test_a_word_of_the_query_that_a_cut_leaves_is_marked(spark):
         )
     ).first()
     assert direct["highlights"]["content"].endswith(" <b>long</b>")
+
+
+def odd_index(spark):
+    from termloom.operators.index import index_of
+
+    texts = ["alpha beta gamma alphabet", "alphas alpha beta beta", "zeta alps beta", "1 2 3", "alpine bet betas alp", "gamma beta alpha beta"]
+    corpus = corpus_of(spark, texts)
+    # two documents share a path, two have none
+    path = F.when(F.col("path").isin("s/1.txt", "s/2.txt"), "s/1.txt").when(F.col("path") < "s/5.txt", F.col("path"))
+    nobody = corpus.filter("path = 's/4.txt'").withColumn("path", F.lit(None).cast("string"))
+    return index_of(corpus.withColumn("path", F.coalesce(path, F.when(F.col("path") != "s/5.txt", F.col("path")))).unionByName(nobody))
+
+
+PATTERN_TEXTS = [
+    (1, "alp* beta"), (2, "alph* alpha beta"), (3, "alp* alph* bet?"), (4, "*eta gamma content:alpha"), (5, "bet? title:alpha tags:s"),
+    (6, "beta* filename:txt"), (7, "zzz*"), (8, "zzz* beta"), (9, "alp*a*"), (10, "beta* beta content:beta"),
+    (11, "alphe"), (12, "Beta* AND alpha"),
+]
+
+
+def check_patterns(spark, monkeypatch, **changes):
+    from dataclasses import replace
+
+    from termloom.options import SearchOptions
+    from termloom.plans import search
+
+    index = odd_index(spark)
+    queries = spark.createDataFrame(PATTERN_TEXTS, "query_id long, query string")
+    options = SearchOptions(**changes)
+    shown = ["query_id", "rank", "path", F.round("score", 6).alias("score"), "highlights.content", "highlights.title"]
+    by_query = search.batch_search(replace(index, tokens=None), queries, options).select(shown).collect()
+
+    def refused(*args):
+        raise AssertionError("hits of patterns are dealt by query")
+
+    monkeypatch.setattr(search, "_in_postings", refused)
+    by_document = search.batch_search(index, queries, options).select(shown).collect()
+    assert sorted(map(repr, by_document)) == sorted(map(repr, by_query))
+    assert {row["query_id"] for row in by_document} >= {1, 2, 3, 4, 5, 6, 8, 9, 10}
+
+
+def test_patterns_are_added_up_where_documents_are(spark, monkeypatch):
+    check_patterns(spark, monkeypatch)
+
+
+def test_rare_words_of_patterns_meet_what_they_lead_to_in_a_join(spark, monkeypatch):
+    monkeypatch.setattr(unstored, "WORD_ROWS", 3)
+    monkeypatch.setattr(unstored, "MANY_PAIRS", 1)
+    check_patterns(spark, monkeypatch, limit=2, scorer="tfidf")
+
+
+def test_no_word_of_patterns_is_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(unstored, "WORD_ROWS", 0)
+    check_patterns(spark, monkeypatch, filter_stage="before_topk", max_size=25)
+
+
+def test_hits_of_phrases_meet_their_documents_alone(spark):
+    hits = [("a", "content", "x", 1.0), ("a", "title", "x", 2.0), ("b", "content", "x", 4.0), (None, "content", "x", 8.0)]
+    hits = spark.createDataFrame(hits, "path string, field string, term string, part double")
+    found = spark.createDataFrame([("x y", "a"), ("z x", "a"), ("y", "b")], "key string, path string")
+    words = spark.createDataFrame([("x y", "x"), ("x y", "y"), ("z x", "x"), ("z x", "z"), ("y", "y")], "key string, term string")
+    every = unstored.with_phrases(unstored.by_document(hits, 0), found, words, unstored.tasks(hits, 0))
+    added = [("a", "phrase", "x y", 1.0), ("a", "phrase", "z x", 1.0)]
+    assert sorted(map(repr, map(tuple, every.collect()))) == sorted(map(repr, [*map(tuple, hits.collect()), *added]))
+    # not by key: a hit is not repeated for each phrase with its word to find the documents of the phrase
+    joins = [x for x in every._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].split("\n") if "Join" in x]
+    assert any("ShuffledHashJoin [path" in x for x in joins) and not any("key#" in x and "path#" in x for x in joins)
