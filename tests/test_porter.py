@@ -1,4 +1,5 @@
 import random
+import re
 
 from plain_porter import _STEP_2, _STEP_3, _STEP_4
 from plain_porter import porter_stem as plain_stem
@@ -42,3 +43,26 @@ def test_stems_equal_the_plain_version(spark):
     words = {"".join(rng.choice(pieces) for _ in range(rng.randint(1, 5))) + rng.choice(ends) for _ in range(20_000)}
     got = stems(spark, sorted(words))
     assert {w: (got[w], plain_stem(w)) for w in words if got[w] != plain_stem(w)} == {}
+
+
+def test_postings_of_stems_travel_as_texts(spark):
+    from pyspark.sql import functions as F
+
+    from termloom.operators import analysis
+
+    texts = [("a", "Running, runs ran hopes hoping"), ("b", "hope run-run RUNNING"), ("b", "hoped 7 run runs"), ("b", "x y"), (None, "hoping"), (None, "hopes"), ("c", "")]
+    rows = [(path, text, "", ["runs", path]) for path, text in texts]
+    corpus = spark.createDataFrame(rows, "path string, content string, title string, tags array<string>").withColumn("filename", F.col("path"))
+    found = analysis.analyze(corpus.filter("content IS NOT NULL"), stem=True)
+    expected = {}
+    for path, text, _, tags in rows:
+        contents = [plain_stem(word) for word in re.findall(r"\w+", text.lower())]
+        fields = {"content": [plain_stem(w) for w in contents], "filename": [path] if path else [], "tags": [] if None in tags else tags}
+        for field, terms in fields.items():
+            for place, term in enumerate(terms):
+                expected.setdefault((path, field, len(terms), term), []).append(place)
+    shown = {(r["path"], r["field"], r["doc_len"], r["term"]): r["positions"] for r in found.collect() if r["term"] is not None and (r["field"] != "tags" or r["path"])}
+    assert shown == {key: sorted(places) for key, places in expected.items()}
+    assert all(r["tf"] == len(r["positions"]) for r in found.collect() if r["positions"])
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
